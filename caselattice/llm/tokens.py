@@ -5,6 +5,11 @@ whose path is a parameter. The file must be readable on every executor. A byte-l
 UTF-8 text as one printable character; ``byte_alphabet`` is that table, by which ids are decoded without the library and
 characters split over several tokens are put together again.
 
+A byte-level pre-tokenizer never joins a non-space character with the white space after it, so a text may be cut there
+and the pieces encoded apart with the same ids. Pieces recur: each worker keeps the ids of the last some hundred thousand
+short pieces and gives only unseen ones to the library. Long pieces without spaces are cut further between a CJK mark or
+a digit and a letter, which are boundaries of the pre-tokenizer too.
+
 Defined results: a null, empty or absent text has an empty list of ids (and no offsets); control-token look-alikes are
 ordinary text; no special tokens are added; rows are never dropped or merged, so repeated rows stay repeated; a text of
 any length is encoded whole; extra columns do not pass through.
@@ -13,8 +18,12 @@ any length is encoded whole; extra columns do not pass through.
 from __future__ import annotations
 
 import json
+import re
+from array import array
+from collections import ChainMap
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -38,6 +47,39 @@ def load_tokenizer(path: str):
     return tokenizer
 
 
+class WholeEncoder:
+    """Ids of whole texts by the ``tokenizers`` library alone."""
+
+    def __init__(self, path: str):
+        self.tokenizer = load_tokenizer(path)
+
+    def __call__(self, texts: list[str]) -> list[bytes]:
+        return [array("i", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+
+class PlainEncoder:
+    """Ids of whole texts by ``tiktoken`` ranks or a ``sentencepiece`` model."""
+
+    def __init__(self, path: str):
+        if path.endswith(".tiktoken"):
+            import base64
+
+            import public_tokenizers
+            import tiktoken
+
+            with open(path, "rb") as f:
+                ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+            coder = tiktoken.Encoding(path, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+            self.encode = coder.encode_ordinary
+        else:
+            import sentencepiece
+
+            self.encode = sentencepiece.SentencePieceProcessor(model_file=path).encode
+
+    def __call__(self, texts: list[str]) -> list[bytes]:
+        return [array("i", self.encode(t)).tobytes() for t in texts]
+
+
 def byte_alphabet() -> dict[str, int]:
     """Character -> byte of a byte-level vocabulary: printable Latin-1 bytes stand for themselves, the rest follow from 256 on."""
     printable = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255]
@@ -80,6 +122,54 @@ def character_spans(ids, path: str) -> list[tuple[int, int]]:
     return list(zip(index[begins].tolist(), (index[ends - 1] + 1).tolist(), strict=True))
 
 
+class PieceEncoder:
+    """Ids of whole texts as little-endian int32 bytes, through a bounded table of pieces already encoded."""
+
+    # U+001C to U+001F are white space to Python, not to the pre-tokenizer
+    PIECE = re.compile("[^\\S\x1c-\x1f]*[\\S\x1c-\x1f]+|[^\\S\x1c-\x1f]+")
+    FINER = re.compile("(?<=[、。，！？：])(?=[一-鿿ぁ-ヺA-Za-z0-9])|(?<=[0-9])(?=[一-鿿ぁ-ヺA-Za-z])|(?<=[一-鿿ぁ-ヺA-Za-z])(?=[0-9])")
+    LONG, KEPT_CHARS, KEPT = 20, 48, 300_000
+
+    def __init__(self, path: str):
+        self.tokenizer = load_tokenizer(path)
+        self.known: dict[str, bytes] = {}
+
+    def _learn(self, pieces: list[str], extra: dict[str, bytes]) -> None:
+        if len(self.known) + len(pieces) > self.KEPT:
+            self.known.clear()
+        for piece, e in zip(pieces, self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False), strict=True):
+            (self.known if len(piece) <= self.KEPT_CHARS else extra)[piece] = array("i", e.ids).tobytes()
+
+    def __call__(self, texts: list[str]) -> list[bytes]:
+        cut = [self.PIECE.findall(t) for t in texts]
+        new = set(chain.from_iterable(cut)).difference(self.known)
+        long = {p: self.FINER.split(p) for p in new if len(p) > self.LONG}
+        long = {p: parts for p, parts in long.items() if len(parts) > 1}
+        extra: dict[str, bytes] = {}
+        wanted = (new - long.keys()) | set(chain.from_iterable(long.values())).difference(self.known)
+        if len(self.known) + len(wanted) > self.KEPT:  # it will be cleared: learn all pieces of these texts again
+            wanted |= set(chain.from_iterable(cut)) - long.keys()
+            wanted |= set(chain.from_iterable(long.values()))
+        self._learn(list(wanted), extra)
+        at = ChainMap(self.known, extra) if extra else self.known
+        for piece, parts in long.items():
+            extra[piece] = b"".join([at[p] for p in parts])
+        if not extra:
+            return [b"".join([at[p] for p in pieces]) for pieces in cut]
+        known = self.known
+        return [b"".join([known[p] if p in known else extra[p] for p in pieces]) for pieces in cut]
+
+
+@lru_cache(maxsize=4)
+def text_encoder(path: str):
+    """The encoder of a vocabulary file, by its kind; only byte-level ones may be fed in pieces."""
+    if not path.endswith(".json"):
+        return PlainEncoder(path)
+    with open(path, encoding="utf-8") as f:
+        byte_level = (json.load(f).get("pre_tokenizer") or {}).get("type") == "ByteLevel"
+    return PieceEncoder(path) if byte_level else WholeEncoder(path)
+
+
 def _groups(texts: list[str | None]) -> Iterator[list[str]]:
     group: list[str] = []
     chars = 0
@@ -93,30 +183,26 @@ def _groups(texts: list[str | None]) -> Iterator[list[str]]:
         yield group
 
 
-def _encoder(key: str, text: str, path: str, what: str):
+def _encoder(key: str, path: str, what: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer = load_tokenizer(path)
+        encoder = text_encoder(path)
         for batch in batches:
             keys, texts = batch.column(0), batch.column(1).to_pylist()
             done = 0
             for group in _groups(texts):
                 part = keys.slice(done, len(group))
                 done += len(group)
-                encoded = tokenizer.encode_batch_fast(group, add_special_tokens=False)
-                lists = [e.ids for e in encoded]
-                sizes = np.fromiter((len(x) for x in lists), dtype=np.int64, count=len(lists))
+                rows = encoder(group)
+                sizes = np.fromiter((len(x) // 4 for x in rows), dtype=np.int64, count=len(rows))
                 if what == "sizes":
                     yield pa.RecordBatch.from_arrays([part, pa.array(sizes)], names=[key, "n_tokens"])
                     continue
-                offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
-                flat = np.empty(int(sizes.sum()), dtype=np.int32)
-                for ids, a in zip(lists, offsets, strict=False):
-                    flat[a : a + len(ids)] = ids
-                ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))
+                offsets = pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32))
+                ids = pa.ListArray.from_arrays(offsets, pa.array(np.frombuffer(b"".join(rows), dtype=np.int32)))
                 if what == "ids":
                     yield pa.RecordBatch.from_arrays([part, ids], names=[key, "ids"])
                 else:
-                    spans = [character_spans(x, path) for x in lists]
+                    spans = [character_spans(np.frombuffer(x, dtype=np.int32), path) for x in rows]
                     bounds = [pa.array([[s[i] for s in row] for row in spans], pa.list_(pa.int32())) for i in (0, 1)]
                     yield pa.RecordBatch.from_arrays([part, ids, *bounds], names=[key, "ids", "starts", "ends"])
 
@@ -127,12 +213,12 @@ def encode(df: DataFrame, key: str, text: str, path: str, offsets: bool = False)
     """``(key, ids)`` of every row, with ``starts`` and ``ends`` in code points when ``offsets`` is set."""
     key_type = df.schema[key].dataType.simpleString()
     schema = f"`{key}` {key_type}, ids array<int>" + (", starts array<int>, ends array<int>" if offsets else "")
-    return df.select(key, text).mapInArrow(_encoder(key, text, path, "spans" if offsets else "ids"), schema)
+    return df.select(key, text).mapInArrow(_encoder(key, path, "spans" if offsets else "ids"), schema)
 
 
 def token_counts(df: DataFrame, key: str, text: str, path: str) -> DataFrame:
     """``(key, n_tokens)`` of every row."""
-    return df.select(key, text).mapInArrow(_encoder(key, text, path, "sizes"), f"`{key}` {df.schema[key].dataType.simpleString()}, n_tokens long")
+    return df.select(key, text).mapInArrow(_encoder(key, path, "sizes"), f"`{key}` {df.schema[key].dataType.simpleString()}, n_tokens long")
 
 
 def decode_rows(df: DataFrame, key: str, ids: str, path: str) -> DataFrame:
