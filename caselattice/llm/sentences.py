@@ -95,6 +95,7 @@ _THAI = "ก-๛"
 _ITEM = re.compile(r"(?:[-•*–—▪]|\(?[0-9०-९০-৯]{1,3}[.)]|\([a-zA-Zivx]{1,4}\)|[a-z]\))[ \t\xa0]+\S")
 _BULLET = re.compile(r"(?:[-•*▪]|\([a-z]\))[ \t\xa0]")
 _LABEL = re.compile(r"[^\W\d][^:：0-9\"“「,，。।!?\n]{0,40}(?::(?=[ \t\xa0]|$)|：(?![“「\"]))")
+_LIST_HEAD = re.compile(r"[^\n0-9,，。!?]{1,40}[:：]\s*\n\s*" + _ITEM.pattern)
 _ENDED = re.compile(r"[.!?。！？।॥؟۔…][\"”’」』)\]]*$|[\"”」』]$")
 _MARKS = re.compile(r"(?P<mark>[.!?。！？।॥؟۔…]+)|(?P<quote>[\"“”「」『』])|(?P<line>\n)")
 _STRONG = re.compile("[!?。！？।॥؟۔]")
@@ -322,6 +323,20 @@ def _reads_on(text: str, a: tuple[int, int], b: tuple[int, int]) -> bool:
     return True
 
 
+def structural(text: str, start: int, end: int) -> bool:
+    """Whether a line that is one unit is a heading, a ``Label: value`` line or a list item."""
+    label = _LABEL.match(text, start, end)
+    if _ITEM.match(text, start, end) or (label and len(label[0].split()) <= 4):
+        return True
+    line = text[start:end]
+    words = line.split()
+    if _ENDED.search(line) or len(line) >= 60 or len(words) > 5 or text[:start].strip(BLANK):
+        return line.isupper() and line.isascii() and len(words) <= 5
+    if "a" <= line[-1].lower() <= "z":
+        return all(w[0].isupper() for w in words)
+    return any(c.isalpha() for c in line) and not (words[-1] in FINAL_WORDS or line.endswith(FINAL_ENDINGS) or len(line) > 30)
+
+
 def split(text: str) -> list[tuple[int, int]]:
     """Start and end of each sentence unit of ``text``."""
     units: list[tuple[int, int]] = []
@@ -336,6 +351,8 @@ def split(text: str) -> list[tuple[int, int]]:
             kind = "blank"
         elif _ITEM.match(text, start, end) and (before != "text" or (_BULLET.match(text, start, end) and _ENDED.search(text, lines[-1][0], lines[-1][1]))):
             kind = "unit"
+        elif before == "text" and text[end - 1] in ":：" and _LIST_HEAD.match(text, start):
+            kind = "unit"
         elif before != "text" and (m := _LABEL.match(text, start, end)) and len(m[0].split()) <= 4:
             kind = "unit"
         else:
