@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("references", "patterns")
+MODULES = ("references", "patterns", "temporal")
 
 
 def queries() -> dict:
