@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("references", "patterns", "temporal")
+MODULES = ("references", "patterns", "temporal", "graph")
 
 
 def queries() -> dict:
