@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("references", "patterns", "temporal", "graph")
+MODULES = ("references", "patterns", "temporal", "graph", "texts", "entities")
 
 
 def queries() -> dict:
