@@ -51,7 +51,7 @@ def tokens(column: Column) -> Column:
 def sentences(column: Column) -> Column:
     """Parts after an end mark before a capital or Devanagari letter, and lines; blank parts dropped."""
     marked = F.regexp_replace(F.coalesce(column, F.lit("")), "([.!?।])[ \\t\\n]+([A-Zऀ-ॿ])", "$1\n$2")
-    return F.filter(F.transform(F.split(marked, "\n+"), F.trim), lambda s: s != "")
+    return F.filter(F.transform(F.split(marked, "\n+"), lambda s: F.trim(s)), lambda s: s != "")
 
 
 def chunks(df: DataFrame, text: str, size: int, overlap: int, skip_blank: bool = False) -> DataFrame:

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.scalar import account_form, phone_form
 from ..session import broadcast_if_small
 from ..tables import table
-from .nearest import account_form, nearest_in_time, phone_form
+from .nearest import nearest_in_time
 
 TOLERANCE_S = 900
 

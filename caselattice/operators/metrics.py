@@ -13,10 +13,10 @@ from pyspark.sql import functions as F
 
 def prf(found: DataFrame, truth: DataFrame, keys: list[str], by: str) -> DataFrame:
     """Precision, recall and F1 of found keys against true keys, per value of ``by``."""
-    f = found.select(by, *keys).distinct().withColumn("f", F.lit(1))
-    t = truth.select(by, *keys).distinct().withColumn("t", F.lit(1))
+    f = found.select(by, *keys).distinct().withColumn("_found", F.lit(1))
+    t = truth.select(by, *keys).distinct().withColumn("_true", F.lit(1))
     both = f.join(t, [by, *keys], "full")
-    counted = both.groupBy(by).agg(F.count_if(F.expr("f = 1 AND t = 1")).alias("tp"), F.count_if(F.expr("f = 1 AND t IS NULL")).alias("fp"), F.count_if(F.expr("f IS NULL AND t = 1")).alias("fn"))
+    counted = both.groupBy(by).agg(F.count_if(F.expr("_found = 1 AND _true = 1")).alias("tp"), F.count_if(F.expr("_found = 1 AND _true IS NULL")).alias("fp"), F.count_if(F.expr("_found IS NULL AND _true = 1")).alias("fn"))
     ratio = lambda a, b: F.when(b > 0, a / b).otherwise(F.lit(0.0))
     p, r = ratio(F.col("tp"), F.col("tp") + F.col("fp")), ratio(F.col("tp"), F.col("tp") + F.col("fn"))
     return counted.withColumns({"precision": F.round(p, 6), "recall": F.round(r, 6), "f1": F.round(ratio(2 * F.col("tp"), 2 * F.col("tp") + F.col("fp") + F.col("fn")), 6)})
