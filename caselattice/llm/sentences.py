@@ -104,6 +104,7 @@ _WORD = re.compile(r"[^\W\d_][^\s,.;:!?\"]*")
 _THAI_GAP = re.compile(f"(?<=[{_THAI}])[\\s\\ufeff]+|[\\s\\ufeff]+(?=[{_THAI}])")
 _THAI_RUN = re.compile(f"[{_THAI}]+")
 _ACRONYM = re.compile(r"(?<![A-Za-z])(?:[A-Za-z]\.)+[A-Za-z]$")
+_INNER = re.compile(r"^.*[a-z]{3,}[.!?]+(?=[A-Z])")
 _MIXED = re.compile(r"[a-z]-?[A-Z]")
 
 
@@ -187,6 +188,8 @@ def _stop_ends(text: str, start: int, end: int, low: int, high: int) -> bool:
     ch = text[at]
     spaced = at > end
     token = _TOKEN.search(text, max(low, start - 40), start)[0]
+    if "." in token:  # a mark without a space after it
+        token = _INNER.sub("", token)
     size = end - start
     if ch in ",;:)]}，、；：":
         return False
