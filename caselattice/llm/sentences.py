@@ -94,7 +94,7 @@ BLANK = " \t\r\n\x0b\x0c\x85\xa0     　﻿" + "".join(map(chr, range(
 _THAI = "ก-๛"
 _ITEM = re.compile(r"(?:[-•*–—▪]|\(?[0-9०-९০-৯]{1,3}[.)]|\([a-zA-Zivx]{1,4}\)|[a-z]\))[ \t\xa0]+\S")
 _BULLET = re.compile(r"(?:[-•*▪]|\([a-z]\))[ \t\xa0]")
-_LABEL = re.compile(r"[^\W\d][^:：0-9\"“「,，。।!?\n]{0,40}(?::(?=[ \t\xa0]|$)|：(?![“「\"]))")
+_LABEL = re.compile(r"[^\W\d][^:：0-9\"“「(（,，。।!?\n]{0,40}(?::(?=[ \t\xa0]|$)|：(?![“「\"]))")
 _LIST_HEAD = re.compile(r"[^\n0-9,，。!?]{1,40}[:：]\s*\n\s*" + _ITEM.pattern)
 _ENDED = re.compile(r"[.!?。！？।॥؟۔…][\"”’」』)\]]*$|[\"”」』]$")
 _MARKS = re.compile(r"(?P<mark>[.!?。！？।॥؟۔…]+)|(?P<quote>[\"“”「」『』])|(?P<line>\n)")
