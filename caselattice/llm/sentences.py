@@ -50,6 +50,8 @@ OPEN_ENDS = frozenset(
     "the a an of at by to and or in on for from with into near under was were is are be been has have had his her its their"
     " not no that which who as than ka ke ki ko se mein par aur ne bhi hi toh jo jiska wahan yahan kisi".split()
 )
+#: Last words of romanised Hindi sentences.
+ROMAN_FINALS = frozenset("hai hain hoon tha thi the gaya gayi gaye hua hui diya liya mila bola kaha aaya uthaya".split())
 #: Abbreviations written in other scripts.
 ABBREVIATIONS = frozenset(
     "श्री श्रीमती सुश्री कु डॉ प्रो पु.नि पो.नि मु.अ.सं मु.अ सं रु नं क्र क्रमांक मो मा स्व जि ता पु पो नि अ मि ले ई वि"
@@ -326,6 +328,14 @@ def _reads_on(text: str, a: tuple[int, int], b: tuple[int, int]) -> bool:
     return True
 
 
+def _starts_anew(text: str, a: tuple[int, int], b: tuple[int, int]) -> bool:
+    """Whether line ``a`` ends in a final word and line ``b`` begins with an opener: a sentence without a mark between."""
+    last = text[a[0] : a[1]].split()[-1]
+    if last in FINAL_WORDS:
+        return text.startswith(SCRIPT_OPENERS, b[0])
+    return last in ROMAN_FINALS and text[b[0] : b[1]].split()[0].rstrip(",") in OPENERS
+
+
 def structural(text: str, start: int, end: int) -> bool:
     """Whether a line that is one unit is a heading, a ``Label: value`` line or a list item."""
     label = _LABEL.match(text, start, end)
@@ -400,7 +410,7 @@ def split(text: str) -> list[tuple[int, int]]:
                 elif not wraps[a[1]] or (sure and not wrapped):
                     joins = False
                 elif sure:
-                    joins = True
+                    joins = not _starts_anew(text, a, b)
                 else:
                     joins = 20 <= width <= 120 and _reads_on(text, a, b)
                 if joins is False:
