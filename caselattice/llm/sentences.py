@@ -50,8 +50,11 @@ OPEN_ENDS = frozenset(
     "the a an of at by to and or in on for from with into near under was were is are be been has have had his her its their"
     " not no that which who as than ka ke ki ko se mein par aur ne bhi hi toh jo jiska wahan yahan kisi".split()
 )
+#: Copulas, with which a clause ends, and words that join another clause to it.
+COPULAS = frozenset("hai hain hoon tha thi है हैं था थी थे हूँ आहे आहेत होता होती होते ছিল ছিলেন ہے ہیں تھا تھی تھے ہوں".split())
+CONJUNCTIONS = frozenset("aur lekin ki kyunki jo jab toh और कि तो लेकिन मगर जो जब क्योंकि आणि पण की म्हणून এবং আর কিন্তু যে তবে اور کہ لیکن مگر جو جب".split())
 #: Last words of romanised Hindi sentences.
-ROMAN_FINALS = frozenset("hai hain hoon tha thi the gaya gayi gaye hua hui diya liya mila bola kaha aaya uthaya".split())
+ROMAN_FINALS = frozenset("hai hain hoon tha thi gaya gayi gaye hua hui diya liya mila bola kaha aaya uthaya".split())
 #: Abbreviations written in other scripts.
 ABBREVIATIONS = frozenset(
     "श्री श्रीमती सुश्री कु डॉ प्रो पु.नि पो.नि मु.अ.सं मु.अ सं रु नं क्र क्रमांक मो मा स्व जि ता पु पो नि अ मि ले ई वि"
@@ -331,9 +334,12 @@ def _reads_on(text: str, a: tuple[int, int], b: tuple[int, int]) -> bool:
 def _starts_anew(text: str, a: tuple[int, int], b: tuple[int, int]) -> bool:
     """Whether line ``a`` ends in a final word and line ``b`` begins with an opener: a sentence without a mark between."""
     last = text[a[0] : a[1]].split()[-1]
+    first = text[b[0] : b[1]].split()[0].rstrip(",")
+    if last in COPULAS:
+        return first[0].isupper() if first[0].isascii() and first[0].isalpha() else first not in CONJUNCTIONS and first.rstrip("।.۔!?") not in HELPERS
     if last in FINAL_WORDS:
         return text.startswith(SCRIPT_OPENERS, b[0])
-    return last in ROMAN_FINALS and text[b[0] : b[1]].split()[0].rstrip(",") in OPENERS
+    return last in ROMAN_FINALS and first in OPENERS
 
 
 def structural(text: str, start: int, end: int) -> bool:
