@@ -1,14 +1,14 @@
 """Languages of texts and of the segments of mixed texts, by bitmask filters over character n-grams.
 
 One bit-sliced Bloom filter holds the n-grams of all languages: each slot is a word with two bits per language (any n-gram,
-and those of several samples or of function words), an n-gram sets its language's bits in ``HASHES`` slots, and the AND of
+and those of several samples), an n-gram sets its language's bits in ``HASHES`` slots, and the AND of
 those slots is the set of languages that contain the n-gram.
 Per sentence the bits are counted per language, an n-gram known to few languages counting more, and each count is reduced
 by what the language's fill rate makes expected by chance. The largest count decides; its lead over the next is the
 confidence. The filter is fitted once on a bounded table of labelled sentences and shipped with the tasks; hashes and
 look-ups of a whole text are vectorised.
 
-Codes, numbers, e-mail addresses and punctuation are blanked first, so that names and codes of another language inside a
+Whole function words count besides. Codes, numbers, e-mail addresses and punctuation are blanked first, so that names and codes of another language inside a
 sentence weigh little; a sentence without evidence takes the language of the sentence before it, else the main one.
 
 Defined results: null, empty and blank texts have no language and no segments; headings, label lines and list items are
@@ -33,8 +33,8 @@ from . import sentences
 
 #: n-gram sizes, slots of the filter (a power of two) and hash functions.
 SIZES, SLOTS, HASHES = (1, 2, 3, 4, 5), 1 << 18, 3
-#: Weight of an n-gram of several samples or of a function word, beside 1 for any.
-STRONG = 2.0
+#: Weights of an n-gram of several samples and of a whole function word, beside 1 for any n-gram.
+STRONG, WORD = 1.0, 15.0
 #: Words of a run of one script that can be a sentence of its own.
 WORDS = 4
 #: Lead under which a sentence is given to the main language when that comes second.
@@ -46,22 +46,23 @@ FIT_ROWS = 20_000
 FUNCTION_WORDS = {
     "en": "the a an of and to in on at for from with by was were is are be been has have had not no he she it they we his her"
     " their this that which who what when where why how all any some one two before after then left said denied ran refused"
-    " gone came went asked told found seen taken never nothing further enquiry report trace",
+    " gone came went asked told found seen taken never nothing further enquiry report trace during within about near into up down out off only each other",
     "hi-Latn": "ka ke ki ko se mein par aur ne bhi hi toh jo tha thi the hai hain ho hua hui gaya gayi gaye kya kaun kisne kab kahan"
     " kyun woh yeh usne uske usko uska mera meri mere hum humne maine mujhe aap nahi kuch koi sab phir lekin jab tab wahan yahan"
-    " kiya kar karta rehta bola kaha diya liya mila raha rahi rahe baat kal abhi bilkul",
+    " usi din baad paas log bina wapas likha number mutabik kiya kar karta rehta bola kaha diya liya mila raha rahi rahe baat kal abhi bilkul",
     "hi": "का के की को से में पर और ने भी ही तो जो था थी थे है हैं हो हुआ हुई गया गई गए क्या कौन किसने कब कहाँ क्यों वह यह उसने उसके उसका मेरा"
     " मैं हम आप नहीं कुछ कोई सब फिर लेकिन जब तब वहाँ यहाँ किया कर करता रहता रहती दिया लिया मिला रहा रही पहचान पत्र बताया क्रमांक नंबर नोटिस थाना दुकान गाड़ी ताला सामान शिकायत सूचना पुलिस पड़ोसी"
-    " गवाह धारा भेजा संदेश फ़ोन",
+    " गवाह धारा भेजा संदेश फ़ोन बरामद तलाशी वापस बिना लिखा अनुसार बाद दिन दर्ज द्वारा साथ लोग पास अब बहुत अपना अपने उन्होंने होने लिए तक चाहिए आई बनाया",
     "mr": "चा ची चे च्या ला ना नी ने आणि पण तो ती ते हा ही हे होता होती होते आहे आहेत नाही झाला झाली केला केली गेला गेली काय कोण कोणी कुठे"
     " मी आम्ही तुम्ही माझा माझे त्याने त्याच्या त्यांनी यांनी यांच्या येथे जवळ वरून मधून राहतो रोजी असून म्हणाला सांगितले ओळखपत्र सतत कोणीही पोलीस क्रमांक दुकान"
-    " गाडी कुलूप माल तक्रार शेजारी साक्षीदार दिवशी त्यानंतर झडतीमध्ये सापडला सापडली फोन केली",
+    " गाडी कुलूप माल तक्रार शेजारी साक्षीदार दिवशी त्यानंतर झडतीमध्ये सापडला सापडली फोन केली आढळले रिकामा नंतर पर्यंत सांगतो असे म्हणजे त्या त्यांची माझ्या आपल्या"
+    " झाले करण्यात आले आला होऊन दोघे एकत्र वेगवेगळे किमतीचा परत निघाली ठाण्यात",
 }
 _CODES = re.compile(
     r"[A-Za-z0-9.+_-]+\s?(?:@|[\[(]at[\])])\s?[A-Za-z0-9-]+(?:\s?(?:\.|[\[(]dot[\])])\s?[A-Za-z0-9-]+)*"
     r"|[A-Za-z0-9०-९০-৯.,:/()+-]*[0-9०-९০-৯][A-Za-z0-9०-९০-৯.,:/()+-]*|<[^>\s]*>|\b[A-Za-z]:\\\S*"
-    r"|[^\w\sऀ-෿฀-๿\u200c\u200d]+|[_\s]+"
 )
+_MARKS = re.compile(r"[^\w\sऀ-෿฀-๿\u200c\u200d]+|[_\s]+")
 _SPACED = re.compile(r"\S+")
 _NAME = re.compile(r"(?<![A-Za-z\"“])[A-Z][A-Za-z.]*")
 _LOWER = {c: c + 32 for c in range(65, 91)}
@@ -72,8 +73,9 @@ _BASE = np.uint64(1_099_511_628_211)
 def plain(text: str, starts: Iterable[int] = (0,)) -> str:
     """The text with codes, numbers, capitalised words inside sentences and punctuation blanked; offsets stay."""
     first = set(starts)
-    bare = _NAME.sub(lambda m: m[0] if m.start() in first else " " * len(m[0]), text)
-    return _CODES.sub(lambda m: " " * len(m[0]), bare).translate(_LOWER)
+    blank = lambda m: " " * len(m[0])
+    bare = _NAME.sub(lambda m: m[0] if m.start() in first else " " * len(m[0]), _CODES.sub(blank, text))
+    return _MARKS.sub(blank, bare).translate(_LOWER)
 
 
 def _hashes(codes: np.ndarray, n: int) -> list[np.ndarray]:
@@ -102,8 +104,9 @@ class LanguageFilter:
         self.languages = sorted(texts)
         if 2 * len(self.languages) > 64:
             raise ValueError("a slot has 64 bits, two per language")
-        # the upper half of a slot's bits holds the n-grams of several samples and of function words
+        # the upper half of a slot's bits holds the n-grams of several samples
         self.slots = np.zeros(SLOTS, np.uint64)
+        self.words: dict[str, list[int]] = {}
         for bit, lang in enumerate(self.languages):
             seen = np.zeros(SLOTS, np.uint16)
             for text in texts[lang]:
@@ -114,11 +117,9 @@ class LanguageFilter:
                         self._set(once[:, seen[once].min(axis=0) > 0], bit + len(self.languages))
                         seen[np.unique(once)] += 1
             for word in FUNCTION_WORDS.get(lang, "").split():
+                self.words.setdefault(word, []).append(bit)
                 for n in SIZES:
-                    once = np.stack(_hashes(self._codes(word), n))
-                    self._set(once, bit)
-                    if n == min(len(word) + 2, SIZES[-1]):  # the whole word with its bounds
-                        self._set(once, bit + len(self.languages))
+                    self._set(np.stack(_hashes(self._codes(word), n)), bit)
         bits = (self.slots[:, None] >> np.arange(2 * len(self.languages), dtype=np.uint64)) & np.uint64(1)
         self.p = bits.mean(axis=0) ** HASHES
 
@@ -162,6 +163,10 @@ class LanguageFilter:
             chance = (seen[high] - seen[low])[:, None] * self.p
             found = np.maximum(0, sums[high] - sums[low] - chance) / (1 - self.p)
             total += found[:, :count] + STRONG * found[:, count:]
+        for row, (low, high) in enumerate(spans):
+            for word in text[low:high].split():
+                for bit in self.words.get(word, ()):
+                    total[row, bit] += WORD / len(self.words[word])
         return total
 
 
