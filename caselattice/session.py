@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -60,3 +63,17 @@ def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFra
     The count stops at ``max_rows + 1`` rows, so checking a large table stays cheap.
     """
     return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the Python workers, once per context, so that it need not be installed on the executors."""
+    context = spark.sparkContext
+    if getattr(context, "_caselattice_shipped", False):
+        return
+    root = Path(__file__).resolve().parent
+    archive = os.path.join(tempfile.mkdtemp(prefix="caselattice-"), "caselattice.zip")  # read by the driver's file server only
+    with zipfile.ZipFile(archive, "w") as out:
+        for path in sorted(root.rglob("*.py")):
+            out.write(path, str(path.relative_to(root.parent)))
+    context.addPyFile(archive)
+    context._caselattice_shipped = True
