@@ -12,12 +12,13 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 #: Words of the longest name that is looked for in texts.
 NAME_WORDS = 5
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def composed(texts: pd.Series) -> pd.Series:
     """Texts in composed Unicode form."""
     return texts.map(lambda t: unicodedata.normalize("NFC", t), na_action="ignore")

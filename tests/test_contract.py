@@ -1,3 +1,4 @@
+import subprocess
 import sys
 from pathlib import Path
 
@@ -16,3 +17,10 @@ def test_every_sql_has_a_query_and_the_core_stands_alone():
 def test_entry_runs(spark):
     assert contract.entry(spark).count() > 0
     assert sys.version_info >= (3, 10)
+
+
+def test_queries_are_listed_without_a_session():
+    code = "import __spark_entry__ as e; print(len(e.queries()), len(e.oracle_sql()))"
+    root = str(Path(contract.__file__).parent)
+    done = subprocess.run([sys.executable, "-c", code], cwd=root, capture_output=True, text=True, timeout=120, check=False)
+    assert done.returncode == 0, done.stderr[-500:]
