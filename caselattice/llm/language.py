@@ -63,6 +63,7 @@ _CODES = re.compile(
     r"|[A-Za-z0-9०-९০-৯.,:/()+-]*[0-9०-९০-৯][A-Za-z0-9०-९০-৯.,:/()+-]*|<[^>\s]*>|\b[A-Za-z]:\\\S*"
 )
 _MARKS = re.compile(r"[^\w\sऀ-෿฀-๿\u200c\u200d]+|[_\s]+")
+_LATIN, _OTHER = re.compile("[A-Za-z]{2}"), re.compile("[\u0370-\uffef]")
 _SPACED = re.compile(r"\S+")
 _NAME = re.compile(r"(?<![A-Za-z\"“])[A-Z][A-Za-z.]*")
 _LOWER = {c: c + 32 for c in range(65, 91)}
@@ -142,26 +143,27 @@ class LanguageFilter:
         highs = np.array([b for _, b in spans]) + 2  # the blank before and after belong to the span
         count = len(self.languages)
         shift = np.arange(2 * count, dtype=np.uint64)
+        blanks = np.concatenate([[0], np.cumsum(space)])
         for n in SIZES:
             if len(codes) < n:
                 continue
-            slots = _hashes(codes, n)
-            mask = self.slots[slots[0]]
-            for at in slots[1:]:
-                mask = mask & self.slots[at]
-            blank = np.convolve(space, np.ones(n), "valid") > (0 if n == 1 else min(n - 1, 2))  # no n-grams of blanks
-            mask[blank] = 0
-            bits = ((mask[:, None] >> shift) & np.uint64(1)).astype(np.float32)
+            first, *rest = _hashes(codes, n)
+            mask = self.slots[first]
+            for at in rest:
+                mask &= self.slots[at]
+            places = np.arange(len(mask))
+            row = np.searchsorted(lows, places, side="right") - 1
+            blank = blanks[n:] - blanks[:-n] > (0 if n == 1 else min(n - 1, 2))  # no n-grams of blanks
+            kept = (row >= 0) & (places < highs[row] - n + 1) & ~blank
+            # texts have few different masks, so languages are counted per mask and span
+            masks, which = np.unique(mask[kept], return_inverse=True)
+            per = np.bincount(row[kept] * max(1, len(masks)) + which, minlength=len(spans) * max(1, len(masks))).reshape(len(spans), -1)
+            bits = ((masks[:, None] >> shift) & np.uint64(1)).astype(np.float64)
             for half in (bits[:, :count], bits[:, count:]):
                 known = half.sum(axis=1, keepdims=True)
                 np.divide(half, known, out=half, where=known > 0)
-            weight = bits
-            sums = np.concatenate([np.zeros((1, bits.shape[1])), np.cumsum(weight, axis=0, dtype=np.float64)])
-            seen = np.concatenate([[0], np.cumsum(~blank)])
-            low, high = np.minimum(lows, len(mask)), np.clip(highs - n + 1, 0, len(mask))
-            high = np.maximum(low, high)
-            chance = (seen[high] - seen[low])[:, None] * self.p
-            found = np.maximum(0, sums[high] - sums[low] - chance) / (1 - self.p)
+            chance = per.sum(axis=1, keepdims=True) * self.p
+            found = np.maximum(0, (per @ bits if len(masks) else np.zeros_like(chance)) - chance) / (1 - self.p)
             total += found[:, :count] + STRONG * found[:, count:]
         for row, (low, high) in enumerate(spans):
             for word in text[low:high].split():
@@ -200,6 +202,8 @@ def sentence_languages(text: str, filter_: LanguageFilter) -> list[tuple[int, in
 
 def by_script(text: str, start: int, end: int) -> list[tuple[int, int]]:
     """A unit cut where one script's run of ``WORDS`` words or more follows another's: sentences without a mark between."""
+    if not (_OTHER.search(text, start, end) and _LATIN.search(text, start, end)):
+        return [(start, end)]
     runs: list[list] = []  # script, words, start
     for m in _SPACED.finditer(plain(text[start:end])):
         kind = next((s for s in map(sentences.script, m[0]) if s), "")
