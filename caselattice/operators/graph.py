@@ -180,7 +180,7 @@ def pagerank(edges: DataFrame, nodes: DataFrame, damping: float = 0.85, rounds:
     n = ids.count()
     if not n:
         return ids.withColumn("rank", F.lit(0.0))
-    flow = edges.filter("src IS NOT NULL AND dst IS NOT NULL").groupBy("src", "dst").agg(F.sum("w").alias("w"))
+    flow = edges.filter("src IS NOT NULL AND dst IS NOT NULL").groupBy("src", "dst").agg(F.sum("w").alias("w")).filter("w > 0")
     out = flow.groupBy("src").agg(F.sum("w").alias("total"))
     share = cut(flow.join(out, "src").select("src", "dst", (F.col("w") / F.col("total")).alias("share")))
     sinks = cut(ids.join(share.select(F.col("src").alias("node")).distinct(), "node", "left_anti"))

@@ -32,7 +32,7 @@ def auc(scored: DataFrame, score: str, positive: str, bins: int | None = None) -
     per = scored.select(value.alias("s"), F.col(positive).cast("boolean").alias("p")).dropna().groupBy("s").agg(F.count_if(F.expr("p")).alias("pos"), F.count_if(F.expr("NOT p")).alias("neg"))
     below = F.coalesce(F.sum("neg").over(W.orderBy("s").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     won = per.withColumn("won", F.col("pos") * (below + F.col("neg") / 2.0))
-    return won.agg(F.sum("pos").alias("n_pos"), F.sum("neg").alias("n_neg"), F.round(F.sum("won") / (F.sum("pos") * F.sum("neg")), 6).alias("auc"))
+    return won.agg(F.sum("pos").alias("n_pos"), F.sum("neg").alias("n_neg"), F.round(F.try_divide(F.sum("won"), F.sum("pos") * F.sum("neg")), 6).alias("auc"))
 
 
 def precision_at(scored: DataFrame, group: str, score: str, hit: str, tie: str, k: int) -> DataFrame:
