@@ -33,7 +33,7 @@ from ..operators.components import connected_components
 from ..session import cut
 
 #: Least letters of a suffix, and forms in a refined block from which longer suffixes take over.
-SUFFIX, COMMON = 3, 80
+SUFFIX, COMMON = 3, 120
 #: Least LCS ratio of two spellings of a token of three, up to five and more letters, of two rare ones, and how rare the
 #: wrong one must be beside the right one.
 RATIOS, RATIO_RARE, RARE = (0.66, 0.75, 0.79), 0.85, 0.12
@@ -278,11 +278,14 @@ def _canonical(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["type", "circle", "entity_id", "sort", "tokens", "counts"])
 
 
-def _keys(kind: str, sort: str, tokens: list[str]) -> list[tuple[str, str, bool]]:
-    """``(suffix, initial of another token, whether the suffix is the whole token)`` of a form."""
+def _keys(kind: str, sort: str, tokens: list[str]) -> list[tuple[str, str, str, bool]]:
+    """``(slot, suffix, initial of another token, whether the suffix is the whole token)`` of a form.
+
+    A slot is a pair of tokens; its keys are the suffixes of the first with the initial of the second.
+    """
     parts = [tokens[0], tokens[2]] if kind == "PERSON" else [t for t in tokens if t[0] != "+"]
     if kind != "PERSON" and sort == "short":
-        return [("=" + "".join(sorted(parts)), "", True)]
+        return [("=", "".join(sorted(parts)), "=", True)]
     found = []
     for i, t in enumerate(parts):
         if len(t) < 2:
@@ -290,9 +293,9 @@ def _keys(kind: str, sort: str, tokens: list[str]) -> list[tuple[str, str, bool]
         for j, other in enumerate(parts):
             if i != j and other:
                 for start in range(max(1, len(t) - SUFFIX + 1)):
-                    found.append((t[start:], ("" if kind != "PERSON" else "fl"[i]) + other[0], start == 0))
+                    found.append((f"{i}{j}", t[start:], ("" if kind != "PERSON" else "fl"[i]) + other[0], start == 0))
     if kind != "PERSON":
-        found.append(("=" + "".join(sorted(t[0] for t in parts)), "", True))
+        found.append(("=", "".join(sorted(t[0] for t in parts)), "=", True))
     return found
 
 
@@ -304,12 +307,11 @@ def _index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for key in dict.fromkeys(_keys(kind, sort, toks)):
                 rows.append(i)
                 cells.append(key)
-        columns = list(zip(*cells, strict=True)) if cells else [()] * 3
+        columns = list(zip(*cells, strict=True)) if cells else [()] * 4
         take = pa.array(rows, pa.int32())
         yield pa.RecordBatch.from_arrays(
-            [batch.column("type").take(take), batch.column("circle").take(take), batch.column("form").take(take), batch.column("sort").take(take),
-             pa.array(columns[0], pa.string()), pa.array(columns[1], pa.string()), pa.array(columns[2], pa.bool_())],
-            names=["type", "circle", "form", "sort", "suffix", "initial", "whole"],
+            [batch.column(n).take(take) for n in ("type", "circle", "form", "sort")] + [pa.array(c, pa.string()) for c in columns[:3]] + [pa.array(columns[3], pa.bool_())],
+            names=["type", "circle", "form", "sort", "slot", "suffix", "initial", "whole"],
         )
 
 
@@ -401,10 +403,14 @@ def entity_groups(entities: DataFrame, nicknames: DataFrame | None = None) -> Da
                 F.array(F.lit(1_000_000_000).cast("long"), F.col("counts")[1], F.col("counts")[2]).alias("counts"))
     )
     shown = cut(distinct.select("form", "type", "circle", "sort", "tokens", "counts").unionByName(expanded))
-    index = cut(shown.mapInArrow(_index, "type string, circle string, form string, sort string, suffix string, initial string, whole boolean").distinct())
+    index = cut(shown.mapInArrow(_index, "type string, circle string, form string, sort string, slot string, suffix string, initial string, whole boolean"))
     block = ["type", "circle", "suffix", "initial"]
     sizes = index.groupBy(*block).agg(F.count(F.lit(1)).alias("size"))
-    kept = index.join(sizes.filter("size > 1"), block).filter((F.col("size") <= COMMON) | F.col("whole"))
+    # of each slot the shortest suffix whose block is not common, else the whole token: whoever shares a longer one shares it too
+    usable = index.join(sizes.filter("size > 1"), block).filter((F.col("size") <= COMMON) | F.col("whole"))
+    kept = usable.groupBy("type", "circle", "form", "sort", "slot").agg(F.min(F.struct(F.length("suffix").alias("n"), F.col("suffix"), F.col("initial"))).alias("k")).select(
+        "type", "circle", "form", "sort", "k.suffix", "k.initial"
+    )
     a = kept.select(*block, F.col("form").alias("a"), F.col("sort").alias("sort_a"))
     b = kept.select(*block, F.col("form").alias("b"), F.col("sort").alias("sort_b"))
     met = (
