@@ -170,4 +170,13 @@ ORACLE = {
     "acceptance": """WITH m AS (SELECT 'caller_known' AS metric, round(avg(CASE WHEN caller IS NOT NULL THEN 1 ELSE 0 END), 6) AS value FROM cdr UNION ALL SELECT 'account_known', round(avg(CASE WHEN source_account IS NOT NULL THEN 1 ELSE 0 END), 6) FROM bank_transactions),
       l(metric, op, threshold) AS (VALUES ('caller_known', '>=', 0.99::DOUBLE), ('account_known', '>=', 0.99::DOUBLE), ('absent', '<=', 1.0::DOUBLE))
       SELECT metric, value, op, threshold, coalesce(CASE op WHEN '>=' THEN value >= threshold ELSE value <= threshold END, false) AS passed FROM l LEFT JOIN m USING (metric)""",
+    "outputs_agree": with_tables("calls") + "SELECT count(*) AS n_rows, true AS same FROM (SELECT caller, count(*) FROM calls GROUP BY 1)",
+    "greedy_merge_turns": with_tables("calls", more="""timed AS (SELECT caller, call_id, epoch_us(ts) / 1000000.0 AS s, epoch_us(ts) / 1000000.0 + coalesce(duration_s, 0) AS e, row_number() OVER (PARTITION BY caller ORDER BY ts, call_id) AS k FROM calls WHERE caller IS NOT NULL),
+      turn(caller, k, first, e) AS (SELECT caller, k, s, e FROM timed WHERE k = 1
+        UNION ALL SELECT t.caller, t.k, CASE WHEN t.e - r.first <= 3600 THEN r.first ELSE t.s END, t.e FROM turn r JOIN timed t ON t.caller = r.caller AND t.k = r.k + 1)""")
+    + "SELECT caller, CAST(first AS DOUBLE) AS first, CAST(max(e) AS DOUBLE) AS last, count(*) AS n_rows FROM turn GROUP BY caller, first",
+    "throttled_events": """WITH RECURSIVE timed AS (SELECT user_id, event_id, epoch_us(ts) / 1000000.0 AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events WHERE user_id IS NOT NULL AND ts IS NOT NULL),
+      pass(user_id, event_id, t, k, last, passed) AS (SELECT user_id, event_id, t, k, t, true FROM timed WHERE k = 1
+        UNION ALL SELECT n.user_id, n.event_id, n.t, n.k, CASE WHEN n.t - p.last >= 7200 THEN n.t ELSE p.last END, n.t - p.last >= 7200 FROM pass p JOIN timed n ON n.user_id = p.user_id AND n.k = p.k + 1)
+      SELECT user_id, event_id, CAST(t AS DOUBLE) AS "at" FROM pass WHERE passed""",
 }

@@ -138,4 +138,7 @@ ORACLE = {
     "tfidf_vectors": f"""WITH {_INDEX}, df AS (SELECT token, count(*) AS df FROM idx GROUP BY 1), cells AS (SELECT doc_id, CAST(('0x' || substr(md5(token), 1, 7))::BIGINT % 384 AS BIGINT) AS pos,
       sum(tf * ln((1 + (SELECT count(DISTINCT doc_id) FROM idx)) / (1 + df))) AS x FROM idx JOIN df USING (token) GROUP BY 1, 2), norms AS (SELECT doc_id, sqrt(sum(x * x)) AS norm FROM cells GROUP BY 1)
       SELECT doc_id, pos, round(x / norm, 5) AS value FROM cells JOIN norms USING (doc_id) WHERE norm > 0""",
+    "clean_texts": r"""SELECT doc_key, length(c) AS n_chars, len(list_filter(string_split_regex(lower(coalesce(c, '')), '[^\p{L}\p{M}\p{N}]+'), lambda w: w <> '')) AS n_words FROM (
+      SELECT doc_key, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(nfc_normalize(t), '[\x00-\x08\x0b-\x1f\x7f-\x9f]|\p{Cf}', '', 'g'), '[ \t\x{a0}]+', ' ', 'g'), ' ?\n ?', chr(10), 'g'), '\n{3,}', chr(10) || chr(10), 'g'), chr(32) || chr(10) || chr(9)) AS c
+      FROM (SELECT doc_key, min(raw_text) AS t FROM case_files GROUP BY 1))""",
 }

@@ -37,7 +37,10 @@ def build_session(app: str = "caselattice", master: str | None = None, **conf: s
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The folder checkpoints go to: the cluster's ``spark.checkpoint.dir``, else (tests only) a local one."""
+    """The folder checkpoints go to: the cluster's ``spark.checkpoint.dir``.
+
+    Where that is unset, a folder of this machine serves a local master (tests), and one beside the warehouse any other.
+    """
     context = spark.sparkContext
     current = context._jsc.sc().getCheckpointDir()
     if current.isDefined():
@@ -45,8 +48,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     wanted = context.getConf().get("spark.checkpoint.dir", None)
     if not wanted:
         if not context.master.startswith("local[") and context.master != "local":
-            raise RuntimeError("spark.checkpoint.dir must name a shared folder on a cluster")
-        wanted = tempfile.mkdtemp(prefix="caselattice-checkpoint-")
+            wanted = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoint"
+        else:
+            wanted = tempfile.mkdtemp(prefix="caselattice-checkpoint-")
     context.setCheckpointDir(wanted)
     return wanted
 
