@@ -20,7 +20,6 @@ from __future__ import annotations
 import json
 import re
 from array import array
-from collections import ChainMap
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import chain
@@ -134,30 +133,19 @@ class PieceEncoder:
         self.tokenizer = load_tokenizer(path)
         self.known: dict[str, bytes] = {}
 
-    def _learn(self, pieces: list[str], extra: dict[str, bytes]) -> None:
-        if len(self.known) + len(pieces) > self.KEPT:
-            self.known.clear()
-        for piece, e in zip(pieces, self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False), strict=True):
-            (self.known if len(piece) <= self.KEPT_CHARS else extra)[piece] = array("i", e.ids).tobytes()
-
     def __call__(self, texts: list[str]) -> list[bytes]:
         cut = [self.PIECE.findall(t) for t in texts]
-        new = set(chain.from_iterable(cut)).difference(self.known)
-        long = {p: self.FINER.split(p) for p in new if len(p) > self.LONG}
-        long = {p: parts for p, parts in long.items() if len(parts) > 1}
-        extra: dict[str, bytes] = {}
-        wanted = (new - long.keys()) | set(chain.from_iterable(long.values())).difference(self.known)
-        if len(self.known) + len(wanted) > self.KEPT:  # it will be cleared: learn all pieces of these texts again
-            wanted |= set(chain.from_iterable(cut)) - long.keys()
-            wanted |= set(chain.from_iterable(long.values()))
-        self._learn(list(wanted), extra)
-        at = ChainMap(self.known, extra) if extra else self.known
-        for piece, parts in long.items():
-            extra[piece] = b"".join([at[p] for p in parts])
-        if not extra:
-            return [b"".join([at[p] for p in pieces]) for pieces in cut]
+        pieces = set(chain.from_iterable(cut))
+        if len(self.known) + len(pieces) > self.KEPT:
+            self.known = {}
+        long = {p: parts for p in pieces.difference(self.known) if len(p) > self.LONG and len(parts := self.FINER.split(p)) > 1}
+        new = list((pieces - long.keys()).union(chain.from_iterable(long.values())).difference(self.known))
+        found = {p: array("i", e.ids).tobytes() for p, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True)}
+        self.known.update((p, ids) for p, ids in found.items() if len(p) <= self.KEPT_CHARS)
         known = self.known
-        return [b"".join([known[p] if p in known else extra[p] for p in pieces]) for pieces in cut]
+        of = lambda p: known[p] if p in known else found[p]
+        found |= {p: b"".join(map(of, parts)) for p, parts in long.items()}
+        return [b"".join(map(of, pieces)) for pieces in cut]
 
 
 @lru_cache(maxsize=4)
