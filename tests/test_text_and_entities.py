@@ -130,3 +130,23 @@ def test_folds(spark, rows):
     assert [r[3] for r in rows(G.vector_segments(vectors, "k", "a", "x", "id", 0.85, 5.0))] == [2, 1]
     ticks = spark.createDataFrame([("v", t / 2, i) for i, t in enumerate(range(10))], "k string, a double, id int")
     assert [r[2] for r in rows(G.throttled(ticks, "k", "a", "id", 2.0))] == [0.0, 2.0, 4.0]
+
+
+def test_mentions(spark, rows):
+    from caselattice.operators import mentions as N
+
+    schema = "doc string, type string, text string, start int, end int, method string, confidence double"
+    found = spark.createDataFrame(
+        [
+            ("d", "PHONE", "98765 43210", 5, 16, "regex", 0.9), ("d", "PERSON", "43210 Ravi", 11, 21, "model", 0.7), ("d", "ORGANIZATION", "9876543210", -1, -1, "model", 0.7),
+            ("d", "PERSON", "Ravi Nagar", 40, 50, "model", 0.8), ("e", "PERSON", "9876543210", -1, -1, "model", 0.7), ("d", "PERSON", None, -1, -1, "model", 0.1),
+        ],
+        schema,
+    )
+    kept = N.patterns_first(found)
+    assert rows(kept, "doc", "text") == sorted([("d", "98765 43210"), ("d", "Ravi Nagar"), ("e", "9876543210"), ("d", None)], key=repr)
+    assert rows(N.places(kept.filter("text = 'Ravi Nagar'")), "type", "confidence") == [("LOCATION", 0.72)]
+    reasons = {r["text"]: r["r"] for r in found.select("text", N.junk_reason(F.col("type"), F.col("text")).alias("r")).collect()}
+    assert reasons[None] == "empty" and reasons["98765 43210"] is None
+    assert one(spark, N.is_fragment, "aur Ravi") is True and one(spark, N.is_fragment, "Ravi Das") is False
+    assert N.patterns_first(found.limit(0)).count() == 0
