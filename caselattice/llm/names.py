@@ -304,7 +304,8 @@ def _index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows, cells = [], []
         kinds, sorts, tokens = (batch.column(n).to_pylist() for n in ("type", "sort", "tokens"))
         for i, (kind, sort, toks) in enumerate(zip(kinds, sorts, tokens, strict=True)):
-            for key in dict.fromkeys(_keys(kind, sort, toks)):
+            # one entry of a form in a block, or its size would be counted too high
+            for key in {(suffix, initial): (slot, suffix, initial, whole) for slot, suffix, initial, whole in _keys(kind, sort, toks)}.values():
                 rows.append(i)
                 cells.append(key)
         columns = list(zip(*cells, strict=True)) if cells else [()] * 4
