@@ -21,7 +21,7 @@ def clean_texts(spark: SparkSession, folder: str) -> DataFrame:
     """Raw texts composed and cleaned: their length and words."""
     rows = table(spark, folder, "case_files", "doc_key", "raw_text").groupBy("doc_key").agg(F.min("raw_text").alias("t"))
     c = S.clean(V.composed("t"))
-    return rows.select("doc_key", F.length(c).alias("n_chars"), F.size(V.words_of(c)).cast("long").alias("n_words"))
+    return rows.select("doc_key", F.length(c).cast("long").alias("n_chars"), F.size(V.words_of(c)).cast("long").alias("n_words"))
 
 
 def entity_mentions(spark: SparkSession, folder: str) -> DataFrame:
