@@ -5,8 +5,8 @@ addresses, alias cues and the known parts of names in every script. A determinis
 boundaries and validates it; numbers (phones and identity numbers) are found by shape, since they need no cue.
 
 Parts of names are learned, not listed: a table of known persons gives first and last names, and the values of name
-labels and the items of witness lists in a bounded sample of the texts (``SAMPLE_ROWS``) give those of all scripts. Names of
-unspaced scripts are split into the beginnings and endings that several names share.
+labels and the items of witness lists of all texts give those of all scripts. They are counted in the executors; only the
+vocabulary comes to the driver. Names of unspaced scripts are split into the beginnings and endings that several names share.
 
 Defined results: null, empty and blank texts have no occurrences and stay as they are; offsets count code points of the
 text as given; occurrences never overlap (an e-mail address, address or number wins over a name inside it, the longer over
@@ -19,7 +19,7 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections import Counter
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import ahocorasick
 import pyarrow as pa
@@ -28,10 +28,8 @@ from pyspark.sql import functions as F
 
 from .names import fold
 
-#: Rows of text that name parts are learned from, and times a part must be seen in them.
-SAMPLE_ROWS, SEEN = 20_000, 2
-#: Known persons read, at most.
-PERSON_ROWS = 200_000
+#: Times a part of a name must be seen in the texts.
+SEEN = 2
 
 # Labels before names, headers of witness lists, cues of aliases and first elements of addresses.
 NAME_LABELS = (
@@ -130,6 +128,14 @@ def name_parts(text: str) -> Iterator[tuple[str, str]]:
                 yield ("last" if i == len(words) - 1 and len(words) > 1 else "first"), w.lower()
 
 
+def person_parts(name: str) -> Iterator[tuple[str, str]]:
+    """``(role, token)`` of a known person's name; a name of one word has none."""
+    words = name.lower().split()
+    if len(words) > 1:
+        yield from (("first", w) for w in words[:-1])
+        yield "last", words[-1]
+
+
 class NameBook:
     """Known parts of names by role; Indic tokens are also known by the fold of their Latin spelling."""
 
@@ -138,10 +144,8 @@ class NameBook:
         for role, token, n in parts:
             roles[role][token] += n
         for name in persons:
-            words = name.lower().split()
-            if len(words) > 1:
-                roles["first"].update(words[:-1] * SEEN)
-                roles["last"].update(words[-1:] * SEEN)
+            for role, token in person_parts(name):
+                roles[role][token] += SEEN
         keep = lambda c: {t for t, n in c.items() if n >= SEEN}
         first, last = keep(roles["first"]), keep(roles["last"])
         # a token seen in both roles belongs to the one it has far more often
@@ -363,25 +367,39 @@ def redact(text: str | None, finder: Finder) -> str | None:
     return "".join(out) + text[at:]
 
 
-def learn(texts: DataFrame, text: str, persons: DataFrame | None = None, name: str = "full_name") -> NameBook:
-    """A name book from the labels and lists of at most ``SAMPLE_ROWS`` texts and at most ``PERSON_ROWS`` known persons."""
+def _counted(df: DataFrame, column: str, parts: Callable[[str], Iterator[tuple[str, str]]], weight: int) -> DataFrame:
+    """``(role, token, n)`` of the parts in a column, counted within each batch, each occurrence ``weight`` times."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             seen: Counter = Counter()
             for value in batch.column(0).to_pylist():
-                seen.update(name_parts(value))
+                seen.update(parts(value))
             keys = list(seen)
             yield pa.RecordBatch.from_arrays(
-                [pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.string()), pa.array([seen[k] for k in keys], pa.int64())],
+                [pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.string()), pa.array([seen[k] * weight for k in keys], pa.int64())],
                 names=["role", "token", "n"],
             )
 
-    sample = texts.select(text).dropna().limit(SAMPLE_ROWS)
-    # the vocabulary of a bounded sample is bounded with it
-    parts = sample.mapInArrow(run, "role string, token string, n long").groupBy("role", "token").agg(F.sum("n").alias("n")).collect()
-    people = [] if persons is None else [r[0] for r in persons.select(name).dropna().limit(PERSON_ROWS).collect()]
-    return NameBook(((r["role"], r["token"], r["n"]) for r in parts), people)
+    return df.select(column).dropna().mapInArrow(run, "role string, token string, n long")
+
+
+def vocabulary(texts: DataFrame, text: str, persons: DataFrame | None = None, name: str = "full_name") -> DataFrame:
+    """``(role, token, n)``: the parts of names in all texts and of all known persons that a name book uses.
+
+    First and last names seen less than ``SEEN`` times stay in the executors: they are in no book and never outweigh the other
+    role. Names of unspaced scripts come whole, since those seen once still show where the others are split. The rows grow with
+    the distinct names of the corpus, not with its texts.
+    """
+    parts = _counted(texts, text, name_parts, 1)
+    if persons is not None:
+        parts = parts.unionByName(_counted(persons, name, person_parts, SEEN))
+    return parts.groupBy("role", "token").agg(F.sum("n").alias("n")).filter((F.col("n") >= SEEN) | (F.col("role") == "dense"))
+
+
+def learn(texts: DataFrame, text: str, persons: DataFrame | None = None, name: str = "full_name") -> NameBook:
+    """A name book from the labels and lists of all texts and from all known persons."""
+    return NameBook((r["role"], r["token"], r["n"]) for r in vocabulary(texts, text, persons, name).collect())
 
 
 def found_rows(df: DataFrame, table: str, key: str, text: str, finder: Finder) -> DataFrame:

@@ -1,6 +1,7 @@
 import pytest
+from pyspark.sql import functions as F
 
-from caselattice.llm.personal import Finder, NameBook, found_rows, learn, name_parts, redact, redacted_rows
+from caselattice.llm.personal import Finder, NameBook, found_rows, learn, name_parts, redact, redacted_rows, vocabulary
 
 PERSONS = ["Ravik Dumoray", "Sunel Karapati", "Ravik Karapati", "Sunel Dumoray"]
 
@@ -55,6 +56,18 @@ def test_names_are_learned_from_labels_and_lists():
     assert list(name_parts(text)) == [("first", "asha"), ("last", "devpal"), ("first", "milo"), ("last", "devpal"), ("last", "ran")]
 
 
+def test_names_are_learned_from_all_texts(spark):
+    text = F.when(F.col("id") < 20_000, "nothing here").when(F.col("id") % 2 == 0, "Complainant Name: Asha Devpal").otherwise("报案人: 李玉山")
+    df = spark.range(0, 20_004, 1, 4).select(text.alias("body"))
+    assert kinds(Finder(learn(df, "body")), "Asha Devpal 与李玉山") == [("NAME", "Asha Devpal"), ("NAME", "李玉山")]
+
+
+def test_only_the_vocabulary_leaves_the_executors(spark, rows):
+    df = spark.createDataFrame([("Name: Asha Devpal\n报案人: 李玉山",), ("Name: Milo Devpal",), (None,)], "body string")
+    persons = spark.createDataFrame([("Ravik Dumoray",), ("Single",), (None,)], "full_name string")
+    assert rows(vocabulary(df, "body", persons)) == [("dense", "李玉山", 1), ("first", "ravik", 2), ("last", "devpal", 2), ("last", "dumoray", 2)]
+
+
 def test_rows_edge_cases(spark, rows):
     long = "x " * 60_000 + "mail me@post.test end"
     df = spark.createDataFrame([("a", "write to me@post.test", 1), ("a", "write to me@post.test", 2), ("n", None, 3), ("e", "", 4), ("l", long, 5)], "k string, body string, start_off int")
