@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..tables import table
 from .personal import Finder, found_rows, learn, redacted_rows
@@ -19,8 +20,12 @@ def p1_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p1_redacted(spark: SparkSession, folder: str) -> DataFrame:
-    """Every case file with placeholders for personal information."""
-    return redacted_rows(table(spark, folder, "case_files", "doc_key", "raw_text"), "doc_key", "raw_text", _finder(spark, folder))
+    """``(src_table, row_key, text)``: every case file and every snippet with placeholders for personal information."""
+    finder = _finder(spark, folder)
+    files = redacted_rows(table(spark, folder, "case_files", "doc_key", "raw_text"), "doc_key", "raw_text", finder)
+    snippets = redacted_rows(table(spark, folder, "top3_results", "result_id", "text_snippet"), "result_id", "text_snippet", finder)
+    named = lambda name, df: df.select(F.lit(name).alias("src_table"), "row_key", "text")
+    return named("case_files", files).unionByName(named("top3_results", snippets))
 
 
 QUERIES = {"p1_found": p1_found, "p1_redacted": p1_redacted}

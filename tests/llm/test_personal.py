@@ -1,6 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from caselattice.llm.corpus_personal import p1_redacted
 from caselattice.llm.personal import Finder, NameBook, found_rows, learn, name_parts, redact, redacted_rows, vocabulary
 
 PERSONS = ["Ravik Dumoray", "Sunel Karapati", "Ravik Karapati", "Sunel Dumoray"]
@@ -77,3 +78,16 @@ def test_rows_edge_cases(spark, rows):
     assert rows(redacted_rows(df.filter("k <> 'l'"), "k", "body", f)) == sorted([("a", "write to <EMAIL>"), ("a", "write to <EMAIL>"), ("n", None), ("e", "")], key=repr)
     empty = df.limit(0)
     assert found_rows(empty, "t", "k", "body", Finder(learn(empty, "body"))).count() == 0
+
+
+def test_files_and_snippets_are_redacted(spark, rows, tmp_path):
+    for name, columns, values in (
+        ("case_files", "doc_key string, raw_text string", [("d1", "Complainant Name: Asha Devpal"), ("d2", "write to me@post.test")]),
+        ("top3_results", "result_id long, text_snippet string", [(7, "... call 98765 43210"), (8, "by Sunel Karapati"), (9, None), (7, "... call 98765 43210")]),
+        ("subscribers", "full_name string", [("Sunel Karapati",)]),
+    ):
+        spark.createDataFrame(values, columns).write.parquet(f"{tmp_path}/{name}.parquet")
+    assert rows(p1_redacted(spark, str(tmp_path)), "src_table", "row_key", "text") == [
+        ("case_files", "d1", "Complainant Name: Asha Devpal"), ("case_files", "d2", "write to <EMAIL>"),
+        ("top3_results", "7", "... call <PHONE>"), ("top3_results", "7", "... call <PHONE>"), ("top3_results", "8", "by <NAME>"), ("top3_results", "9", None),
+    ]
