@@ -199,20 +199,21 @@ def pagerank(edges: DataFrame, nodes: DataFrame, damping: float = 0.85, rounds:
     return ranks
 
 
-def path_centrality(pairs: DataFrame, nodes: DataFrame, limit: int = EXACT_NODES) -> DataFrame:
+def path_centrality(pairs: DataFrame, nodes: DataFrame, limit: int | None = EXACT_NODES) -> DataFrame:
     """``node, betweenness, closeness``: exact, normalised, undirected; sources are spread over the tasks.
 
-    Each task holds the adjacency lists, so the number of nodes is checked first and more than ``limit`` are refused.
+    Each task holds the adjacency lists, so the number of nodes is checked first and more than ``limit`` are refused
+    (``None``: none are; the work grows with nodes times edges).
     """
     spark = pairs.sparkSession
     ids = nodes.select(F.col(nodes.columns[0]).alias("node")).unionByName(both_ways(pairs).select("node")).distinct()
-    listed = [r["node"] for r in ids.limit(limit + 1).collect()]
-    if len(listed) > limit:
+    listed = [r["node"] for r in (ids if limit is None else ids.limit(limit + 1)).collect()]
+    if limit is not None and len(listed) > limit:
         raise ValueError(f"exact path centrality is limited to {limit} nodes")
     listed.sort()
     place = {v: i for i, v in enumerate(listed)}
     near: list[list[int]] = [[] for _ in listed]
-    for r in pairs.collect():  # at most the edges among ``limit`` nodes
+    for r in pairs.collect():  # at most the edges among the listed nodes
         near[place[r["a"]]].append(place[r["b"]])
         near[place[r["b"]]].append(place[r["a"]])
     shared = spark.sparkContext.broadcast(near)

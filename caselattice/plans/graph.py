@@ -8,9 +8,12 @@ from pyspark.sql import functions as F
 from ..config import RULES
 from ..operators import graph as G
 from ..operators.components import connected_components
+from ..operators.patterns import flag_ranking as ranked_flags
+from ..operators.patterns import flags
 from ..session import cut
 from ..sources.casedata import edges, vertices, with_tables
-from .patterns import flagged_entities
+from .patterns import carriers, key_flags
+from .temporal import rapid_chain
 
 
 def _pairs(spark, folder):
@@ -100,17 +103,31 @@ def type_counts(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def _entity_flags(spark: SparkSession, folder: str) -> DataFrame:
+    """``entity_id, flags, flag_score`` of all rules: those of phones and accounts, fund paths (R4) and dense clusters (R6)."""
+    paths = rapid_chain(spark, folder).withColumn("key", F.explode(F.split("accounts", ",")))
+    keyed = key_flags(spark, folder).unionByName(flags((paths, "key", "RAPID_FUND_MOVEMENT", F.concat(F.lit("fund path through "), "accounts"))))
+    carried = keyed.join(carriers(spark, folder), "key").select(F.col("entity_id").alias("key"), "flag", "evidence")
+    dense = flags((dense_cluster(spark, folder), "node", "DENSE_CLUSTER_MEMBERSHIP", F.format_string("%.3f of %d neighbours in its community", "share", "n_neighbours")))
+    return ranked_flags(carried.unionByName(dense)).select(F.col("key").alias("node"), "flags", "flag_score")
+
+
 def priority_score(spark: SparkSession, folder: str) -> DataFrame:
-    """Entities by review priority: degree, PageRank beside the largest, and flags, each with its weight."""
+    """Entities by review priority: degree, exact betweenness, PageRank beside the largest, and flags, each with its weight."""
     ranks = pagerank(spark, folder)
     top = ranks.agg(F.max("rank").alias("top"))  # one row
-    flags = flagged_entities(spark, folder).groupBy("entity_id").agg(F.max("flag_score").alias("flag_score"), F.max("flags").alias("flags"))
+    between = G.path_centrality(cut(_pairs(spark, folder)), vertices(spark, folder).select("entity_id"), None).select("node", "betweenness")
     joined = (
-        degree(spark, folder).join(ranks, "node").crossJoin(F.broadcast(top))
-        .join(flags.withColumnRenamed("entity_id", "node"), "node", "left")
+        degree(spark, folder).join(ranks, "node").join(between, "node").crossJoin(F.broadcast(top))
+        .join(_entity_flags(spark, folder), "node", "left")
+    )
+    score = (
+        RULES.weight_degree * F.col("degree") + RULES.weight_betweenness * F.col("betweenness")
+        + RULES.weight_pagerank * F.col("rank") / F.col("top") + F.coalesce("flag_score", F.lit(0.0))
+    )
+    return joined.filter("flags IS NOT NULL OR n_neighbours > 0").select(
+        "node", "degree", "betweenness", "rank", F.coalesce("flags", F.lit("")).alias("flags"), F.round(score, 4).alias("priority")
     )
-    score = RULES.weight_degree * F.col("degree") + RULES.weight_pagerank * F.col("rank") / F.col("top") + F.coalesce("flag_score", F.lit(0.0))
-    return joined.filter("flags IS NOT NULL OR n_neighbours > 0").select("node", "degree", "rank", F.coalesce("flags", F.lit("")).alias("flags"), F.round(score, 4).alias("priority"))
 
 
 QUERIES = {

@@ -68,7 +68,7 @@ def colocation(spark: SparkSession, folder: str) -> DataFrame:
     return P.colocations(_parties(spark, folder))
 
 
-def _flags(spark: SparkSession, folder: str) -> DataFrame:
+def key_flags(spark: SparkSession, folder: str) -> DataFrame:
     p, t = _parties(spark, folder), transfers(spark, folder)
     return P.flags(
         (P.communication_spikes(p), "phone", "COMMUNICATION_SPIKE", F.format_string("%d calls within 24 hours", "peak")),
@@ -80,13 +80,18 @@ def _flags(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def flag_ranking(spark: SparkSession, folder: str) -> DataFrame:
-    return P.flag_ranking(_flags(spark, folder))
+    return P.flag_ranking(key_flags(spark, folder))
+
+
+def carriers(spark: SparkSession, folder: str) -> DataFrame:
+    """The entities that carry a phone or account, by its canonical value."""
+    return vertices(spark, folder).filter("type IN ('PHONE', 'ACCOUNT')").select("entity_id", "type", F.col("name").alias("key"))
 
 
 def flagged_entities(spark: SparkSession, folder: str) -> DataFrame:
     """Flagged phones and accounts with the entities that carry them (equi-join on the canonical value)."""
-    kinds = vertices(spark, folder).filter("type IN ('PHONE', 'ACCOUNT')").select("entity_id", "type", F.col("name").alias("key"))
-    return P.flag_ranking(_flags(spark, folder)).join(kinds, "key").select("entity_id", "type", "key", "flags", "n_flags", "flag_score")
+    kinds = carriers(spark, folder)
+    return P.flag_ranking(key_flags(spark, folder)).join(kinds, "key").select("entity_id", "type", "key", "flags", "n_flags", "flag_score")
 
 
 def risk_topn(spark: SparkSession, folder: str) -> DataFrame:
