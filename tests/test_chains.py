@@ -5,6 +5,7 @@ from datetime import datetime, timedelta
 from caselattice.operators.chains import event_chains, rapid_paths
 from caselattice.operators.components import connected_components
 from caselattice.operators.intervals import overlap_join, points_in
+from caselattice.plans import temporal
 
 START = datetime(2025, 1, 1)
 
@@ -84,3 +85,15 @@ def test_interval_joins(spark):
     assert sorted((r["l"], r["r"]) for r in overlap_join(left, right, "k", 10, "s", "e", "u", "v").collect()) == expected
     inside = sorted((x[0], y[0]) for x in a for y in b if x[1] == y[1] and x[2] <= y[2] <= x[3])
     assert sorted((r["l"], r["r"]) for r in points_in(right, left, "k", 10, "u", "s", "e").collect()) == inside
+
+
+def test_calls_of_any_length_are_in_chains(spark, rows, tmp_path, monkeypatch):
+    ts = lambda minute: datetime(2024, 1, 1, 10, minute)
+    called = [("c1", "p", "q", ts(0), 20), ("c2", "q", "r", ts(20), None), ("c3", "r", "s", ts(45), 900), ("c4", "x", "y", ts(0), 5)]
+    paid = [("t1", "A1", "A2", ts(50), 1.0)]
+    monkeypatch.setattr(temporal, "calls", lambda *_: spark.createDataFrame(called, "call_id string, caller string, callee string, ts timestamp_ntz, duration_s int"))
+    monkeypatch.setattr(temporal, "transfers", lambda *_: spark.createDataFrame(paid, "txn_id string, src string, dst string, ts timestamp_ntz, amount double"))
+    spark.createDataFrame([("S", "s", "A1")], "person_id string, phone string, account string").write.parquet(f"{tmp_path}/subscribers.parquet")
+    assert rows(temporal.all_event_chain_sizes(spark, str(tmp_path))) == [("c1", 4)]
+    assert rows(temporal.all_pivot_steps(spark, str(tmp_path)), "chain", "n_steps") == [("c1", 4)]
+    assert rows(temporal.event_chain_sizes(spark, str(tmp_path))) == [("c3", 2)]
