@@ -1,8 +1,7 @@
 """The typed property graph: building, queries, centrality, link scores and communities.
 
-Vertices and edges are DataFrames. Everything that can be a join or an aggregate is one; iterations write each round to the
-shared checkpoint folder. Exact all-sources algorithms (betweenness, closeness) hold one adjacency list per task and are
-allowed up to a stated number of nodes only.
+Vertices and edges are DataFrames and every algorithm is joins and aggregates over them; iterations write each round to the
+shared checkpoint folder. Nothing of a graph is collected.
 
 Defined results: edges with a null end are rejected; loops do not count for degree, links, paths and communities; repeated
 edges keep the least edge id; isolated nodes have degree 0; an empty graph gives no rows.
@@ -10,46 +9,58 @@ edges keep the least edge id; isolated nodes have degree 0; an empty graph gives
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from functools import reduce
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..session import cut
+from .ranks import with_rank
+from .skew import join_one
 
-#: Nodes up to which exact betweenness and closeness, and greedy communities of one component, are computed.
-EXACT_NODES = 50_000
-GREEDY_NODES = 20_000
 #: Neighbours up to which a node's neighbour pairs are listed; above, it is kept as a hub (see ``shared_neighbours``).
 HUB = 1_000
 
-# What a relation between two types means where nothing else says so.
+# The relation that a record's prefix or a pair of types means where only a shared document is known.
+RECORD_TYPES = (("CDR", "CALLED"), ("TXN", "TRANSFERRED_MONEY_TO"), ("TRANSACTION", "TRANSFERRED_MONEY_TO"), ("FIR", "APPEARS_IN_CASE"))
 PAIR_TYPES = {
-    ("PERSON", "PHONE"): "USES_PHONE", ("PERSON", "ACCOUNT"): "OWNS_ACCOUNT", ("PERSON", "VEHICLE"): "OWNS", ("PERSON", "ORGANIZATION"): "WORKS_FOR",
-    ("PERSON", "LOCATION"): "LOCATED_AT", ("ORGANIZATION", "LOCATION"): "LOCATED_AT", ("PHONE", "PHONE"): "CALLED", ("ACCOUNT", "ACCOUNT"): "TRANSFERRED_MONEY_TO",
-    ("PERSON", "CASE"): "APPEARS_IN_CASE",
+    ("PERSON", "PHONE"): "OWNS", ("PHONE", "PERSON"): "OWNS", ("PERSON", "VEHICLE"): "OWNS", ("VEHICLE", "PERSON"): "OWNS",
+    ("PERSON", "ACCOUNT"): "OWNS", ("ACCOUNT", "PERSON"): "OWNS", ("PERSON", "LOCATION"): "LOCATED_AT", ("LOCATION", "PERSON"): "LOCATED_AT",
+    ("PERSON", "ORGANIZATION"): "WORKS_FOR", ("ORGANIZATION", "PERSON"): "WORKS_FOR", ("ACCOUNT", "ACCOUNT"): "TRANSFERRED_MONEY_TO",
+    ("PHONE", "PHONE"): "CONNECTED_TO", ("PERSON", "PERSON"): "ASSOCIATED_WITH",
 }
-RECORD_TYPES = {"CDR": "CALLED", "TXN": "TRANSFERRED_MONEY_TO", "FIR": "APPEARS_IN_CASE"}
-GENERIC = ("APPEARS_IN_SAME_DOCUMENT", "ASSOCIATED_WITH")
+UNTYPED, DEFAULT_TYPE = "APPEARS_IN_SAME_DOCUMENT", "ASSOCIATED_WITH"
+# Relations of a pair of types inside one case, and their confidence.
+CASE_PAIR_TYPES = {
+    ("PHONE", "PHONE"): "CALLED", ("ACCOUNT", "ACCOUNT"): "TRANSFERRED_MONEY_TO", ("PERSON", "PHONE"): "USES_PHONE", ("PERSON", "ACCOUNT"): "OWNS_ACCOUNT", ("PERSON", "VEHICLE"): "DRIVES_VEHICLE",
+}
+CASE_PAIR_CONFIDENCE = 0.80
 
 
 def typed(edges: DataFrame, vertices: DataFrame) -> DataFrame:
-    """Edges with ``kind`` and ``strength``: a given type stays, a generic one follows the record's prefix, else the pair of types."""
+    """Edges with ``kind`` and ``strength``: a given type stays; an edge of a shared document follows the record's prefix (in
+    any case), else the pair of types, else the default. Calls and transfers count double, at most 1.
+    """
     kinds = vertices.select(F.col("entity_id").alias("id"), F.col("type"))
     a = kinds.select(F.col("id").alias("src"), F.col("type").alias("src_type"))
     b = kinds.select(F.col("id").alias("dst"), F.col("type").alias("dst_type"))
-    joined = edges.join(a, "src", "left").join(b, "dst", "left")
-    by_record = F.element_at(_map(RECORD_TYPES), F.split(F.coalesce("source_record", F.lit("")), "_")[0])
-    pairs = {f"{x}|{y}": v for (x, y), v in PAIR_TYPES.items()}
-    by_pair = F.coalesce(F.element_at(_map(pairs), F.concat_ws("|", "src_type", "dst_type")), F.element_at(_map(pairs), F.concat_ws("|", "dst_type", "src_type")))
-    given = F.when(~F.col("relationship").isin(*GENERIC), F.col("relationship"))
-    kind = F.coalesce(given, by_record, by_pair, F.lit("ASSOCIATED_WITH"))
+    joined = join_one(join_one(edges, a, "src"), b, "dst")
+    record = F.upper(F.coalesce("source_record", F.lit("")))
+    by_record = F.coalesce(*(F.when(F.startswith(record, F.lit(prefix)), kind) for prefix, kind in RECORD_TYPES))
+    by_pair = F.element_at(_map({f"{x}|{y}": v for (x, y), v in PAIR_TYPES.items()}), F.concat("src_type", F.lit("|"), "dst_type"))
+    given = F.when(F.col("relationship") != UNTYPED, F.col("relationship"))
+    kind = F.coalesce(given, by_record, by_pair, F.lit(DEFAULT_TYPE))
     strength = F.when(kind.isin("CALLED", "TRANSFERRED_MONEY_TO"), F.least(2 * F.col("confidence"), F.lit(1.0))).otherwise(F.col("confidence"))
     return joined.withColumn("kind", kind).withColumn("strength", F.round(strength, 6)).drop("src_type", "dst_type")
 
 
+def case_pair_type(a: Column, b: Column) -> Column:
+    """The relation of two entities of one case by their types, in either order."""
+    pairs = {f"{x}|{y}": v for (x, y), v in CASE_PAIR_TYPES.items()}
+    return F.coalesce(F.element_at(_map(pairs), F.concat(a, F.lit("|"), b)), F.element_at(_map(pairs), F.concat(b, F.lit("|"), a)), F.lit("CO_OCCURS_WITH"))
+
+
 def _map(values: dict[str, str]) -> Column:
     return F.create_map(*(F.lit(x) for pair in values.items() for x in pair))
 
@@ -57,11 +68,11 @@ def _map(values: dict[str, str]) -> Column:
 def build(edges: DataFrame, vertices: DataFrame) -> tuple[DataFrame, DataFrame]:
     """``(kept, rejected)``: edges with both ends known, one per (src, dst, relationship, record), and those with an unknown end."""
     ids = vertices.select("entity_id").distinct()
-    first = edges.groupBy("src", "dst", "relationship", "source_record").agg(F.min(F.struct("edge_id", "ts", "confidence", "weight")).alias("e")).select(
+    first = cut(edges.groupBy("src", "dst", "relationship", "source_record").agg(F.min(F.struct("edge_id", "ts", "confidence", "weight")).alias("e")).select(
         "src", "dst", "relationship", "source_record", "e.*"
-    )
-    known_a = first.join(ids.select(F.col("entity_id").alias("src")).withColumn("has_src", F.lit(True)), "src", "left")
-    known = known_a.join(ids.select(F.col("entity_id").alias("dst")).withColumn("has_dst", F.lit(True)), "dst", "left")
+    ))
+    known_a = join_one(first, ids.select(F.col("entity_id").alias("src")).withColumn("has_src", F.lit(True)), "src")
+    known = join_one(known_a, ids.select(F.col("entity_id").alias("dst")).withColumn("has_dst", F.lit(True)), "dst")
     kept = known.filter("has_src AND has_dst").drop("has_src", "has_dst")
     reason = F.concat_ws(",", F.when(F.col("has_src").isNull(), "source"), F.when(F.col("has_dst").isNull(), "target"))
     rejected = known.filter("has_src IS NULL OR has_dst IS NULL").select("edge_id", "src", "dst", reason.alias("unknown"))
@@ -103,20 +114,20 @@ def case_edges(edges: DataFrame, vertices: DataFrame) -> DataFrame:
     return edges.join(a, ["src", "source_record"], "left_semi").join(b, ["dst", "source_record"], "left_semi").select(F.col("source_record").alias("case_id"), "edge_id", "src", "dst")
 
 
-def cooccurrences(vertices: DataFrame, largest: int = HUB) -> tuple[DataFrame, DataFrame]:
-    """``(pairs, hubs)``: entities of one document in pairs, ``doc, a < b, confidence`` the lesser of both.
+def cooccurrences(vertices: DataFrame, largest: int = HUB) -> DataFrame:
+    """``doc, a, b, confidence, kind``: entities of one document in pairs ``a < b`` (kind ``pair``), confidence the lesser of both.
 
-    A document with more than ``largest`` entities is not expanded: its members are given as ``doc, entity_id, confidence``,
-    which says the same in linear space.
+    A document with more than ``largest`` entities is not expanded; its members come as rows of the class (kind ``member``: ``a`` is
+    the document, ``b`` the entity), which says in linear space that any two of them occur together.
     """
-    members = vertices.select("entity_id", "confidence", F.explode(F.array_distinct("source_documents")).alias("doc")).filter("doc IS NOT NULL")
+    members = vertices.select("entity_id", F.coalesce("confidence", F.lit(0.5)).alias("confidence"), F.explode(F.array_distinct("source_documents")).alias("doc")).filter("doc IS NOT NULL")
     sizes = members.groupBy("doc").agg(F.count(F.lit(1)).alias("size"))
-    sized = members.join(sizes, "doc")
+    sized = join_one(cut(members), sizes, "doc")
     small = sized.filter(F.col("size") <= largest)
     a = small.select("doc", F.col("entity_id").alias("a"), F.col("confidence").alias("ca"))
     b = small.select("doc", F.col("entity_id").alias("b"), F.col("confidence").alias("cb"))
-    pairs = a.join(b, "doc").filter("a < b").select("doc", "a", "b", F.least(F.coalesce("ca", F.lit(0.5)), F.coalesce("cb", F.lit(0.5))).alias("confidence"))
-    return pairs, sized.filter(F.col("size") > largest).select("doc", "entity_id", "confidence")
+    pairs = a.join(b, "doc").filter("a < b").select("doc", "a", "b", F.least("ca", "cb").alias("confidence"), F.lit("pair").alias("kind"))
+    return pairs.unionByName(sized.filter(F.col("size") > largest).select("doc", F.col("doc").alias("a"), F.col("entity_id").alias("b"), "confidence", F.lit("member").alias("kind")))
 
 
 def shared_neighbours(pairs: DataFrame, hub: int = HUB) -> DataFrame:
@@ -127,8 +138,7 @@ def shared_neighbours(pairs: DataFrame, hub: int = HUB) -> DataFrame:
     that share hubs only are what ``hub_members`` says in linear space.
     """
     ways = both_ways(pairs)
-    degree = ways.groupBy("node").agg(F.count(F.lit(1)).alias("k"))
-    sized = ways.join(degree, "node")
+    sized = cut(ways.join(ways.groupBy("node").agg(F.count(F.lit(1)).alias("k")), "node"))
     # from each neighbour's side: (via, x, k of via)
     via = sized.filter((F.col("k") > 1) & (F.col("k") <= hub)).select(F.col("node").alias("via"), "other", "k")
     a, b = via.select("via", F.col("other").alias("a"), "k"), via.select("via", F.col("other").alias("b"))
@@ -149,23 +159,51 @@ def hub_members(pairs: DataFrame, hub: int = HUB) -> DataFrame:
     return ways.join(large, "node").select(F.col("node").alias("hub"), "k", F.col("other").alias("member"))
 
 
+def _composite(cn: Column, aa: Column, jaccard: Column, top: Column) -> Column:
+    return 0.4 * cn / top + 0.4 * F.least(aa, F.lit(1.0)) + 0.2 * jaccard
+
+
 def link_scores(pairs: DataFrame, least: float = 0.05, hub: int = HUB) -> DataFrame:
-    """Suggested links between nodes that share neighbours but no edge: common neighbours, Adamic-Adar, Jaccard and their mix."""
+    """``a, b, cn, aa, jaccard, score, kind``: suggested links between nodes that share neighbours but no edge.
+
+    Kind ``pair``: common neighbours, Adamic-Adar, Jaccard and their mix. Kind ``hub``: ``a`` is a node with more than ``hub``
+    neighbours and ``b`` one of these; two members of a hub that are in no pair row share hubs only, and their figures follow
+    from their hub rows (``cn`` is the hub's number of neighbours there, ``aa`` what it adds to a pair).
+    """
     near = shared_neighbours(pairs, hub).join(pairs, ["a", "b"], "left_anti")
     k = both_ways(pairs).groupBy("node").agg(F.count(F.lit(1)).alias("k"))
     top = k.agg(F.max("k").alias("top"))  # one row
     joined = near.join(k.select(F.col("node").alias("a"), F.col("k").alias("ka")), "a").join(k.select(F.col("node").alias("b"), F.col("k").alias("kb")), "b").crossJoin(F.broadcast(top))
     jaccard = F.col("cn") / (F.col("ka") + F.col("kb") - F.col("cn"))
-    mix = 0.4 * F.col("cn") / F.col("top") + 0.4 * F.least(F.col("aa"), F.lit(1.0)) + 0.2 * jaccard
-    return joined.select("a", "b", "cn", F.round("aa", 6).alias("aa"), F.round(jaccard, 6).alias("jaccard"), F.round(mix, 6).alias("score")).filter(F.col("score") >= least)
+    found = joined.select("a", "b", "cn", F.round("aa", 6).alias("aa"), F.round(jaccard, 6).alias("jaccard"), F.round(_composite(F.col("cn"), F.col("aa"), jaccard, F.col("top")), 6).alias("score"), F.lit("pair").alias("kind"))
+    members = hub_members(pairs, hub).select(F.col("hub").alias("a"), F.col("member").alias("b"), F.col("k").alias("cn"), F.round(1 / F.log(F.col("k").cast("double")), 6).alias("aa"), F.lit(None).cast("double").alias("jaccard"), F.lit(None).cast("double").alias("score"), F.lit("hub").alias("kind"))
+    return found.filter(F.col("score") >= least).unionByName(members)
+
 
+def neighbourhood_overlap(asked: DataFrame, pairs: DataFrame) -> DataFrame:
+    """``a, b, cn, ka, kb`` of given node pairs: shared neighbours and the neighbours of each, hubs included.
 
-def hop_distances(pairs: DataFrame, source: DataFrame, most: int) -> DataFrame:
-    """``node, hops, via``: least number of edges from the source nodes, up to ``most``, and the least previous node."""
+    The neighbours of ``a`` are looked up in the edges by (neighbour, b), so the work is the sum of the asked nodes' degrees.
+    """
     ways = both_ways(pairs)
-    reached = cut(source.select(F.col(source.columns[0]).alias("node"), F.lit(0).alias("hops"), F.lit(None).cast("string").alias("via")))
-    front = reached
-    for n in range(1, most + 1):
+    k = ways.groupBy("node").agg(F.count(F.lit(1)).alias("k"))
+    small = asked.select("a", "b").distinct()
+    sized = small.join(k.select(F.col("node").alias("a"), F.col("k").alias("ka")), "a", "left").join(k.select(F.col("node").alias("b"), F.col("k").alias("kb")), "b", "left")
+    # start from the end with fewer neighbours
+    turned = sized.withColumns({"x": F.when(F.col("ka") <= F.col("kb"), F.col("a")).otherwise(F.col("b")), "y": F.when(F.col("ka") <= F.col("kb"), F.col("b")).otherwise(F.col("a"))}).filter("ka > 0 AND kb > 0")
+    via = turned.select("a", "b", "x", "y").join(ways.select(F.col("node").alias("x"), F.col("other").alias("via")), "x")
+    shared = via.join(ways.select(F.col("node").alias("y"), F.col("other").alias("via")), ["y", "via"], "left_semi").groupBy("a", "b").agg(F.count(F.lit(1)).alias("cn"))
+    return sized.join(shared, ["a", "b"], "left").select("a", "b", F.coalesce("cn", F.lit(0)).alias("cn"), F.coalesce("ka", F.lit(0)).alias("ka"), F.coalesce("kb", F.lit(0)).alias("kb"))
+
+
+def hop_distances(pairs: DataFrame, source: DataFrame, most: int | None = None) -> DataFrame:
+    """``node, hops, via``: least number of edges from the source nodes and the least previous node; up to ``most`` hops or all."""
+    ways = cut(both_ways(pairs))
+    reached = cut(source.select(F.col(source.columns[0]).alias("node"), F.lit(0).alias("hops"), F.lit(None).cast("string").alias("via")).dropna(subset=["node"]).distinct())
+    front, n = reached, 0
+    while most is None or n < most:
+        n += 1
+        # few nodes of the front have many rows in the edges, so the front's rows are what is spread
         step = front.select(F.col("node").alias("from")).join(ways, F.col("from") == F.col("node")).groupBy("other").agg(F.min("from").alias("via"))
         front = cut(step.select(F.col("other").alias("node"), F.lit(n).alias("hops"), "via").join(reached, "node", "left_anti"))
         if front.limit(1).count() == 0:
@@ -174,6 +212,18 @@ def hop_distances(pairs: DataFrame, source: DataFrame, most: int) -> DataFrame:
     return reached
 
 
+def shortest_path(pairs: DataFrame, source: str, target: str) -> DataFrame:
+    """``step, node``: the nodes of a path of fewest edges from ``source`` to ``target`` (the least previous node on ties); no rows without one."""
+    spark = pairs.sparkSession
+    near = hop_distances(pairs, spark.createDataFrame([(source,)], "node string"))
+    at = near.filter(F.col("node") == target).select("hops", "node", "via")
+    found = at
+    while at.filter("via IS NOT NULL").limit(1).count():  # once per hop, one row each
+        at = cut(near.join(at.select(F.col("via").alias("node")), "node").select("hops", "node", "via"))
+        found = found.unionByName(at)
+    return found.select(F.col("hops").alias("step"), "node")
+
+
 def pagerank(edges: DataFrame, nodes: DataFrame, damping: float = 0.85, rounds: int = 100, tolerance: float = 1e-6) -> DataFrame:
     """``node, rank`` on weighted directed edges ``src, dst, w``; rank of nodes without outgoing edges is spread evenly."""
     ids = cut(nodes.select(F.col(nodes.columns[0]).alias("node")).distinct())
@@ -184,130 +234,126 @@ def pagerank(edges: DataFrame, nodes: DataFrame, damping: float = 0.85, rounds:
     out = flow.groupBy("src").agg(F.sum("w").alias("total"))
     share = cut(flow.join(out, "src").select("src", "dst", (F.col("w") / F.col("total")).alias("share")))
     sinks = cut(ids.join(share.select(F.col("src").alias("node")).distinct(), "node", "left_anti"))
-    ranks = ids.withColumn("rank", F.lit(1.0 / n))
+    state = cut(ids.join(sinks.withColumn("sink", F.lit(True)), "node", "left").select("node", F.coalesce("sink", F.lit(False)).alias("sink"), F.lit(1.0 / n).alias("rank")))
+    lost = state.filter("sink").count() / n
     for _ in range(rounds):
-        lost = ranks.join(sinks, "node", "left_semi").agg(F.coalesce(F.sum("rank"), F.lit(0.0))).first()[0]
-        given = ranks.join(share, ranks["node"] == share["src"]).groupBy("dst").agg(F.sum(F.col("rank") * F.col("share")).alias("got"))
+        given = state.join(share, state["node"] == share["src"]).groupBy("dst").agg(F.sum(F.col("rank") * F.col("share")).alias("got"))
         moved = cut(
-            ranks.join(given, ranks["node"] == given["dst"], "left")
-            .select("node", F.col("rank").alias("old"), (F.lit((1 - damping) / n + damping * lost / n) + damping * F.coalesce("got", F.lit(0.0))).alias("rank"))
+            state.join(given, state["node"] == given["dst"], "left")
+            .select("node", "sink", F.col("rank").alias("old"), (F.lit((1 - damping) / n + damping * lost / n) + damping * F.coalesce("got", F.lit(0.0))).alias("rank"))
         )
-        change = moved.agg(F.sum(F.abs(F.col("rank") - F.col("old")))).first()[0]
-        ranks = moved.select("node", "rank")
+        # the change of this round and the mass the next one spreads, in one pass
+        change, lost = moved.agg(F.sum(F.abs(F.col("rank") - F.col("old"))), F.coalesce(F.sum(F.when(F.col("sink"), F.col("rank"))), F.lit(0.0))).first()
+        state = moved.select("node", "sink", "rank")
         if change < n * tolerance:
             break
-    return ranks
+    return state.select("node", "rank")
 
 
-def path_centrality(pairs: DataFrame, nodes: DataFrame, limit: int | None = EXACT_NODES) -> DataFrame:
-    """``node, betweenness, closeness``: exact, normalised, undirected; sources are spread over the tasks.
+def path_centrality(pairs: DataFrame, nodes: DataFrame, pivots: int | None = None, block: int = 512) -> DataFrame:
+    """``node, betweenness, closeness``, normalised and undirected.
 
-    Each task holds the adjacency lists, so the number of nodes is checked first and more than ``limit`` are refused
-    (``None``: none are; the work grows with nodes times edges).
+    Shortest paths are counted from ``block`` sources at a time: each level joins the front of all sources with the edges
+    and adds up paths, then credits flow back level by level. No node's edges, and nothing of the graph, is held by one task
+    or the driver. All nodes are sources and the result is exact when ``pivots`` is None or not less than their number; else
+    the ``pivots`` nodes of least hash are, betweenness is scaled by their share, and closeness (of distances to the pivots) is an
+    estimate likewise. The work grows with sources times edges.
     """
-    spark = pairs.sparkSession
-    ids = nodes.select(F.col(nodes.columns[0]).alias("node")).unionByName(both_ways(pairs).select("node")).distinct()
-    listed = [r["node"] for r in (ids if limit is None else ids.limit(limit + 1)).collect()]
-    if limit is not None and len(listed) > limit:
-        raise ValueError(f"exact path centrality is limited to {limit} nodes")
-    listed.sort()
-    place = {v: i for i, v in enumerate(listed)}
-    near: list[list[int]] = [[] for _ in listed]
-    for r in pairs.collect():  # at most the edges among the listed nodes
-        near[place[r["a"]]].append(place[r["b"]])
-        near[place[r["b"]]].append(place[r["a"]])
-    shared = spark.sparkContext.broadcast(near)
-    n = len(listed)
-
-    def from_sources(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        near = shared.value
-        between = [0.0] * n
-        close = {}
-        for batch in batches:
-            for s in batch["id"]:
-                hops, ways, order, before = {s: 0}, {s: 1.0}, [s], {s: []}
-                for v in order:
-                    for w in near[v]:
-                        if w not in hops:
-                            hops[w], ways[w], before[w] = hops[v] + 1, 0.0, []
-                            order.append(w)
-                        if hops[w] == hops[v] + 1:
-                            ways[w] += ways[v]
-                            before[w].append(v)
-                total = sum(hops.values())
-                close[s] = (len(order) - 1) / total * (len(order) - 1) / (n - 1) if total and n > 1 else 0.0
-                credit = dict.fromkeys(order, 0.0)
-                for w in reversed(order):
-                    for v in before[w]:
-                        credit[v] += ways[v] / ways[w] * (1 + credit[w])
-                    if w != s:
-                        between[w] += credit[w]
-        rows = [(i, b, close.get(i, 0.0)) for i, b in enumerate(between) if b or i in close]
-        yield pd.DataFrame(rows, columns=["id", "b", "c"])
-
-    tasks = max(1, min(n, spark.sparkContext.defaultParallelism))
-    parts = spark.range(n).repartition(tasks).mapInPandas(from_sources, "id long, b double, c double")
-    scale = 1 / ((n - 1) * (n - 2)) if n > 2 else 0.0
-    names = spark.createDataFrame(list(enumerate(listed)), "id long, node string")
-    return parts.groupBy("id").agg(F.sum("b").alias("b"), F.max("c").alias("c")).join(names, "id").select("node", F.round(F.col("b") * scale, 6).alias("betweenness"), F.round("c", 6).alias("closeness"))
-
-
-def communities(pairs: DataFrame, components: DataFrame, limit: int = GREEDY_NODES) -> DataFrame:
-    """``node, community``: greedy modularity inside each component of at most ``limit`` nodes, larger ones by label spreading.
-
-    Communities are named by their least node. The gain of a merge uses the number of edges of the whole graph.
+    ways = cut(both_ways(pairs))
+    ids = cut(nodes.select(F.col(nodes.columns[0]).alias("node")).dropna().unionByName(ways.select("node")).distinct())
+    n = ids.count()
+    if n < 2:
+        return ids.select("node", F.lit(0.0).alias("betweenness"), F.lit(0.0).alias("closeness"))
+    used = n if pivots is None else min(n, pivots)
+    sources = ids if used == n else ids.orderBy(F.xxhash64("node"), "node").limit(used)
+    parts = max(1, -(-used // block))
+    dealt = cut(sources.select(F.col("node").alias("s"), F.pmod(F.xxhash64(F.col("node")), F.lit(parts)).alias("part")))
+    credits, spans = [], []
+    for part in range(parts):
+        front = cut(dealt.filter(F.col("part") == part).select("s", F.col("s").alias("node"), F.lit(1.0).alias("ways"), F.lit(0).alias("hops")))
+        if front.limit(1).count() == 0:
+            continue
+        levels = [front]
+        seen = front.select("s", "node")
+        while True:
+            step = front.join(ways, "node").groupBy("s", F.col("other").alias("node")).agg(F.sum("ways").alias("ways"))
+            front = cut(step.join(seen, ["s", "node"], "left_anti").select("s", "node", "ways", F.lit(len(levels)).alias("hops")))
+            if front.limit(1).count() == 0:
+                break
+            levels.append(front)
+            # the next front meets only this level, the one before and nodes not seen
+            seen = front.select("s", "node").unionByName(levels[-2].select("s", "node"))
+        reached = reduce(DataFrame.unionByName, levels)
+        end = "s" if used == n else "node"
+        spans.append(reached.groupBy(F.col(end).alias("s")).agg(F.sum("hops").alias("far"), F.count(F.lit(1)).alias("near")))
+        below = None
+        for at in range(len(levels) - 1, 0, -1):
+            level = levels[at]
+            own = level.select("s", "node", "ways", F.lit(0.0).alias("credit")) if below is None else level.join(below, ["s", "node"], "left").select("s", "node", "ways", F.coalesce("credit", F.lit(0.0)).alias("credit"))
+            own = cut(own)
+            credits.append(own.groupBy("node").agg(F.sum("credit").alias("b")))
+            above = levels[at - 1].select("s", F.col("node").alias("up"), F.col("ways").alias("up_ways"))
+            below = (
+                own.join(ways, "node").withColumnRenamed("other", "up").join(above, ["s", "up"])
+                .groupBy("s", F.col("up").alias("node")).agg(F.sum(F.col("up_ways") / F.col("ways") * (1 + F.col("credit"))).alias("credit"))
+            )
+    scale = n / used / ((n - 1) * (n - 2)) if n > 2 else 0.0
+    empty = ids.limit(0).select("node", F.lit(0.0).alias("b"))
+    between = reduce(DataFrame.unionByName, credits, empty).groupBy("node").agg(F.sum("b").alias("b"))
+    far = reduce(DataFrame.unionByName, spans).groupBy(F.col("s").alias("node")).agg(F.sum("far").alias("far"), F.sum("near").alias("near"))
+    # distances were measured to every node of the component, the node itself included, or to the pivots among them
+    others = (F.col("near") - 1) if used == n else F.col("near") * (n / used) - F.lit(1.0)
+    close = F.when(F.col("far") > 0, others * others / (F.col("far") * (n / used)) / (n - 1))
+    return ids.join(between, "node", "left").join(far, "node", "left").select(
+        "node", F.round(F.coalesce(F.col("b") * scale, F.lit(0.0)), 6).alias("betweenness"), F.round(F.coalesce(F.greatest(close, F.lit(0.0)), F.lit(0.0)), 6).alias("closeness")
+    )
+
+
+def communities(pairs: DataFrame) -> DataFrame:
+    """``node, community``: greedy modularity, many merges a round; communities are named by their least node.
+
+    Each round every community picks the neighbour whose merger raises modularity most; ties go by a hash of the two, so
+    that they do not form chains. Two that pick each other merge: theirs is the best merger around. Communities with a single
+    neighbour join it when they still gain with all that do, so stars take one round. Modularity rises every round and it
+    ends when no merger gains; one algorithm at every size, over aggregates and joins only.
     """
     m = pairs.count()
-    sizes = components.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
-    labelled = pairs.join(components.select(F.col("node").alias("a"), "component"), "a").join(sizes, "component")
-
-    def greedy(pdf: pd.DataFrame) -> pd.DataFrame:
-        degree: dict[str, int] = {}
-        between: dict[str, dict[str, float]] = {}
-        for a, b in zip(pdf["a"], pdf["b"], strict=True):
-            degree[a], degree[b] = degree.get(a, 0) + 1, degree.get(b, 0) + 1
-            between.setdefault(a, {})[b] = between.setdefault(b, {}).get(a, 0) + 1
-            between[b][a] = between[a][b]
-        members = {v: [v] for v in degree}
-        weight = {v: d / (2 * m) for v, d in degree.items()}
-        import heapq
-
-        gain = lambda x, y: 2 * (between[x][y] / (2 * m) - weight[x] * weight[y])
-        heap = [(-gain(x, y), x, y) for x in between for y in between[x] if x < y]
-        heapq.heapify(heap)
-        while heap:
-            score, x, y = heapq.heappop(heap)
-            if x not in members or y not in members or y not in between[x] or abs(-score - gain(x, y)) > 1e-12:
-                continue
-            if -score <= 1e-12:
-                break
-            members[x] += members.pop(y)
-            weight[x] += weight.pop(y)
-            for z, w in between.pop(y).items():
-                del between[z][y]
-                if z != x:
-                    between[x][z] = between[x].get(z, 0) + w
-                    between[z][x] = between[x][z]
-            for z in between[x]:
-                heapq.heappush(heap, (-gain(x, z), *sorted((x, z))))
-        return pd.DataFrame([(v, min(vs)) for vs in members.values() for v in vs], columns=["node", "community"])
-
-    small = labelled.filter(F.col("size") <= limit).select("component", "a", "b")
-    found = small.groupBy("component").applyInPandas(greedy, "node string, community string")
-    return cut(found.unionByName(_spread_labels(labelled.filter(F.col("size") > limit).select("a", "b"))))
-
-
-def _spread_labels(pairs: DataFrame, rounds: int = 10) -> DataFrame:
-    """Synchronous label spreading: each node takes the commonest label around it (the least on ties), itself included."""
-    ways = cut(both_ways(pairs))
-    labels = cut(ways.select("node").distinct().withColumn("community", F.col("node")))
-    for _ in range(rounds):
-        if labels.limit(1).count() == 0:
+    if not m:
+        return pairs.select(F.col("a").alias("node"), F.col("a").alias("community"))
+    # weights between different communities, both ways, and the share of ends of each
+    links = cut(both_ways(pairs).select(F.col("node").alias("x"), F.col("other").alias("y"), F.lit(1.0).alias("w")))
+    mass = cut(links.groupBy("x").agg((F.sum("w") / (2 * m)).alias("q")))
+    label = cut(mass.select(F.col("x").alias("node"), F.col("x").alias("community")))
+    while True:
+        gain = F.round(F.col("w") / m - 2 * F.col("q") * F.col("qy"), 12)
+        known = links.join(mass, "x").join(mass.select(F.col("x").alias("y"), F.col("q").alias("qy")), "y").withColumn("gain", gain)
+        order = F.struct(F.col("gain"), F.xxhash64(F.least("x", "y"), F.greatest("x", "y")).alias("h"), F.col("y"))
+        best = known.groupBy("x").agg(F.max(order).alias("o"), F.max_by(F.struct("q", "qy", "w"), order).alias("p"), F.count(F.lit(1)).alias("k"))
+        pick = cut(best.filter("o.gain > 0").select("x", F.col("o.y").alias("y"), "p.q", "p.qy", "p.w", "k"))
+        if pick.limit(1).count() == 0:
             break
-        seen = ways.join(labels.select(F.col("node").alias("other"), "community"), "other").select("node", "community").unionByName(labels)
-        votes = seen.groupBy("node", "community").agg(F.count(F.lit(1)).alias("n"))
-        labels = cut(votes.groupBy("node").agg(F.max_by("community", F.struct(F.col("n"), F.col("community"))).alias("community")))
-    return labels
+        mutual = pick.join(pick.select(F.col("x").alias("y"), F.col("y").alias("x")), ["x", "y"])
+        pairs_ = mutual.filter("x < y").select(F.col("y").alias("x"), F.col("x").alias("to"), (F.col("q") + F.col("qy")).alias("held"))
+        into = pairs_.select(F.col("x").alias("y"), "to", "held").unionByName(pairs_.select(F.col("to").alias("y"), "to", "held"))
+        alone = pick.filter("k = 1").join(mutual.select("x"), "x", "left_anti").join(into, "y", "left").select(
+            "x", "q", "w", F.coalesce("to", "y").alias("to"), F.coalesce("held", "qy").alias("held")
+        )
+        crowd = alone.groupBy("to").agg(F.sum("q").alias("more"))
+        joins = alone.join(crowd, "to").filter(F.col("w") / m - 2 * F.col("q") * (F.col("held") + F.col("more") - F.col("q")) > 1e-12).select("x", "to")
+        moved = cut(pairs_.select("x", "to").unionByName(joins))
+        # a community that others join moves itself only when it is the larger name of a mutual pair, which they follow
+        renamed = lambda df, c: df.join(moved.select(F.col("x").alias(c), F.col("to").alias("_to")), c, "left").withColumn(c, F.coalesce("_to", c)).drop("_to")  # noqa: E731, B023
+        links = cut(renamed(renamed(links, "x"), "y").filter("x <> y").groupBy("x", "y").agg(F.sum("w").alias("w")))
+        mass = cut(renamed(mass, "x").groupBy("x").agg(F.sum("q").alias("q")))
+        label = cut(renamed(label, "community"))
+    named = label.groupBy("community").agg(F.min("node").alias("least"))
+    return label.join(named, "community").select("node", F.col("least").alias("community"))
+
+
+def community_ranks(community: DataFrame) -> DataFrame:
+    """``community, rank, size``: communities by size, the largest 0, ties by name."""
+    sizes = community.groupBy("community").agg(F.count(F.lit(1)).alias("size"))
+    return with_rank(sizes, [F.desc("size"), F.asc("community")], "rank")
 
 
 def dense_members(pairs: DataFrame, community: DataFrame, least: float = 0.9) -> DataFrame:
@@ -318,9 +364,11 @@ def dense_members(pairs: DataFrame, community: DataFrame, least: float = 0.9) ->
     return joined.groupBy("node", "community").agg(F.count(F.lit(1)).alias("n_neighbours"), F.round(share, 6).alias("share")).filter((F.col("n_neighbours") >= 2) & (F.col("share") >= least))
 
 
-def held_out(pairs: DataFrame, share: float = 0.4, buckets: int = 10_000) -> DataFrame:
-    """Edges with ``held``: every stride-th by a hash, so a split needs no global order and is the same in every run."""
-    return pairs.withColumn("held", F.pmod(F.xxhash64("a", "b"), F.lit(buckets)) < int(share * buckets))
+def held_out(pairs: DataFrame, share: float = 0.4) -> DataFrame:
+    """Edges with ``held``: every stride-th in the order of their ends, the stride being the edges over their ``share``, rounded down."""
+    n = pairs.count()
+    stride = max(1, n // max(1, int(n * share)))
+    return with_rank(pairs, [F.asc("a"), F.asc("b")], "place").withColumn("held", F.col("place") % stride == 0).drop("place")
 
 
 def strongest_neighbours(edges: DataFrame, k: int) -> DataFrame:

@@ -7,10 +7,11 @@ All aggregates combine before the shuffle, and time windows are blocked (see ``r
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..config import RULES, Rules
-from .rolling import first_over, forward_counts, micros, peak_counts
+from .rolling import BLOCK, first_over, micros, peak_counts
 
 
 def communication_spikes(parties: DataFrame, rules: Rules = RULES) -> DataFrame:
@@ -118,28 +119,48 @@ def counterparty_degrees(pairs: DataFrame, a: str, b: str) -> DataFrame:
     return degrees.crossJoin(F.broadcast(total)).select("node", "n_parties", F.round(F.col("n_parties") / F.greatest(F.col("n_all") - 1, F.lit(1)), 6).alias("degree"))
 
 
+def near_counts(rows: DataFrame, place: str, phone: str, ts: str, hours: int, all_weight: str, own_weight: str) -> DataFrame:
+    """Rows with ``near``: the sum of ``all_weight`` over the place's rows within ``hours`` before or after, less that of
+    ``own_weight`` over the phone's own among them.
+
+    One shuffle by (place, time block) serves both windows; a row is also entered in the blocks its frame reaches.
+    """
+    frame = hours * 3_600_000_000
+    width = frame * BLOCK
+    of = lambda c: F.floor(c / F.lit(width)).cast("long")
+    timed = rows.filter(F.col(place).isNotNull() & F.col(ts).isNotNull()).withColumn("_t", micros(F.col(ts)))
+    blocked = timed.withColumn("_own", of(F.col("_t"))).withColumn("_block", F.explode(F.sequence(of(F.col("_t") - frame), of(F.col("_t") + frame)))).repartition(place, "_block")
+    all_ = W.partitionBy(place, "_block").orderBy("_t").rangeBetween(-frame, frame)
+    own = W.partitionBy(place, "_block", phone).orderBy("_t").rangeBetween(-frame, frame)
+    near = F.sum(all_weight).over(all_) - F.sum(own_weight).over(own)
+    return blocked.withColumn("near", near).filter("_own = _block").drop("_t", "_own", "_block")
+
+
 def colocations(parties: DataFrame, hours: int = RULES.colocation_hours) -> DataFrame:
     """Per phone and place: its calls that others' calls at the place fall near to in time, and how many those are.
 
     Counts only, so no pairs are made: a frame over the place's calls gives all, one over the phone's own calls is taken off.
-    The window partitions are (place, time block); see ``rolling``.
     """
-    seconds = hours * 3600
-    rows = parties.filter("place IS NOT NULL").withColumn("spot", F.concat_ws("|", "place", "phone"))
-    # [t - h, t + h] is the frame forward plus the frame backward without the row's own peers twice
-    forward = forward_counts(rows, "place", "ts", seconds, "call_id", name="n_fwd")
-    backward = forward_counts(forward.withColumn("back", F.timestamp_micros(-micros(F.col("ts")))), "place", "back", seconds, "call_id", name="n_back")
-    own = forward_counts(backward, "spot", "ts", seconds, "call_id", name="o_fwd")
-    both = forward_counts(own, "spot", "back", seconds, "call_id", name="o_back")
-    peers = both.groupBy("place", "ts").agg(F.count(F.lit(1)).alias("n_same"))
-    own_peers = both.groupBy("spot", "ts").agg(F.count(F.lit(1)).alias("o_same"))
-    near = (
-        both.join(peers, ["place", "ts"]).join(own_peers, ["spot", "ts"])
-        .withColumn("near", (F.col("n_fwd") + F.col("n_back") - F.col("n_same")) - (F.col("o_fwd") + F.col("o_back") - F.col("o_same")))
-    )
+    near = near_counts(parties.select("phone", "place", "ts", F.lit(1).cast("long").alias("one")), "place", "phone", "ts", hours, "one", "one")
     return near.groupBy("phone", "place").agg(F.count_if(F.col("near") > 0).alias("n_calls"), F.sum("near").alias("n_near")).filter("n_near > 0")
 
 
+def known_colocations(calls: DataFrame, known: DataFrame, hours: int = RULES.colocation_hours) -> DataFrame:
+    """``phone, n_near, colocation``: how often a known phone's calls meet calls of other known phones at one place.
+
+    A call counts when any other known phone takes part, the phone's own calls to known phones included; ten or more are full score.
+    ``known`` has one row per ``phone``.
+    """
+    of = lambda side: known.select(F.col("phone").alias(side), F.lit(True).alias(f"{side}_known"))
+    marked = calls.select("caller", "callee", "ts", "place").join(of("caller"), "caller", "left").join(of("callee"), "callee", "left")
+    who = F.array_distinct(F.array_compact(F.array(F.when(F.col("caller_known"), F.col("caller")), F.when(F.col("callee_known"), F.col("callee")))))
+    seats = marked.withColumn("who", who).filter(F.size("who") > 0).select("ts", "place", "who", F.posexplode("who").alias("pos", "phone")).select(
+        "phone", "place", "ts", (F.col("pos") == 0).cast("long").alias("one"), (F.size("who") == 1).cast("long").alias("alone")
+    )
+    near = near_counts(seats, "place", "phone", "ts", hours, "one", "alone")
+    return near.groupBy("phone").agg(F.sum("near").alias("n_near")).withColumn("colocation", F.least(F.col("n_near") / 10, F.lit(1.0)))
+
+
 def flags(*parts: tuple[DataFrame, str, str, object]) -> DataFrame:
     """Union of detectors as ``key, flag, evidence``: each part is (rows, key column, flag, evidence column)."""
     found = None

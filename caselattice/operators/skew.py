@@ -31,5 +31,5 @@ def join_counted(rows: DataFrame, known: DataFrame, key: str, total: int, n: str
 
 def join_one(rows: DataFrame, known: DataFrame, key: str) -> DataFrame:
     """``rows`` with the columns of ``known``, which has one row per ``key``; hot keys are found by a count that combines first."""
-    counts = rows.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
-    return join_counted(rows, known.join(counts, key), key, rows.count())
+    counts = rows.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
+    return join_counted(rows, known.join(counts, key), key, rows.count(), "_n")

@@ -14,6 +14,12 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from ..session import cut
+from .graph import HUB, held_out, neighbourhood_overlap, simple_pairs
+from .metrics import auc
+from .ranks import with_rank
+from .skew import join_one
+
 #: Words of the longest name that is looked for in texts.
 NAME_WORDS = 5
 
@@ -48,26 +54,53 @@ def flow_totals(transfers: DataFrame) -> DataFrame:
     )
 
 
-def presence_scores(flows: DataFrame, pairs: DataFrame, unit: float = 50_000.0) -> DataFrame:
-    """Link evidence of account pairs ``a < b``: money both ways on a log scale and whether any went."""
-    one = flows.select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b"), "total").filter("a <> b").groupBy("a", "b").agg(F.sum("total").alias("total"), F.lit(1).alias("there"))
-    joined = pairs.join(one, ["a", "b"], "left")
-    score = 0.3 * F.log1p(F.greatest(F.coalesce("total", F.lit(0.0)), F.lit(0.0)) / unit) + 0.2 * F.coalesce("there", F.lit(0))
+def presence_scores(flows: DataFrame, asked: DataFrame, unit: float = 50_000.0) -> DataFrame:
+    """``a, b, score`` of account pairs: half the Jaccard of their counterparties, 0.3 of the money both ways on a log scale, and 0.2
+    when both accounts have any counterparty. ``flows`` is ``src, dst, total``; loops are left out.
+    """
+    real = flows.filter("src IS NOT NULL AND dst IS NOT NULL AND src <> dst")
+    near = neighbourhood_overlap(asked, simple_pairs(real))
+    money = real.select(F.least("src", "dst").alias("x"), F.greatest("src", "dst").alias("y"), "total").groupBy("x", "y").agg(F.sum("total").alias("total"))
+    joined = near.join(money, (F.least("a", "b") == F.col("x")) & (F.greatest("a", "b") == F.col("y")), "left")
+    jaccard = F.coalesce(F.try_divide(F.col("cn"), F.col("ka") + F.col("kb") - F.col("cn")), F.lit(0.0))
+    there = ((F.col("ka") > 0) & (F.col("kb") > 0)).cast("int")
+    score = 0.5 * jaccard + 0.3 * F.log1p(F.greatest(F.coalesce("total", F.lit(0.0)), F.lit(0.0)) / unit) + 0.2 * there
     return joined.select("a", "b", F.round(score, 6).alias("score"))
 
 
-def negative_samples(pairs: DataFrame, nodes: DataFrame, per_node: int) -> DataFrame:
-    """``a, b``: pairs without an edge; each node draws ``per_node`` partners by hash from the nodes dealt into its bucket.
+def _drawn(column: Column) -> Column:
+    """A whole number drawn from a text by its MD5: the same in every process and engine."""
+    return F.conv(F.substring(F.md5(column), 1, 12), 16, 10).cast("long")
+
+
+def negative_samples(pairs: DataFrame, nodes: DataFrame, per_pair: int) -> DataFrame:
+    """``a, b``: pairs of different nodes without an edge, ``per_pair`` draws for every edge; draws that hit an edge or repeat are dropped.
 
-    Buckets hold a bounded number of nodes, so no square over all nodes is made, and a run can be repeated.
+    Both ends are drawn from all nodes by position, so every pair can come up and no square over nodes is made.
     """
-    ids = nodes.select(F.col(nodes.columns[0]).alias("node")).distinct()
-    n_buckets = F.lit(max(1, ids.count() // 64))
-    dealt = ids.withColumn("bucket", F.pmod(F.xxhash64("node"), n_buckets))
-    other = dealt.select("bucket", F.col("node").alias("other"))
-    met = dealt.join(other, "bucket").filter("node < other").join(pairs.select(F.col("a").alias("node"), F.col("b").alias("other")), ["node", "other"], "left_anti")
-    order = W.partitionBy("node").orderBy(F.xxhash64("node", "other"), "other")
-    return met.withColumn("k", F.row_number().over(order)).filter(F.col("k") <= per_node).select(F.col("node").alias("a"), F.col("other").alias("b"))
+    placed = cut(with_rank(nodes.select(F.col(nodes.columns[0]).alias("node")).dropna().distinct(), [F.asc("node")], "place"))
+    n = placed.count()
+    if n < 2:
+        return pairs.limit(0).select("a", "b")
+    seeds = with_rank(pairs, [F.asc("a"), F.asc("b")], "seed").select("seed", F.explode(F.sequence(F.lit(0), F.lit(per_pair - 1))).alias("k"))
+    end = lambda side: F.pmod(_drawn(F.concat_ws("|", F.col("seed"), F.col("k"), F.lit(side))), F.lit(n))
+    drawn = seeds.select(end("a").alias("x"), end("b").alias("y")).filter("x <> y").select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
+    named = drawn.join(placed.select(F.col("place").alias("x"), F.col("node").alias("a")), "x").join(placed.select(F.col("place").alias("y"), F.col("node").alias("b")), "y")
+    return named.select("a", "b").join(pairs, ["a", "b"], "left_anti")
+
+
+def held_out_auc(flows: DataFrame, share: float = 0.4, negatives: int = 8) -> DataFrame:
+    """One row: how well the score on the edges kept tells held-out edges from pairs without an edge."""
+    edges = cut(flows.filter("src IS NOT NULL AND dst IS NOT NULL AND src <> dst").select(F.col("src").alias("a"), F.col("dst").alias("b"), "total"))
+    split = cut(held_out(edges, share))
+    held = split.filter("held").select("a", "b")
+    nodes = edges.select("a").unionByName(edges.select(F.col("b").alias("a")))
+    observed = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
+    none = negative_samples(cut(held), nodes, negatives).join(observed, ["a", "b"], "left_anti")
+    asked = cut(held.withColumn("hit", F.lit(True)).unionByName(none.withColumn("hit", F.lit(False))))
+    kept = cut(split.filter("NOT held").select(F.col("a").alias("src"), F.col("b").alias("dst"), "total"))
+    scored = asked.join(presence_scores(kept, asked), ["a", "b"])
+    return auc(scored, "score", "hit")
 
 
 def strong_or_weak(edges: DataFrame, least: float) -> DataFrame:
@@ -77,18 +110,21 @@ def strong_or_weak(edges: DataFrame, least: float) -> DataFrame:
     return edges.join(has, edges["source_record"].eqNullSafe(has["source_record"])).filter(strong | (F.col("has_strong") == 0)).drop(has["source_record"]).drop("has_strong")
 
 
-def active_case(edges: DataFrame, members: DataFrame, largest: int = 1_000) -> DataFrame:
+def active_case(edges: DataFrame, members: DataFrame, largest: int = HUB) -> DataFrame:
     """``case_id, a, b, kind``: recorded links of a case and an APPEARS_IN_CASE link for every other pair of its members.
 
-    Cases with more than ``largest`` members keep their recorded links only; their members are the rest of the statement.
+    The pairs of a case with more than ``largest`` members are not listed; its members come as class rows (kind ``MEMBER``, ``a``
+    the case), which say that every two of them without a recorded link have that link.
     """
     recorded = edges.filter("src <> dst").select(F.col("source_record").alias("case_id"), F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b"), F.col("relationship").alias("kind"))
     inside = recorded.join(members.select("case_id", F.col("entity_id").alias("a")), ["case_id", "a"], "left_semi").join(members.select("case_id", F.col("entity_id").alias("b")), ["case_id", "b"], "left_semi")
     sizes = members.groupBy("case_id").agg(F.count(F.lit(1)).alias("size"))
-    small = members.join(sizes.filter(F.col("size") <= largest), "case_id")
+    sized = join_one(cut(members.filter("case_id IS NOT NULL")), sizes, "case_id")
+    small = sized.filter(F.col("size") <= largest)
     x, y = small.select("case_id", F.col("entity_id").alias("a")), small.select("case_id", F.col("entity_id").alias("b"))
     others = x.join(y, "case_id").filter("a < b").join(inside.select("case_id", "a", "b"), ["case_id", "a", "b"], "left_anti").select("case_id", "a", "b", F.lit("APPEARS_IN_CASE").alias("kind"))
-    return inside.distinct().unionByName(others)
+    classes = sized.filter(F.col("size") > largest).select("case_id", F.col("case_id").alias("a"), F.col("entity_id").alias("b"), F.lit("MEMBER").alias("kind"))
+    return inside.distinct().unionByName(others).unionByName(classes)
 
 
 def evidence_bundle(flags: DataFrame, neighbours: DataFrame, per_entity: int = 5) -> DataFrame:

@@ -60,12 +60,17 @@ def active_case_view(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def link_presence(spark: SparkSession, folder: str) -> DataFrame:
-    """Account pairs with money between them, by how much."""
+    """Account pairs with money between them, by counterparties, money and presence."""
     flows = cut(V.flow_totals(transfers(spark, folder)))
     pairs = flows.filter("src <> dst").select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).distinct()
     return V.presence_scores(flows, pairs)
 
 
+def held_out_links(spark: SparkSession, folder: str) -> DataFrame:
+    """AUC of the link score for held-out account pairs beside drawn pairs without a transfer."""
+    return V.held_out_auc(cut(V.flow_totals(transfers(spark, folder))))
+
+
 def negative_links(spark: SparkSession, folder: str) -> DataFrame:
     pairs = cut(G.simple_pairs(G.build(edges(spark, folder), vertices(spark, folder))[0]))
     return V.negative_samples(pairs, vertices(spark, folder).select("entity_id"), 2)
@@ -102,7 +107,7 @@ def tfidf_vectors(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        clean_texts, entity_mentions, listed_names, flow_totals, adjacency_stats, relation_confidence, strong_edges, active_case_view, link_presence, negative_links, evidence_bundles,
+        clean_texts, entity_mentions, listed_names, flow_totals, adjacency_stats, relation_confidence, strong_edges, active_case_view, link_presence, held_out_links, negative_links, evidence_bundles,
         snippet_confidence, remark_vote, tfidf_vectors,
     )
 }
@@ -121,9 +126,19 @@ ORACLE = {
     "active_case_view": with_tables("vertices", "edge_rows", more="""members AS (SELECT DISTINCT entity_id, unnest(source_documents) AS case_id FROM vertices),
       inside AS (SELECT DISTINCT e.source_record AS case_id, least(src, dst) AS a, greatest(src, dst) AS b, relationship AS kind FROM edge_rows e
         JOIN members x ON x.case_id = e.source_record AND x.entity_id = least(src, dst) JOIN members y ON y.case_id = e.source_record AND y.entity_id = greatest(src, dst) WHERE src <> dst)""")
-    + """SELECT * FROM inside UNION ALL SELECT x.case_id, x.entity_id, y.entity_id, 'APPEARS_IN_CASE' FROM members x JOIN members y ON x.case_id = y.case_id AND x.entity_id < y.entity_id
-      WHERE NOT EXISTS (SELECT 1 FROM inside i WHERE i.case_id = x.case_id AND i.a = x.entity_id AND i.b = y.entity_id)""",
-    "link_presence": with_tables("transfers", more=_FLOWS) + "SELECT least(src, dst) AS a, greatest(src, dst) AS b, round(0.3 * ln(1 + greatest(sum(total), 0.0) / 50000.0) + 0.2, 6) AS score FROM flows WHERE src <> dst GROUP BY 1, 2",
+    + """SELECT * FROM inside UNION ALL SELECT case_id, case_id, entity_id, 'MEMBER' FROM members WHERE case_id IN (SELECT case_id FROM members GROUP BY 1 HAVING count(*) > 1000)
+      UNION ALL SELECT x.case_id, x.entity_id, y.entity_id, 'APPEARS_IN_CASE' FROM members x JOIN members y ON x.case_id = y.case_id AND x.entity_id < y.entity_id
+      WHERE x.case_id NOT IN (SELECT case_id FROM members WHERE case_id IS NOT NULL GROUP BY 1 HAVING count(*) > 1000) AND NOT EXISTS (SELECT 1 FROM inside i WHERE i.case_id = x.case_id AND i.a = x.entity_id AND i.b = y.entity_id)""",
+    "link_presence": with_tables("transfers", more=_FLOWS + """, pairs AS (SELECT least(src, dst) AS a, greatest(src, dst) AS b, sum(total) AS total FROM flows WHERE src <> dst GROUP BY 1, 2),
+      ways AS (SELECT a AS node, b AS other FROM pairs UNION ALL SELECT b, a FROM pairs), deg AS (SELECT node, count(*) AS k FROM ways GROUP BY 1),
+      shared AS (SELECT p.a, p.b, count(*) AS cn FROM pairs p JOIN ways x ON x.node = p.a JOIN ways y ON y.node = p.b AND y.other = x.other GROUP BY 1, 2)""")
+    + """SELECT p.a, p.b, round(0.5 * coalesce(cn, 0) / (da.k + db.k - coalesce(cn, 0)) + 0.3 * ln(1 + greatest(coalesce(total, 0.0), 0.0) / 50000.0) + 0.2, 6) AS score
+      FROM pairs p LEFT JOIN shared s ON s.a = p.a AND s.b = p.b JOIN deg da ON da.node = p.a JOIN deg db ON db.node = p.b""",
+    "negative_links": with_tables("vertices", "edge_rows", more="""pairs AS (SELECT DISTINCT least(src, dst) AS a, greatest(src, dst) AS b FROM edge_rows WHERE src <> dst AND src IN (SELECT entity_id FROM vertices) AND dst IN (SELECT entity_id FROM vertices)),
+      placed AS (SELECT entity_id AS node, row_number() OVER (ORDER BY entity_id) - 1 AS place FROM vertices), seeds AS (SELECT row_number() OVER (ORDER BY a, b) - 1 AS seed FROM pairs),
+      draws AS (SELECT ('0x' || substr(md5(seed || '|' || k || '|a'), 1, 12))::BIGINT % (SELECT count(*) FROM placed) AS x, ('0x' || substr(md5(seed || '|' || k || '|b'), 1, 12))::BIGINT % (SELECT count(*) FROM placed) AS y FROM seeds, range(2) t(k)),
+      named AS (SELECT DISTINCT p.node AS a, q.node AS b FROM (SELECT least(x, y) AS x, greatest(x, y) AS y FROM draws WHERE x <> y) d JOIN placed p ON p.place = d.x JOIN placed q ON q.place = d.y)""")
+    + "SELECT a, b FROM named WHERE NOT EXISTS (SELECT 1 FROM pairs p WHERE p.a = named.a AND p.b = named.b)",
     "evidence_bundles": with_tables("transfers", more=_FLOWS + f""",
       marks AS (SELECT src AS key, 'HIGH_TRANSACTION_FREQUENCY' AS flag FROM ({_FREQ}) UNION ALL SELECT src, 'LARGE_TRANSFER' FROM ({_LARGE})),
       ways AS (SELECT node, other, max(total) AS total FROM (SELECT src AS node, dst AS other, total FROM flows WHERE src <> dst UNION ALL SELECT dst, src, total FROM flows WHERE src <> dst) GROUP BY 1, 2),
