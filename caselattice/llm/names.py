@@ -30,6 +30,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..operators.components import connected_components
+from ..operators.resolve import lcs_length
 from ..session import cut
 
 #: Least letters of a suffix, and forms in a refined block from which longer suffixes take over.
@@ -143,18 +144,8 @@ def firm_form(name: str) -> tuple[list[str], bool] | None:
 
 @lru_cache(maxsize=200_000)
 def lcs_ratio(a: str, b: str) -> float:
-    """Twice the longest common subsequence over the lengths, bit-parallel."""
-    if not a or not b:
-        return 0.0
-    where: dict[str, int] = {}
-    for i, ch in enumerate(a):
-        where[ch] = where.get(ch, 0) | 1 << i
-    full = (1 << len(a)) - 1
-    row = full
-    for ch in b:
-        u = row & where.get(ch, 0)
-        row = ((row + u) | (row - u)) & full
-    return 2 * (len(a) - row.bit_count()) / (len(a) + len(b))
+    """Twice the longest common subsequence over the lengths."""
+    return 2 * lcs_length(a, b) / (len(a) + len(b)) if a and b else 0.0
 
 
 def token_match(a: str, na: int, b: str, nb: int) -> float:
@@ -278,24 +269,28 @@ def _canonical(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["type", "circle", "entity_id", "sort", "tokens", "counts"])
 
 
-def _keys(kind: str, sort: str, tokens: list[str]) -> list[tuple[str, str, str, bool]]:
-    """``(slot, suffix, initial of another token, whether the suffix is the whole token)`` of a form.
+def _keys(kind: str, sort: str, tokens: list[str]) -> list[tuple[str, str, str, str]]:
+    """``(slot, suffix, other, level)`` of a form: a slot is a pair of tokens, its keys are the suffixes of the first.
 
-    A slot is a pair of tokens; its keys are the suffixes of the first with the initial of the second.
+    Level ``1`` refines a suffix by the initial of the other token, level ``2`` by its two first letters; level ``w`` is the whole
+    first token with the initial.
     """
     parts = [tokens[0], tokens[2]] if kind == "PERSON" else [t for t in tokens if t[0] != "+"]
     if kind != "PERSON" and sort == "short":
-        return [("=", "".join(sorted(parts)), "=", True)]
+        return [("=", "".join(sorted(parts)), "=", "w")]
     found = []
     for i, t in enumerate(parts):
         if len(t) < 2:
             continue
         for j, other in enumerate(parts):
             if i != j and other:
+                place = "" if kind != "PERSON" else "fl"[i]
                 for start in range(max(1, len(t) - SUFFIX + 1)):
-                    found.append((f"{i}{j}", t[start:], ("" if kind != "PERSON" else "fl"[i]) + other[0], start == 0))
+                    found.append((f"{i}{j}", t[start:], place + other[0], "1" if start else "w"))
+                    if len(other) > 1 and start:
+                        found.append((f"{i}{j}", t[start:], place + other[:2], "2"))
     if kind != "PERSON":
-        found.append(("=", "".join(sorted(t[0] for t in parts)), "=", True))
+        found.append(("=", "".join(sorted(t[0] for t in parts)), "=", "w"))
     return found
 
 
@@ -305,14 +300,14 @@ def _index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds, sorts, tokens = (batch.column(n).to_pylist() for n in ("type", "sort", "tokens"))
         for i, (kind, sort, toks) in enumerate(zip(kinds, sorts, tokens, strict=True)):
             # one entry of a form in a block, or its size would be counted too high
-            for key in {(suffix, initial): (slot, suffix, initial, whole) for slot, suffix, initial, whole in _keys(kind, sort, toks)}.values():
+            for slot, suffix, other, level in {(k[1], k[2]): k for k in _keys(kind, sort, toks)}.values():
                 rows.append(i)
-                cells.append(key)
+                cells.append((slot, suffix, other, level))
         columns = list(zip(*cells, strict=True)) if cells else [()] * 4
         take = pa.array(rows, pa.int32())
         yield pa.RecordBatch.from_arrays(
-            [batch.column(n).take(take) for n in ("type", "circle", "form", "sort")] + [pa.array(c, pa.string()) for c in columns[:3]] + [pa.array(columns[3], pa.bool_())],
-            names=["type", "circle", "form", "sort", "slot", "suffix", "initial", "whole"],
+            [batch.column(n).take(take) for n in ("type", "circle", "row")] + [pa.array(c, pa.string()) for c in columns],
+            names=["type", "circle", "row", "slot", "suffix", "other", "level"],
         )
 
 
@@ -327,11 +322,11 @@ def _score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 scores.append(acronym_match(ta[i], tb[i]))
             else:
                 scores.append(firm_match(ta[i], na[i], tb[i], nb[i]))
-        yield pa.RecordBatch.from_arrays([batch.column(n) for n in ("a", "b", "sort_a", "sort_b")] + [pa.array(scores, pa.float64())], names=["a", "b", "sort_a", "sort_b", "score"])
+        yield pa.RecordBatch.from_arrays([batch.column(n) for n in ("a", "b", "sort_b")] + [pa.array(scores, pa.float64())], names=["a", "b", "sort_b", "score"])
 
 
 def parse_forms(entities: DataFrame) -> DataFrame:
-    """``(type, circle, entity_id, sort, tokens, counts, form)`` of every usable form of every entity."""
+    """``(type, circle, entity_id, sort, tokens, counts, form)`` of every usable form of every entity; ``form`` is a 64-bit hash of the rest."""
     rows = (
         entities.select("type", "circle", "entity_id", "name", "aliases")
         .filter("type IN ('PERSON', 'ORGANIZATION') AND circle IS NOT NULL AND entity_id IS NOT NULL")
@@ -361,8 +356,8 @@ def parse_forms(entities: DataFrame) -> DataFrame:
     return (
         known.select("type", "circle", "entity_id", "surname_first", "acronym", "known")
         .mapInArrow(_canonical, "type string, circle string, entity_id string, sort string, tokens array<string>, counts array<long>")
-        .withColumn("form", F.concat_ws("|", "type", "circle", "sort", F.concat_ws(" ", F.transform("tokens", lambda t: F.concat(F.lit("_"), t)))))
-        .dropDuplicates(["entity_id", "form"])
+        .withColumn("form", F.xxhash64("type", "circle", "sort", "tokens"))
+        .dropDuplicates(["entity_id", "type", "circle", "form"])
     )
 
 
@@ -388,6 +383,46 @@ def _fold_pairs(batches):
         yield pa.RecordBatch.from_arrays([pa.array([b for _, b in pairs], pa.string()), pa.array([a for a, _ in pairs], pa.string())], names=["nick", "formal"])
 
 
+def _blocks(shown: DataFrame) -> DataFrame:
+    """``(row, block, size)``: the blocks each row is compared in, and how many rows each has.
+
+    Of each slot the shortest suffix whose block is not common, else the whole token: whoever shares a longer one shares it too.
+    Where the shortest suffix of all is common, the shortest that is not when refined by a second letter is kept beside it, so
+    an error before a common ending still meets.
+    """
+    index = cut(
+        shown.select("type", "circle", "row", "sort", "tokens").mapInArrow(_index, "type string, circle string, row long, slot string, suffix string, other string, level string")
+        .select("row", "slot", "level", F.length("suffix").alias("n"), F.xxhash64("type", "circle", "suffix", "other").alias("block"))
+    )
+    sizes = index.groupBy("block").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
+    usable = index.join(sizes, "block").filter((F.col("size") <= COMMON) | (F.col("level") == "w"))
+    one, two = F.col("level") != "2", F.col("level") == "2"
+    least = lambda which: F.min(F.when(which, F.struct("n", "block", "size")))
+    kept = usable.groupBy("row", "slot").agg(least(one).alias("one"), least(two).alias("two"))
+    finer = F.when(F.col("two").isNotNull() & (F.col("one").isNull() | (F.col("two.n") < F.col("one.n"))), F.col("two"))
+    return kept.select("row", F.explode(F.array_compact(F.array("one", finer))).alias("k")).select("row", "k.block", "k.size").distinct()
+
+
+def _candidates(shown: DataFrame) -> DataFrame:
+    """Pairs of rows that share a block, a full form on the left, each pair once.
+
+    A row carries all its blocks; a pair is taken in the least block both have, so copies need no second shuffle. The rows of a common block
+    are dealt into pieces on one side and repeated for each piece on the other.
+    """
+    blocks = cut(_blocks(shown))
+    carried = blocks.groupBy("row").agg(F.sort_array(F.collect_list("block")).alias("blocks"))
+    whole = cut(shown.join(carried, "row").withColumn("block", F.explode("blocks")).join(blocks.filter(F.col("size") > COMMON).select("row", "block", "size"), ["row", "block"], "left"))
+    pieces = F.ceil(F.coalesce("size", F.lit(1)) / COMMON).cast("int")
+    a = whole.filter("sort = 'full'").withColumn("piece", F.pmod(F.xxhash64("row"), pieces).cast("int")).select(
+        "block", "piece", "type", F.col("form").alias("a"), F.col("sort").alias("sort_a"), F.col("tokens").alias("tokens_a"), F.col("counts").alias("counts_a"), F.col("blocks").alias("blocks_a")
+    )
+    b = whole.withColumn("piece", F.explode(F.sequence(F.lit(0), pieces - 1))).select(
+        "block", "piece", F.col("form").alias("b"), F.col("sort").alias("sort_b"), F.col("tokens").alias("tokens_b"), F.col("counts").alias("counts_b"), F.col("blocks").alias("blocks_b")
+    )
+    # one full form on the left; pairs of full forms once
+    return a.join(b, ["block", "piece"]).filter("a <> b AND (sort_b <> 'full' OR a < b)").filter(F.element_at(F.array_intersect("blocks_a", "blocks_b"), 1) == F.col("block"))
+
+
 def entity_groups(entities: DataFrame, nicknames: DataFrame | None = None) -> DataFrame:
     """``(entity_id, type, circle, component)``: entities of one component are the same person or firm.
 
@@ -403,44 +438,25 @@ def entity_groups(entities: DataFrame, nicknames: DataFrame | None = None) -> Da
         .select("form", "type", "circle", F.lit("nick").alias("sort"), F.array("formal", F.col("tokens")[1], F.col("tokens")[2]).alias("tokens"),
                 F.array(F.lit(1_000_000_000).cast("long"), F.col("counts")[1], F.col("counts")[2]).alias("counts"))
     )
-    shown = cut(distinct.select("form", "type", "circle", "sort", "tokens", "counts").unionByName(expanded))
-    index = cut(shown.mapInArrow(_index, "type string, circle string, form string, sort string, slot string, suffix string, initial string, whole boolean"))
-    block = ["type", "circle", "suffix", "initial"]
-    sizes = index.groupBy(*block).agg(F.count(F.lit(1)).alias("size"))
-    # of each slot the shortest suffix whose block is not common, else the whole token: whoever shares a longer one shares it too
-    usable = index.join(sizes.filter("size > 1"), block).filter((F.col("size") <= COMMON) | F.col("whole"))
-    kept = usable.groupBy("type", "circle", "form", "sort", "slot").agg(F.min(F.struct(F.length("suffix").alias("n"), F.col("suffix"), F.col("initial"))).alias("k")).select(
-        "type", "circle", "form", "sort", "k.suffix", "k.initial"
-    )
-    a = kept.select(*block, F.col("form").alias("a"), F.col("sort").alias("sort_a"))
-    b = kept.select(*block, F.col("form").alias("b"), F.col("sort").alias("sort_b"))
-    met = (
-        a.join(b, block)
-        # one full form on the left; pairs of full forms once
-        .filter("a <> b AND sort_a = 'full' AND (sort_b <> 'full' OR a < b)")
-        .select("type", "a", "b", "sort_a", "sort_b").distinct()
-    )
-    left = distinct.select(F.col("form").alias("a"), F.col("tokens").alias("tokens_a"), F.col("counts").alias("counts_a"))
-    right = shown.select(F.col("form").alias("b"), F.col("sort").alias("sort_b"), F.col("tokens").alias("tokens_b"), F.col("counts").alias("counts_b"))
+    shown = cut(distinct.select("form", "type", "circle", "sort", "tokens", "counts").unionByName(expanded).withColumn("row", F.xxhash64("form", "sort", "tokens")))
     scored = cut(
-        met.join(left, "a").join(right, ["b", "sort_b"])
-        .mapInArrow(_score, "a string, b string, sort_a string, sort_b string, score double")
-        .filter("score > 0").groupBy("a", "b", "sort_b").agg(F.max("score").alias("score"))
+        _candidates(shown).select("type", "a", "b", "sort_a", "sort_b", "tokens_a", "counts_a", "tokens_b", "counts_b")
+        .mapInArrow(_score, "a long, b long, sort_b string, score double").filter("score > 0")
     )
 
-    node = F.concat_ws("|", F.lit("entity"), "type", "circle", "entity_id").alias("node")
-    held = forms.select(node, "entity_id", "type", "circle", "form", "sort")
-    has_full = held.filter("sort = 'full'").select("node").distinct()
-    full = held.filter("sort = 'full'").select(F.col("node").alias("src"), F.col("form").alias("dst"))
-    brief = held.filter("sort = 'short'").join(has_full, "node", "left_anti")
+    # an entity stands on its full forms, or on its short ones when it has no other; each is tied to the first
+    held = forms.filter("sort IN ('full', 'short')").groupBy("entity_id", "type", "circle").agg(
+        F.collect_set(F.when(F.col("sort") == "full", F.col("form"))).alias("full"), F.collect_set(F.when(F.col("sort") == "short", F.col("form"))).alias("short")
+    )
+    based = cut(held.select("entity_id", "type", "circle", F.sort_array(F.when(F.size("full") > 0, F.col("full")).otherwise(F.col("short"))).alias("base")).withColumn("first", F.col("base")[0]))
+    ties = based.filter("size(base) > 1").select(F.col("first").alias("src"), F.explode(F.slice("base", 2, 1_000_000_000)).alias("dst"))
     links = scored.filter("sort_b = 'full'").select(F.col("a").alias("src"), F.col("b").alias("dst"))
-    groups = cut(connected_components(full.unionByName(brief.select(F.col("node").alias("src"), F.col("form").alias("dst"))).unionByName(links)))
+    groups = cut(connected_components(ties.unionByName(links), based.select(F.explode("base").alias("node"))))
 
-    of_form = groups.filter("NOT startswith(node, 'entity|')")
     weak = scored.filter("sort_b <> 'full'")
     best = (
-        weak.join(of_form.select(F.col("node").alias("a"), F.col("component").alias("target")), "a")
-        .join(of_form.select(F.col("node").alias("b"), F.col("component").alias("source")), "b")
+        weak.join(groups.select(F.col("node").alias("a"), F.col("component").alias("target")), "a")
+        .join(groups.select(F.col("node").alias("b"), F.col("component").alias("source")), "b")
         .groupBy("source", "target").agg(F.countDistinct("b").alias("n"), F.max("score").alias("score"))
     )
     order = W.partitionBy("source").orderBy(F.desc("n"), F.desc(F.round("score", 3)))
@@ -451,7 +467,7 @@ def entity_groups(entities: DataFrame, nicknames: DataFrame | None = None) -> Da
         .select(F.col("source").alias("src"), F.col("target").alias("dst"))
     )
     merged = connected_components(joined).select(F.col("node").alias("component"), F.col("component").alias("merged"))
-    members = held.select("node", "entity_id", "type", "circle").distinct().join(groups, "node")
+    members = based.select("entity_id", "type", "circle", F.col("first").alias("node")).join(groups, "node")
     return members.join(merged, "component", "left").select("entity_id", "type", "circle", F.coalesce("merged", "component").alias("component"))
 
 

@@ -51,3 +51,12 @@ def test_firms(spark):
 
 def test_empty(spark):
     assert entity_groups(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_common_blocks_are_refined_and_split(spark, monkeypatch):
+    from caselattice.llm import names
+
+    monkeypatch.setattr(names, "COMMON", 3)
+    crowd = [(f"y{i}", "PERSON", "c1", f"{n} Dumoray", None, 0) for i, n in enumerate(["Rasika", "Rohita", "Ravana", "Rukmat", "Rishon", "Relova", "Rachita"])]
+    cases = [*crowd, ("a", "PERSON", "c1", "Rachand Dumoray", None, 0), ("b", "PERSON", "c1", "Rachnad Dumoray", None, 0), ("c", "PERSON", "c1", "Rachand Domuray", None, 0)]
+    assert ("a", "b") in pairs(spark, cases) and ("a", "c") in pairs(spark, cases)
