@@ -14,10 +14,10 @@ PLATE_FROM, PLATE_TO = "OQILZ", "00112"
 
 
 def phone_form(column: Column) -> Column:
-    """The ten significant digits: country code, trunk zero and punctuation removed; null for other lengths."""
+    """The ten significant digits: country code, trunk zero and punctuation removed; null for other lengths and first digits below 6."""
     digits = F.regexp_replace(column, r"[^0-9]", "")
     bare = F.regexp_replace(digits, r"^(?:0*91|0+)([0-9]{10})$", "$1")
-    return F.when(F.length(bare) == 10, bare)
+    return F.when(bare.rlike("^[6-9][0-9]{9}$"), bare)
 
 
 def account_form(column: Column) -> Column:
@@ -31,6 +31,12 @@ def plate_form(column: Column) -> Column:
     return F.translate(F.upper(F.regexp_replace(column, r"[^0-9A-Za-z]", "")), PLATE_FROM, PLATE_TO)
 
 
+def valid_plate_text(column: Column) -> Column:
+    """The normalised text of a plate when it has five characters or more and a digit, else null."""
+    plate = plate_form(column)
+    return F.when((F.length(plate) >= 5) & plate.rlike("[0-9]"), plate)
+
+
 def name_case(column: Column) -> Column:
     """Blanks collapsed and each word capitalised; rank abbreviations stay in capitals."""
     words = F.split(F.trim(F.regexp_replace(column, r"\s+", " ")), " ")
@@ -43,7 +49,11 @@ def slug(column: Column) -> Column:
 
 
 def stable_id(kind: Column, canonical: Column) -> Column:
-    """``KIN_`` and the first eight hex digits of SHA-256 of ``TYPE:canonical``."""
+    """``KIN_`` and the first eight hex digits of SHA-256 of ``TYPE:canonical``; what already is such an id stays."""
+    return F.when(canonical.rlike("^[A-Z]{3}_[0-9a-f]{8}$"), canonical).otherwise(_digest_id(kind, canonical))
+
+
+def _digest_id(kind: Column, canonical: Column) -> Column:
     return F.concat(F.substring(kind, 1, 3), F.lit("_"), F.substring(F.sha2(F.concat(kind, F.lit(":"), canonical), 256), 1, 8))
 
 

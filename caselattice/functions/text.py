@@ -1,7 +1,6 @@
 """Text extraction in column expressions: identifiers, dates and amounts, language markers, chunks and tokens.
 
-Patterns use no look-around, so that the same text is found by other engines; a value next to a digit or letter is
-excluded by matching its neighbours and taking the group. Every function is null or empty for a null text.
+Identifiers next to a digit or letter of any script are no identifiers. Every function is null or empty for a null text.
 """
 
 from __future__ import annotations
@@ -10,15 +9,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Patterns of identifiers, marker words of code-mixed text and English stop words.
-PHONE = r"(?:^|[^0-9])(?:\+91[-. ]?|0)?([6-9][0-9]{9})"
-PLATE = r"([A-Z]{2}[0-9]{2}[A-Z]{1,2}[0-9]{4})"
-ACCOUNT = r"(ACC[0-9]{5})"
+PHONE = r"(?<![0-9])(?:\+91[-.\s]?|0)?([6-9][0-9]{9})(?![0-9])"
+PLATE = r"(?<![\p{L}\p{N}_])([A-Z]{2}[0-9]{2}[A-Z]{1,2}[0-9]{4})(?![\p{L}\p{N}_])"
+ACCOUNT = r"(?i)(?<![\p{L}\p{N}_])(ACC[0-9]{5}|ACC_[a-f0-9]{8})(?![\p{L}\p{N}_])"
+ACCOUNT_NUMBER = r"(?i)(?:account\s+(?:number\s+)?|a/c\s*(?:no\.?\s*)?)([0-9]{9,18})(?![\p{L}\p{N}_])"
 DATE = r"([0-9]{2}-[0-9]{2}-[0-9]{4})"
 AMOUNT = r"Rs\. ?([0-9][0-9,]*)"
-LISTED_NAME = r"(?m)^\s*[0-9]+\. ([A-Z][a-z]+(?: [A-Z][a-z]+)+)"
+LISTED_NAME = r"(?m)^\s*[0-9]+\.\s+([A-Z][A-Za-z\-]+(?:\s+[A-Z][A-Za-z\-]+)*)"
 CASE_NO = r"(?:FIR No\.|Case No\.|Case Number|Ref\. No\.): *([0-9A-Za-z/-]+)"
-MARKERS = ("hai", "tha", "thi", "aur", "mein", "ke", "ki", "ka", "ne", "se", "ko", "nahi")
-STOP_WORDS = ("the", "and", "was", "for", "that", "with", "this", "from", "have", "has", "had", "were", "are", "not", "but", "which", "its")
+MARKERS = (
+    "ne", "ka", "ki", "ko", "mein", "se", "hai", "tha", "thi", "the", "aur", "par", "jo", "woh", "yeh", "bataya", "dekha", "pakda", "giraftaar", "uska", "paas", "baith", "bhaag", "chura",
+)
+STOP_WORDS = ("the", "a", "an", "is", "in", "of", "and", "to", "for", "are", "at", "by", "on", "be", "this", "that", "with", "has", "was", "all", "from", "been", "have", "it")
 
 
 def found(column: Column, pattern: str) -> Column:
@@ -26,6 +28,11 @@ def found(column: Column, pattern: str) -> Column:
     return F.regexp_extract_all(F.coalesce(column, F.lit("")), F.lit(pattern), F.lit(1))
 
 
+def accounts(column: Column) -> Column:
+    """Account codes, then account numbers after a cue."""
+    return F.concat(found(column, ACCOUNT), found(column, ACCOUNT_NUMBER))
+
+
 def amounts(column: Column) -> Column:
     """The amounts of a text as numbers."""
     return F.transform(found(column, AMOUNT), lambda a: F.regexp_replace(a, ",", "").cast("long"))
@@ -33,7 +40,7 @@ def amounts(column: Column) -> Column:
 
 def markers(column: Column) -> Column:
     """The romanised Hindi marker words that occur in a text."""
-    words = F.split(F.lower(F.coalesce(column, F.lit(""))), "[^a-z]+")
+    words = F.split(F.lower(F.coalesce(column, F.lit(""))), r"[^\p{L}\p{N}_]+")
     return F.array_intersect(F.array_distinct(words), F.array(*(F.lit(m) for m in MARKERS)))
 
 

@@ -16,9 +16,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import text as T
+
 _FIELD = re.compile(r"\s*([^\W\d][^:：|\t]{0,38}?)\s*[:：]\s*(\S.*?)\s*$")
 _RULE = re.compile(r"\s*[-=_*~#.]{3,}\s*$|\s*page\s+\d+(\s+of\s+\d+)?\s*$", re.I)
 DELIMITERS = ("|", "\t", ";")
+# The mark after which a document holds nothing, and the words in the head of a column of names.
+_END = re.compile(r"---\s*end\s*of\s*document|note\s*for\s*testing\s*purposes", re.I)
+NAME_HEADS = ("name", "person", "witness", "suspect", "individual", "accused")
 SCHEMA = "kind string, first_line int, last_line int, text string"
 
 
@@ -36,6 +41,10 @@ def classify(text: str) -> list[tuple[str, int, int, str]]:
     i = 0
     while i < len(lines):
         line = lines[i]
+        if _END.search(line):
+            close(i)
+            blocks.append(("NOISE", i + 1, len(lines), "\n".join(lines[i:]).strip()))
+            return blocks
         mark = next((d for d in DELIMITERS if line.count(d) >= 2), None)
         if mark and i + 1 < len(lines) and lines[i + 1].count(mark) == line.count(mark):
             close(i)
@@ -58,6 +67,48 @@ def classify(text: str) -> list[tuple[str, int, int, str]]:
     return blocks
 
 
+def table_names(rows: list[str]) -> list[str]:
+    """The cells of the name column of a table's rows, the first row being its head; none without such a column."""
+    mark = next((d for d in DELIMITERS if rows and rows[0].count(d) >= 2), None)
+    if not mark:
+        return []
+    cells = [[c.strip() for c in r.strip().strip(mark if mark == "|" else "").split(mark)] for r in rows]
+    at = next((i for i, c in enumerate(cells[0]) if any(h in c.lower() for h in NAME_HEADS)), None)
+    return [] if at is None else [r[at] for r in cells[1:] if at < len(r) and len(r[at]) >= 2]
+
+
+def routed_mentions(df: DataFrame, key: str, text: str) -> DataFrame:
+    """``(key, type, value, method, confidence)``: each block read in its own way.
+
+    Identifiers by pattern come from the whole text; the name column of a table gives persons; header fields and narrative give
+    the names of numbered lists in them; noise gives nothing. A null or empty text has none.
+    """
+    of = lambda kind, values, sure, method: F.transform(values, lambda v: F.struct(F.lit(kind).alias("type"), v.alias("value"), F.lit(method).alias("method"), F.lit(sure).alias("confidence")))
+    c = F.col(text)
+    whole = df.select(key, F.inline(F.concat(of("PHONE", T.found(c, T.PHONE), 0.98, "regex"), of("VEHICLE", T.found(c, T.PLATE), 0.98, "regex"), of("ACCOUNT", T.accounts(c), 0.95, "regex"))))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, names = [], []
+            for i, value in enumerate(batch.column(1).to_pylist()):
+                table: list[str] = []
+                for kind, _, _, block in [*(classify(value) if value else ()), ("", 0, 0, "")]:
+                    if kind == "TABLE_ROW":
+                        table.append(block)
+                        continue
+                    for name in table_names(table):
+                        rows.append(i)
+                        names.append(name)
+                    table = []
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int32())), pa.array(names, pa.string())], names=[key, "value"])
+
+    tabled = df.select(key, text).mapInArrow(run, f"`{key}` {df.schema[key].dataType.simpleString()}, value string").select(
+        key, F.lit("PERSON").alias("type"), "value", F.lit("table").alias("method"), F.lit(0.88).alias("confidence")
+    )
+    told = line_blocks(df, key, text).filter("kind IN ('NARRATIVE', 'HEADER_FIELD')").select(key, F.inline(of("PERSON", T.found(F.col("text"), T.LISTED_NAME), 0.85, "list")))
+    return whole.unionByName(tabled).unionByName(told)
+
+
 def line_blocks(df: DataFrame, key: str, text: str) -> DataFrame:
     """``(key, kind, first_line, last_line, text)`` of every block of every text."""
 

@@ -12,11 +12,29 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.scalar import phone_form
 from .intervals import overlap_join
 
-# Words that make no name, endings of places, and words of institutions.
-FILLERS = ("aur", "and", "the", "of", "ka", "ke", "ki", "ko", "ne", "se", "mein", "par", "hai", "tha", "thi", "nahi", "woh", "usne", "yeh")
-PLACE_ENDINGS = ("nagar", "pur", "ganj", "gaon", "wadi", "garh", "chowk", "bazaar", "road", "rd", "colony", "layout", "marg", "extn", "station")
+# Function words that make no name, words of places, terms of forms and systems, words of institutions, cues of incidents.
+FILLERS = tuple(dict.fromkeys(
+    "ke ka ki ko se ne mein par tak maine humein hume mujhe uska uski unka unki woh yeh ye jo jiska jis jisme koi kuch apna apni apne hai hain tha thi the hoga hua hui hue raha rahi rahe gaya gayi gaye kiya kara"
+    " bataya bola mila milega lagaya chalaya utha diya diye dikha aur ya lekin ab na hi bhi to jab tab toh phir naam vyakti dwara paisa rupaye phone return lakh mahine scheme milkar saath dosto wapas mil double".split()
+))
+PLACE_ENDINGS = tuple(
+    "nagar colony vihar puram enclave basti ganj pura layout extension bagh kunj garden gardens marg road lane avenue path chowk crossing square market bazaar bazaars area block phase pocket zone west east north south".split()
+)
+NO_PLACE = r"\b(SI|ACP|DCP|SHO|Public|Private|Ltd|Inc)\b"
+TERMS = (
+    "psychological", "communications", "timeline", "authorship", "network graph", "identity", "relationship", "possible", "physical", "who", "family", "documentary", "hypothesis", "document", "location", "evidence",
+    "activity", "organization", "person", "vehicle", "account", "date", "information", "fir", "si", "na", "bank", "shakti", "anita", "vikram", "ipc", "detail records", "call detail records",
+)
+TERM_PARTS = (
+    "case no", "police station", "reporting officer", "first information", "under section", "ipc", "crpc", "ps 26152", "evidence database", "activity database", "initial fir", "network graph", "detail records",
+)
+TECHNICAL = tuple("dashboard search graph export review pipeline upload extract system engine module analysis workflow documentation centrality detection nlp llm rag ui streamlit scorer normalizer langgraph players interactive csv pdf louvain community".split())
+INSTITUTIONS = tuple("board center group department association company inc ltd corp agency council commission force police bank hospital school university court station ministry".split())
+LONE_WORDS = ("the", "a", "an", "this", "that", "entity", "name", "id", "entity_id", "entity_ids", "none", "null", "undefined")
+INCIDENT = r"(?i)(?<![\p{L}\p{N}_])(incident|robbery|theft|assault|accident|murder|fraud|attack)(?![\p{L}\p{N}_])"
 PATTERN_METHODS = ("regex", "list", "table")
 
 
@@ -25,27 +43,49 @@ def words(column: Column) -> Column:
 
 
 def is_fragment(column: Column) -> Column:
-    """All words are fillers, or of two or more words at most one is not and at least one is."""
-    all_, real = F.size(words(column)), F.size(F.filter(words(column), lambda w: ~w.isin(*FILLERS)))
-    return (real == 0) | ((all_ >= 2) & (real <= 1) & (all_ > real))
+    """All words are fillers, or of two or more words at most one is not and at least one is; no words are no fragment."""
+    all_ = F.regexp_extract_all(F.lower(F.coalesce(column, F.lit(""))), F.lit(r"([\p{L}\p{N}\p{M}_']+)"), F.lit(1))
+    fill = F.size(F.filter(all_, lambda w: w.isin(*FILLERS)))
+    return (F.size(all_) > 0) & ((fill == F.size(all_)) | ((F.size(all_) >= 2) & (F.size(all_) - fill <= 1) & (fill >= 1)))
+
+
+def _bare_words(column: Column) -> Column:
+    kept = F.trim(F.regexp_replace(F.coalesce(column, F.lit("")), r"[^\p{L}\p{N}\p{M}_\s]", ""))
+    return F.filter(F.split(kept, r"\s+"), lambda w: w != "")
 
 
 def junk_reason(kind: Column, text: Column) -> Column:
     """Why a mention is no entity of its type, else null."""
-    digits = F.length(F.regexp_replace(text, r"[^0-9]", ""))
+    low = F.lower(F.trim(F.regexp_replace(text, r"\s+", " ")))
+    words_ = _bare_words(low)
+    odd = lambda mark: (F.length(low) - F.length(F.replace(low, F.lit(mark), F.lit("")))) % 2 == 1
+    has = lambda known: F.size(F.filter(words_, lambda w: w.isin(*known))) > 0
+    date = F.trim(text)
+    name = (
+        F.when(F.length(low) < 2, "short").when(low.rlike("^[0-9]+$"), "number").when(low.isin(*TERMS) | low.rlike("|".join(TERM_PARTS)), "term")
+        .when((kind == "LOCATION") & low.rlike("[0-9]{2}/[0-9]{2}/[0-9]{4}"), "date").when(low.rlike("^[0-9]{1,2}:[0-9]{2}$"), "time").when(is_fragment(low), "fragment")
+        .when((F.size(words_) <= 7) & has(TECHNICAL) & ~has(INSTITUTIONS), "technical").when(low.rlike("[,:]$"), "dangling").when(low.rlike(r"^[a-z]{2,4}\s?[0-9]{3,6}$"), "code")
+        .when(odd('"') | odd("'"), "quote").when(low.isin(*LONE_WORDS), "word")
+    )
+    when = F.when(date.rlike("^[0-9]{4}$") & ~date.between("1900", "2099"), "number").when(date.rlike(r"(?i)^between\s+[0-9]") | date.rlike("^[0-9]{1,2}:[0-9]{2}$"), "time")
     return (
         F.when(text.isNull() | (F.trim(text) == ""), "empty")
-        .when((kind == "PHONE") & ~digits.between(10, 13), "digits")
-        .when(kind.isin("PERSON", "ORGANIZATION", "LOCATION") & (F.length(F.trim(text)) < 3), "short")
-        .when(kind.isin("PERSON", "ORGANIZATION", "LOCATION") & (digits > F.length(text) / 2), "number")
-        .when((kind == "PERSON") & is_fragment(text), "fragment")
+        .when(kind == "PHONE", F.when(phone_form(text).isNull(), "phone"))
+        .when(kind == "VEHICLE", F.when(~F.upper(F.regexp_replace(text, r"[^0-9A-Za-z]", "")).rlike("^[A-Z]{2}[0-9]{2}[A-Z]{1,2}[0-9]{4}$"), "plate"))
+        .when(kind == "DATE", when)
+        .when(kind.isin("PERSON", "ORGANIZATION", "LOCATION"), name)
     )
 
 
 def places(mentions: DataFrame, most: float = 0.72) -> DataFrame:
-    """Persons and organisations whose last word is a place ending become locations of at most that confidence."""
-    last = F.try_element_at(words(F.col("text")), F.lit(-1))
-    wrong = F.col("type").isin("PERSON", "ORGANIZATION") & (F.size(words(F.col("text"))) > 0) & (last.isin(*PLACE_ENDINGS) | last.rlike("(nagar|pur|ganj|gaon|wadi|garh)$"))
+    """Persons and organisations of two or more words whose last is a word of places, or that name a sector, become locations of at most that confidence.
+
+    Names with a rank or the word of a firm in them stay.
+    """
+    words_ = _bare_words(F.col("text"))
+    last, before = F.lower(F.try_element_at(words_, F.lit(-1))), F.lower(F.try_element_at(words_, F.lit(-2)))
+    ends = last.isin(*PLACE_ENDINGS, "sector") | ((before == "sector") & last.rlike("^[0-9]+$"))
+    wrong = F.coalesce(F.col("type").isin("PERSON", "ORGANIZATION") & (F.size(words_) >= 2) & ~F.coalesce("text", F.lit("")).rlike(NO_PLACE) & ends, F.lit(False))
     return mentions.withColumns({"confidence": F.when(wrong, F.least("confidence", F.lit(most))).otherwise(F.col("confidence")), "type": F.when(wrong, "LOCATION").otherwise(F.col("type"))})
 
 
@@ -61,17 +101,21 @@ def patterns_first(mentions: DataFrame) -> DataFrame:
     return by_pattern.unionByName(by_model.join(overlapping.unionByName(same).distinct(), "m", "left_anti")).drop("m")
 
 
-def text_timeline(texts: DataFrame, key: str, text: str, base: Column, patterns: dict[str, str]) -> DataFrame:
-    """Values found per line as events: ``key, line_no, kind, value, ts``, the line number giving minutes after ``base``."""
+def text_timeline(texts: DataFrame, key: str, text: str, base: Column, patterns: dict[str, tuple[str, int]], incident: str) -> DataFrame:
+    """Values found per line as events: ``key, line_no, kind, value, ts``; ``base`` is a day, each kind has its hour, the line gives the minutes.
+
+    ``patterns`` is kind -> (pattern, hour); a line that matches ``incident`` is an event at eleven. Values count once a line.
+    """
     lines = texts.select(key, base.alias("base"), F.posexplode(F.split(F.coalesce(F.col(text), F.lit("")), "\n")).alias("pos", "line"))
 
-    def of_kind(kind: str, pattern: str) -> Column:
-        values = F.array_distinct(F.regexp_extract_all("line", F.lit(pattern), F.lit(1)))
-        return F.transform(values, lambda v: F.struct(F.lit(kind).alias("kind"), v.alias("value")))
+    def of_kind(kind: str, pattern: str, hour: int) -> Column:
+        values = F.array_distinct(F.transform(F.regexp_extract_all("line", F.lit(pattern), F.lit(1)), lambda v: F.upper(v)))
+        return F.transform(values, lambda v: F.struct(F.lit(kind).alias("kind"), v.alias("value"), F.lit(hour).alias("hour")))
 
-    found = F.flatten(F.array(*(of_kind(k, p) for k, p in patterns.items())))
+    seen = F.when(F.col("line").rlike(incident), F.array(F.struct(F.lit("incident").alias("kind"), F.concat(F.lit("line "), F.col("pos") + 1).alias("value"), F.lit(11).alias("hour"))))
+    found = F.flatten(F.array_compact(F.array(*(of_kind(k, p, h) for k, (p, h) in patterns.items()), seen)))
     return lines.select(key, (F.col("pos") + 1).alias("line_no"), "base", F.inline(found)).select(
-        key, "line_no", "kind", "value", (F.col("base") + F.make_dt_interval(mins=F.col("line_no"))).alias("ts")
+        key, "line_no", "kind", "value", (F.col("base") + F.make_dt_interval(hours=F.col("hour"), mins=F.col("line_no"))).alias("ts")
     )
 
 

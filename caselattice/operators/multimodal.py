@@ -10,18 +10,23 @@ ties are ordered by segment id.
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.scalar import plate_form, rescale
+from ..functions.scalar import clock, plate_form, rescale
 
 # Families of labels, colours, actions and the weights of the fusion.
-FAMILIES = {"car": ("car", "sedan", "taxi"), "truck": ("truck", "lorry", "van"), "bike": ("bike", "motorcycle", "scooter"), "person": ("person", "man", "woman"), "bag": ("bag", "backpack", "suitcase")}
+FAMILIES = {
+    "vehicle": ("vehicle", "car", "truck", "bus", "van", "motorcycle", "motorbike", "bike", "bicycle", "auto", "automobile", "suv", "jeep", "cab", "taxi"),
+    "person": ("person", "people", "man", "woman", "individual", "pedestrian", "driver", "passenger", "occupant", "thief", "suspect", "criminal"),
+    "license_plate": ("license_plate", "plate", "number_plate", "registration"),
+}
 COLOURS = ("black", "white", "red", "blue", "green", "silver", "yellow")
-ACTIONS = {"arrive": ("arrive", "stop", "park"), "depart": ("depart", "leave", "drive off"), "walk": ("walk", "run"), "enter": ("enter", "exit", "get in", "get out")}
+ACTIONS = {"arrive": ("arrive", "stop", "park"), "depart": ("depart", "leave", "drive off"), "walk": ("walk", "run", "move"), "enter": ("enter", "exit", "get in", "get out")}
 WEIGHTS = {"visual": 0.35, "spoken": 0.35, "objects": 0.20, "screen": 0.10, "event": 0.25}
 _PLATE = re.compile(r"\b[A-Z]{2}[ -]?\d{1,2}[ -]?[A-Z]{1,2}[ -]?\d{4}\b", re.I)
 
@@ -81,10 +86,10 @@ def _plain_plate(plate: str) -> str:
 
 
 def event_scores(segments: DataFrame, query: Query) -> DataFrame:
-    """Segments with ``event``: the first and last sighting of a vehicle count for arriving and leaving, neighbours of one less."""
+    """Segments with ``event``: the first and last sighting of a vehicle count for arriving and leaving, others less, by their place among the sightings."""
     order = W.partitionBy("video_id").orderBy("start_ts", "segment_id")
     whole = order.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
-    labels = [n for f in ("car", "truck", "bike") for n in FAMILIES[f]]
+    labels = FAMILIES["vehicle"]
     vehicle = F.exists(F.coalesce("objects", F.array().cast("array<struct<label:string,confidence:double,attributes:array<string>>>")), lambda o: F.lower(o["label"]).isin(*labels))
     person = F.exists(F.coalesce("objects", F.array().cast("array<struct<label:string,confidence:double,attributes:array<string>>>")), lambda o: F.lower(o["label"]).isin(*FAMILIES["person"]))
     seen = segments.withColumns({"_v": vehicle, "_p": person})
@@ -94,17 +99,23 @@ def event_scores(segments: DataFrame, query: Query) -> DataFrame:
         "_recent": F.max(F.col("_v").cast("int")).over(order.rowsBetween(-2, -1)),
     })
     here = F.struct("start_ts", "segment_id")
+    marked = marked.withColumns({
+        "_nv": F.sum(F.col("_v").cast("int")).over(whole), "_iv": F.sum(F.col("_v").cast("int")).over(order.rowsBetween(W.unboundedPreceding, -1)),
+        "_start": F.min(here).over(whole), "_lastp": F.max(F.when(F.col("_p"), here)).over(whole),
+    })
+    # the place of a sighting among all, from 0 to 1
+    position = F.coalesce("_iv", F.lit(0)) / F.greatest(F.col("_nv") - 1, F.lit(1))
     parts = []
     if "arrive" in query.actions:
-        parts.append(F.when(here == F.col("_first"), 1.0).when(F.col("_v"), 0.4).otherwise(0.0))
+        parts.append(F.when(F.col("_v"), F.when(here == F.col("_first"), 1.0).otherwise(0.55)).when(here == F.col("_start"), 0.25).otherwise(0.0))
     if "depart" in query.actions:
-        parts.append(F.when(here == F.col("_last"), 1.0).when(F.col("_v"), 0.4).when(F.col("_recent") == 1, 0.3).otherwise(0.0))
+        parts.append(F.when(F.col("_v"), F.when(here == F.col("_last"), 1.0).otherwise(0.35 + 0.45 * position)).when((F.col("_nv") == 0) & (here == F.col("_lastp")), 0.5).otherwise(0.0))
     if "walk" in query.actions:
-        parts.append(F.when(F.col("_p"), 0.8).otherwise(0.0))
+        parts.append(F.when(F.col("_p"), 0.65).otherwise(0.0))
     if "enter" in query.actions:
-        parts.append(F.when(F.col("_p") & (F.col("_v") | (F.col("_recent") == 1)), 0.9).otherwise(0.0))
+        parts.append(F.when(F.col("_p") & F.col("_v"), 0.95).when(F.col("_p") & (F.col("_recent") == 1), 0.75).otherwise(0.0))
     event = F.greatest(*parts, F.lit(0.0)) if parts else F.lit(0.0)
-    return marked.withColumn("event", F.coalesce(event, F.lit(0.0))).drop("_v", "_p", "_first", "_last", "_recent")
+    return marked.withColumn("event", F.round(F.coalesce(event, F.lit(0.0)), 3)).drop("_v", "_p", "_first", "_last", "_recent", "_nv", "_iv", "_start", "_lastp")
 
 
 def search(segments: DataFrame, query: Query, k: int, visual: DataFrame | None = None, spoken: DataFrame | None = None) -> DataFrame:
@@ -149,3 +160,39 @@ def join_modalities(visual: DataFrame, audio: DataFrame, frames: DataFrame, leas
         F.array_sort(F.array_distinct(F.flatten(F.collect_list("labels")))).alias("labels"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("texts")))).alias("ocr")
     )
     return a.join(best, ["video_id", "segment_id"], "left").join(gathered, ["video_id", "segment_id"], "left")
+
+
+def frame_records(frames: DataFrame) -> DataFrame:
+    """``video_id, ts, labels, texts`` of frame rows: texts only of sharp frames (``sharp``), of two characters or more, each once in order."""
+    read = F.filter(F.coalesce("texts", F.array().cast("array<string>")), lambda t: F.length(F.trim(t)) >= 2)
+    return frames.select("video_id", "ts", F.array_distinct(F.coalesce("labels", F.array().cast("array<string>"))).alias("labels"), F.when(F.col("sharp"), F.array_distinct(F.transform(read, lambda t: F.trim(t)))).otherwise(F.array().cast("array<string>")).alias("texts"))
+
+
+def ingest(spark: SparkSession, readers: dict[str, Callable[[], DataFrame]]) -> tuple[DataFrame, dict[str, str]]:
+    """``(segments, failures)`` of the modalities ``visual``, ``audio`` and ``frames``, each of which may fail.
+
+    A reader that raises gives an empty modality and its error by name; segments need the visual one.
+    """
+    schemas = {"visual": "video_id string, segment_id string, start_ts double, end_ts double", "audio": "video_id string, start_ts double, end_ts double, transcript string", "frames": "video_id string, ts double, labels array<string>, texts array<string>"}
+    parts, failed = {}, {}
+    for name, schema in schemas.items():
+        try:
+            part = readers[name]()
+            part.limit(1).count()  # a broken source shows when it is read
+        except Exception as e:  # noqa: BLE001
+            part, failed[name] = spark.createDataFrame([], schema), f"{type(e).__name__}: {e}"[:200]
+        parts[name] = part
+    return join_modalities(parts["visual"], parts["audio"], parts["frames"]), failed
+
+
+def shown(results: DataFrame) -> DataFrame:
+    """Search results as lines to read: rank, span in minutes, score and how sure it is (high from 0.60, medium from 0.45)."""
+    order = W.orderBy(F.desc("score"), "video_id", "segment_id")  # at most the k rows of a search
+    band = F.when(F.col("score") >= 0.60, "HIGH").when(F.col("score") >= 0.45, "MEDIUM").otherwise("LOW")
+    span = F.concat(clock(F.col("start_ts")), F.lit("-"), clock(F.col("end_ts")))
+    return results.withColumn("place", F.row_number().over(order)).select("place", F.format_string("%d. %s %s score %.3f (%s)", "place", "video_id", span, "score", band).alias("line"))
+
+
+def ask(segments: DataFrame, question: str, k: int = 5) -> DataFrame:
+    """A question in plain English answered by the ``k`` best segments, as lines."""
+    return shown(search(segments, parse_query(question), k))

@@ -21,7 +21,8 @@ from .components import connected_components
 # Least similarity per type, weights of extraction methods, precedence of types.
 THRESHOLDS = {"PERSON": 80, "ORGANIZATION": 80, "LOCATION": 85, "DATE": 70, "CASE": 95}
 EXACT = ("PHONE", "VEHICLE", "ACCOUNT")
-METHODS = {"regex": 1.0, "table": 0.95, "list": 0.9, "model": 0.8}
+METHODS = {"regex": 1.00, "spacy": 0.85, "indicbert": 0.80}
+DEFAULT_METHOD, REVIEW_BELOW = 0.75, 0.45
 PRECEDENCE = {"PERSON": 5, "ORGANIZATION": 4, "LOCATION": 3}
 
 
@@ -109,19 +110,28 @@ def resolve(forms: DataFrame, scope: str | None = None) -> DataFrame:
 def confidence(rows: DataFrame) -> DataFrame:
     """Confidence of entities from ``base``, ``methods`` and the numbers of documents and aliases; review below 0.45."""
     weights = F.create_map(*(F.lit(x) for kv in METHODS.items() for x in kv))
-    best = F.array_max(F.transform("methods", lambda m: F.coalesce(F.element_at(weights, m), F.lit(0.5))))
+    best = F.coalesce(F.array_max(F.transform("methods", lambda m: F.coalesce(F.element_at(weights, m), F.lit(DEFAULT_METHOD)))), F.lit(DEFAULT_METHOD))
     value = best * F.col("base") + F.least(0.02 * F.greatest(F.col("n_docs") - 1, F.lit(0)), F.lit(0.10)) + F.least(0.01 * F.greatest(F.col("n_aliases") - 1, F.lit(0)), F.lit(0.05))
-    scored = rows.withColumn("confidence", F.round(F.least(F.greatest(value, F.lit(0.0)), F.lit(1.0)), 6))
-    return scored.withColumn("needs_review", F.col("confidence") < 0.45)
+    scored = rows.withColumn("confidence", F.round(F.round(F.least(F.greatest(value, F.lit(0.0)), F.lit(1.0)), 9), 4))
+    return scored.withColumn("needs_review", F.col("confidence") < REVIEW_BELOW)
 
 
-def across_types(rows: DataFrame, scope: str) -> DataFrame:
-    """One type per name of a scope: persons before organisations before places, names compared sorted and in lower case."""
-    rank = F.coalesce(F.element_at(F.create_map(*(F.lit(x) for kv in PRECEDENCE.items() for x in kv)), F.col("type")), F.lit(0))
-    form = F.array_join(F.array_sort(F.filter(F.split(F.lower("name"), "[^\\p{L}\\p{N}]+"), lambda w: w != "")), " ")
-    best = F.max_by(F.struct("type", "entity_id"), F.struct(rank.alias("r"), F.col("entity_id"))).alias("b")
-    kept = rows.filter(F.col("type").isin(*PRECEDENCE) & F.col("name").isNotNull()).withColumn("form", form).filter("form <> ''")
-    return kept.groupBy(scope, "form").agg(best, F.countDistinct("type").alias("n_types")).filter("n_types > 1").select(scope, "form", F.col("b.type").alias("type"), F.col("b.entity_id").alias("entity_id"), "n_types")
+def across_types(rows: DataFrame, scope: str, least: int = 92) -> DataFrame:
+    """``scope, kept, kept_type, dropped, dropped_type, score``: entities of one scope and two types whose names, words sorted and in
+    lower case, are alike to ``least`` or more; the type of higher precedence (persons, organisations, places) is kept.
+
+    Names meet in the blocks of ``resolve``; an entity is dropped once, for its best match.
+    """
+    rank = F.element_at(F.create_map(*(F.lit(x) for kv in PRECEDENCE.items() for x in kv)), F.col("type"))
+    named = rows.filter(F.col("type").isin(*PRECEDENCE) & F.col("name").isNotNull() & F.col(scope).isNotNull()).select(scope, "type", "entity_id", "name", rank.alias("rank")).distinct()
+    keyed = named.withColumn("key", F.explode(_keys(F.col("name"))))
+    side = lambda n: keyed.select(scope, "key", *(F.col(c).alias(f"{c}_{n}") for c in ("type", "entity_id", "name", "rank")))
+    met = side("a").join(side("b"), [scope, "key"]).filter("rank_a > rank_b AND entity_id_a <> entity_id_b").drop("key").distinct()
+    scored = met.withColumn("score", F.round(similarity(F.lower("name_a"), F.lower("name_b")), 4)).filter(F.col("score") >= least)
+    best = F.max_by(F.struct("entity_id_a", "type_a", "score"), F.struct("score", "rank_a", "entity_id_a")).alias("m")
+    return scored.groupBy(scope, F.col("entity_id_b").alias("dropped"), F.col("type_b").alias("dropped_type")).agg(best).select(
+        scope, F.col("m.entity_id_a").alias("kept"), F.col("m.type_a").alias("kept_type"), "dropped", "dropped_type", "m.score"
+    )
 
 
 def merge_incrementally(known: DataFrame, new: DataFrame, key: str, arrays: list[str], values: list[str]) -> DataFrame:

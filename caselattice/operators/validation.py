@@ -9,9 +9,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+# Types of entities and of relations.
 TYPES = ("PERSON", "PHONE", "VEHICLE", "LOCATION", "ORGANIZATION", "ACCOUNT", "CASE", "DATE")
+RELATIONS = ("APPEARS_IN_SAME_DOCUMENT", "CALLED", "TRANSFERRED_MONEY_TO", "APPEARS_IN_CASE", "OWNS", "LOCATED_AT", "ASSOCIATED_WITH", "WORKS_FOR", "CONNECTED_TO")
 ENTITY_CHECKS = {"name": "trim(name) <> ''", "type": f"type IN {TYPES}", "confidence": "confidence BETWEEN 0 AND 1", "circle": "circle IS NOT NULL"}
-EDGE_CHECKS = {"source": "trim(source) <> ''", "target": "trim(target) <> ''", "relationship": "relationship IS NOT NULL", "confidence": "confidence BETWEEN 0 AND 1"}
+EDGE_CHECKS = {"source": "trim(source) <> ''", "target": "trim(target) <> ''", "relationship": f"relationship IN {RELATIONS}", "confidence": "confidence BETWEEN 0 AND 1"}
+RESULT_CHECKS = {"rank_no": "rank_no >= 1", "risk_score": "risk_score BETWEEN 0 AND 100", "entity_id": "trim(entity_id) <> ''", "evidence_line": "evidence_line >= 1", "text_snippet": "trim(text_snippet) <> ''"}
 SEGMENT_CHECKS = {"video_id": "video_id IS NOT NULL", "order": "end_ts >= start_ts", "start": "start_ts >= 0"}
 
 

@@ -14,14 +14,14 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from ..session import cut
+from ..session import broadcast_if_small, cut
 from .graph import HUB, held_out, neighbourhood_overlap, simple_pairs
 from .metrics import auc
 from .ranks import with_rank
 from .skew import join_one
 
-#: Words of the longest name that is looked for in texts.
-NAME_WORDS = 5
+#: First words by which a name is looked for in texts.
+HEAD_WORDS = 5
 
 
 @F.pandas_udf(StringType())
@@ -35,16 +35,22 @@ def words_of(column: Column) -> Column:
     return F.filter(F.split(F.lower(F.coalesce(column, F.lit(""))), r"[^\p{L}\p{M}\p{N}]+"), lambda w: w != "")
 
 
-def name_mentions(texts: DataFrame, key: str, text: str, names: DataFrame, name_id: str, name: str) -> DataFrame:
-    """``key, name_id``: names whose words occur next to each other in a text.
+def name_mentions(texts: DataFrame, key: str, text: str, names: DataFrame, name_id: str, name: str, head: int = HEAD_WORDS) -> DataFrame:
+    """``key, name_id``: names whose words occur next to each other in a text, names of any length.
 
-    Both sides are cut to word sequences, so the join is an equi-join; texts are not compared with names one by one.
+    Both sides are cut to word sequences. A name meets a text at its first words (at most ``head``), by an equi-join on their hash;
+    the words after them are compared in the hit. Of a text only the sequences whose first word begins some name are
+    spread, when the first words are few enough to be held.
     """
-    wanted = names.select(name_id, words_of(F.col(name)).alias("w")).filter((F.size("w") > 0) & (F.size("w") <= NAME_WORDS)).select(name_id, F.concat_ws(" ", "w").alias("phrase"))
-    sizes = F.sequence(F.lit(1), F.lit(NAME_WORDS))
-    grams = F.flatten(F.transform(sizes, lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - n + 1, F.lit(1))), lambda i: F.array_join(F.slice("w", i, n), " "))))
-    phrases = texts.select(key, words_of(F.col(text)).alias("w")).filter(F.size("w") > 0).select(key, F.explode(F.array_distinct(grams)).alias("phrase"))
-    return phrases.join(wanted, "phrase").select(key, name_id).distinct()
+    wanted = cut(
+        names.select(name_id, words_of(F.col(name)).alias("w")).filter(F.size("w") > 0)
+        .select(name_id, F.array_join("w", " ").alias("phrase"), F.least(F.size("w"), F.lit(head)).alias("n"), F.array_join(F.slice("w", 1, head), " ").alias("start"), F.col("w")[0].alias("first")).distinct()
+    )
+    placed = texts.select(key, words_of(F.col(text)).alias("w")).filter(F.size("w") > 0).withColumn("t", F.concat(F.lit(" "), F.array_join("w", " "), F.lit(" ")))
+    words = placed.select(key, "t", "w", F.posexplode("w").alias("pos", "first")).join(broadcast_if_small(wanted.select("first", "n").groupBy("first").agg(F.collect_set("n").alias("ns"))), "first")
+    starts = words.select(key, "t", F.explode(F.transform("ns", lambda n: F.array_join(F.slice("w", F.col("pos") + 1, n), " "))).alias("start")).distinct()
+    met = starts.join(wanted.select(name_id, "phrase", "start"), "start").filter(F.contains("t", F.concat(F.lit(" "), "phrase", F.lit(" "))))
+    return met.select(key, name_id).distinct()
 
 
 def flow_totals(transfers: DataFrame) -> DataFrame:

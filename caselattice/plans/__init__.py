@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("references", "patterns", "temporal", "graph", "texts", "entities", "views", "mentions")
+MODULES = ("references", "patterns", "temporal", "graph", "texts", "entities", "views", "mentions", "cases")
 
 
 def queries() -> dict:

@@ -23,8 +23,8 @@ def entity_bucket(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def fuzzy_dedup(spark: SparkSession, folder: str) -> DataFrame:
-    """Supplier-like names resolved: organisations of one circle whose names reach the threshold."""
-    rows = table(spark, folder, "entities", "entity_id", "type", "name", "circle").filter("type IN ('ORGANIZATION', 'LOCATION', 'PHONE', 'ACCOUNT') AND circle IS NOT NULL")
+    """Names of every type resolved within their circle (rows without one among themselves): entities, forms and mentions."""
+    rows = table(spark, folder, "entities", "entity_id", "type", "name", "circle").filter("name IS NOT NULL").withColumn("circle", F.coalesce("circle", F.lit("")))
     forms = rows.groupBy("type", "circle", F.col("name").alias("text")).agg(F.count(F.lit(1)).alias("n_mentions"))
     return E.resolve(forms, "circle").groupBy("type", "entity").agg(F.count(F.lit(1)).alias("n_forms"), F.sum("n_mentions").alias("n_mentions"), F.first("name").alias("name"))
 
@@ -141,15 +141,11 @@ QUERIES = {
     )
 }
 
-_PREC = "CASE type WHEN 'PERSON' THEN 5 WHEN 'ORGANIZATION' THEN 4 WHEN 'LOCATION' THEN 3 END"
 ORACLE = {
     "entity_bucket": with_tables("vertices") + r"""SELECT type, text, count(*) AS n_mentions, count(DISTINCT doc) AS n_docs, max(confidence) AS confidence FROM (
       SELECT type, trim(lower(regexp_replace(name, '\s+', ' ', 'g'))) AS text, confidence, unnest(CASE WHEN len(source_documents) > 0 THEN source_documents ELSE [NULL] END) AS doc FROM vertices) WHERE text <> '' GROUP BY 1, 2""",
-    "cross_type_dedup": f"""SELECT circle, form, arg_max(type, (r, entity_id)) AS type, arg_max(entity_id, (r, entity_id)) AS entity_id, count(DISTINCT type) AS n_types FROM (
-      SELECT DISTINCT circle, type, entity_id, {_PREC} AS r, array_to_string(list_sort(list_filter(string_split_regex(lower(name), '[^\\p{{L}}\\p{{N}}]+'), lambda w: w <> '')), ' ') AS form FROM entities
-      WHERE circle IS NOT NULL AND type IN ('PERSON', 'ORGANIZATION', 'LOCATION') AND name IS NOT NULL) WHERE form <> '' GROUP BY 1, 2 HAVING count(DISTINCT type) > 1""",
-    "confidence_score": with_tables("vertices") + """SELECT entity_id, c AS confidence, c < 0.45 AS needs_review FROM (SELECT entity_id, round(least(greatest(0.95 * confidence
-      + least(0.02 * greatest(coalesce(len(source_documents), 0) - 1, 0), 0.10) + least(0.01 * greatest(coalesce(len(aliases), 0) - 1, 0), 0.05), 0.0), 1.0), 6) AS c FROM vertices)""",
+    "confidence_score": with_tables("vertices") + """SELECT entity_id, c AS confidence, c < 0.45 AS needs_review FROM (SELECT entity_id, CAST(round(CAST(least(greatest(0.75 * confidence
+      + least(0.02 * greatest(coalesce(len(source_documents), 0) - 1, 0), 0.10) + least(0.01 * greatest(coalesce(len(aliases), 0) - 1, 0), 0.05), 0.0), 1.0) AS DECIMAL(18, 9)), 4) AS DOUBLE) AS c FROM vertices)""",
     "incremental_merge": """WITH r AS (SELECT entity_id, type, name, source_documents AS d, coalesce(loaded_at < TIMESTAMP '2025-11-01', false) AS early FROM entities)
       SELECT entity_id, coalesce(min(type) FILTER (WHERE early), min(type) FILTER (WHERE NOT early)) AS type, coalesce(min(name) FILTER (WHERE early), min(name) FILTER (WHERE NOT early)) AS name,
       array_to_string(list_sort(list_distinct(flatten(list(coalesce(d, []))))), ',') AS docs FROM r GROUP BY 1""",

@@ -9,6 +9,8 @@ from ..functions import scalar as S
 from ..functions import text as T
 from ..operators import retrieval as R
 from ..operators.blocks import line_blocks
+from ..operators.blocks import routed_mentions as line_mentions
+from ..session import broadcast_if_small
 from ..tables import table
 
 
@@ -20,7 +22,7 @@ def _files(spark, folder):
 def extract_patterns(spark: SparkSession, folder: str) -> DataFrame:
     """Phones, plates, accounts, dates and amounts found in every case file, in order."""
     c = F.col("text")
-    lists = {"phones": T.found(c, T.PHONE), "plates": T.found(c, T.PLATE), "accounts": T.found(c, T.ACCOUNT), "dates": T.found(c, T.DATE)}
+    lists = {"phones": T.found(c, T.PHONE), "plates": T.found(c, T.PLATE), "accounts": T.accounts(c), "dates": T.found(c, T.DATE)}
     total = F.aggregate(T.amounts(c), F.lit(0).cast("long"), lambda s, x: s + x)
     return _files(spark, folder).select("doc_key", *(F.array_join(v, ",").alias(k) for k, v in lists.items()), F.size(T.amounts(c)).cast("long").alias("n_amounts"), total.alias("total_amount"))
 
@@ -28,7 +30,7 @@ def extract_patterns(spark: SparkSession, folder: str) -> DataFrame:
 def mentions(spark: SparkSession, folder: str) -> DataFrame:
     """Documents and mentions per extracted phone and account."""
     c = F.col("text")
-    both = F.concat(F.transform(T.found(c, T.PHONE), lambda x: F.struct(F.lit("PHONE").alias("type"), x.alias("value"))), F.transform(T.found(c, T.ACCOUNT), lambda x: F.struct(F.lit("ACCOUNT").alias("type"), x.alias("value"))))
+    both = F.concat(F.transform(T.found(c, T.PHONE), lambda x: F.struct(F.lit("PHONE").alias("type"), x.alias("value"))), F.transform(T.accounts(c), lambda x: F.struct(F.lit("ACCOUNT").alias("type"), x.alias("value"))))
     return _files(spark, folder).select("doc_key", F.inline(both)).groupBy("type", "value").agg(F.count(F.lit(1)).alias("n_mentions"), F.countDistinct("doc_key").alias("n_docs"))
 
 
@@ -37,8 +39,8 @@ def known_people(spark: SparkSession, folder: str) -> DataFrame:
     people = table(spark, folder, "subscribers", "person_id", "phone", "account")
     keys = people.select("person_id", F.explode(F.array_compact(F.array("phone", "account"))).alias("value")).distinct()
     c = F.col("text")
-    hits = _files(spark, folder).select("doc_key", F.explode(F.array_distinct(F.concat(T.found(c, T.PHONE), T.found(c, T.ACCOUNT)))).alias("value"))
-    return hits.join(F.broadcast(keys), "value").select("doc_key", "person_id").distinct()  # the table of subscribers has a fixed size
+    hits = _files(spark, folder).select("doc_key", F.explode(F.array_distinct(F.concat(T.found(c, T.PHONE), T.accounts(c)))).alias("value"))
+    return hits.join(broadcast_if_small(keys), "value").select("doc_key", "person_id").distinct()
 
 
 def lang_marker(spark: SparkSession, folder: str) -> DataFrame:
@@ -61,6 +63,12 @@ def header_fields(spark: SparkSession, folder: str) -> DataFrame:
     return line_blocks(_files(spark, folder), "doc_key", "text").groupBy("doc_key", "kind").agg(F.count(F.lit(1)).alias("n_blocks"))
 
 
+def routed_mentions(spark: SparkSession, folder: str) -> DataFrame:
+    """Mentions of the case files by type and method, each block read in its own way."""
+    found = line_mentions(_files(spark, folder), "doc_key", "text")
+    return found.groupBy("type", "method").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("doc_key").alias("n_docs"), F.min("confidence").alias("confidence"))
+
+
 def chunk_400_80(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents", "doc_id", "text")
     return T.chunks(docs, "text", 400, 80).select("doc_id", "chunk_no", "start", F.md5("chunk").alias("digest"))
@@ -119,26 +127,32 @@ def fusion_rank(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        extract_patterns, mentions, known_people, lang_marker, case_numbers, sentence_split, header_fields, chunk_400_80, chunk_250_50, tf_index, keyword_search, bm25_search,
+        extract_patterns, mentions, known_people, lang_marker, case_numbers, sentence_split, header_fields, routed_mentions, chunk_400_80, chunk_250_50, tf_index, keyword_search, bm25_search,
         evidence_grep, vector_topk, centroid_terms, fusion_rank,
     )
 }
 
 _FILES = "WITH files AS (SELECT doc_key, min(clean_text) AS text FROM case_files GROUP BY 1)\n"
 _ALL = lambda p: f"regexp_extract_all(coalesce(text, ''), '{p}', 1)"
-_STOP = ", ".join(f"'{w}'" for w in T.STOP_WORDS)
-_MARK = ", ".join(f"'{w}'" for w in T.MARKERS)
-_N_MARK = f"(SELECT count(DISTINCT w) FROM (SELECT unnest(string_split_regex(lower(coalesce(text, '')), '[^a-z]+')) AS w) WHERE w IN ({_MARK}))"
+_STOP = "'the','a','an','is','in','of','and','to','for','are','at','by','on','be','this','that','with','has','was','all','from','been','have','it'"
+_MARK = "'ne','ka','ki','ko','mein','se','hai','tha','thi','the','aur','par','jo','woh','yeh','bataya','dekha','pakda','giraftaar','uska','paas','baith','bhaag','chura'"
+_N_MARK = f"(SELECT count(DISTINCT w) FROM (SELECT unnest(string_split_regex(lower(coalesce(text, '')), '[^\\p{{L}}\\p{{N}}_]+')) AS w) WHERE w IN ({_MARK}))"
+# no look-around here: separators are doubled, so that each neighbour can be matched by both values beside it
+_PHONES = r"regexp_extract_all(regexp_replace(coalesce(text, ''), '([^0-9])', '\1\1', 'g'), '(?:^|[^0-9])(?:\+91(?:[-.\s]{2})?|0)?([6-9][0-9]{9})(?:[^0-9]|$)', 1)"
+_SPACED = r"('  ' || regexp_replace(coalesce(text, ''), '[^\p{L}\p{N}_]', '  ', 'g') || '  ')"
+_PLATES = f"regexp_extract_all({_SPACED}, ' ([A-Z]{{2}}[0-9]{{2}}[A-Z]{{1,2}}[0-9]{{4}}) ', 1)"
+_CODES = f"regexp_extract_all({_SPACED}, '(?i) (ACC[0-9]{{5}}|ACC_[a-f0-9]{{8}}) ', 1)"
+_ACCOUNTS = "list_concat(" + _CODES + r", regexp_extract_all(coalesce(text, ''), '(?i)(?:account\s+(?:number\s+)?|a/c\s*(?:no\.?\s*)?)([0-9]{9,18})(?:[^\p{L}\p{N}_]|$)', 1))"
 _INDEX = f"""words AS (SELECT doc_id, unnest(list_filter(string_split_regex(lower(coalesce(text, '')), '[^a-z0-9]+'), lambda w: length(w) > 2 AND w NOT IN ({_STOP}))) AS token FROM documents),
 idx AS (SELECT token, doc_id, count(*) AS n, round(count(*) / any_value(size), 6) AS tf FROM words JOIN (SELECT doc_id, count(*) AS size FROM words GROUP BY 1) USING (doc_id) GROUP BY 1, 2)"""
 _IN = ", ".join(f"'{w}'" for w in _QUERY)
 
 ORACLE = {
-    "extract_patterns": _FILES + f"""SELECT doc_key, array_to_string({_ALL(T.PHONE)}, ',') AS phones, array_to_string({_ALL(T.PLATE)}, ',') AS plates, array_to_string({_ALL(T.ACCOUNT)}, ',') AS accounts,
+    "extract_patterns": _FILES + f"""SELECT doc_key, array_to_string({_PHONES}, ',') AS phones, array_to_string({_PLATES}, ',') AS plates, array_to_string({_ACCOUNTS}, ',') AS accounts,
       array_to_string({_ALL(T.DATE)}, ',') AS dates, len({_ALL(T.AMOUNT)}) AS n_amounts, CAST(coalesce(list_sum(list_transform({_ALL(T.AMOUNT)}, lambda a: CAST(replace(a, ',', '') AS BIGINT))), 0) AS BIGINT) AS total_amount FROM files""",
-    "mentions": _FILES + f"""SELECT type, value, count(*) AS n_mentions, count(DISTINCT doc_key) AS n_docs FROM (SELECT doc_key, 'PHONE' AS type, unnest({_ALL(T.PHONE)}) AS value FROM files
-      UNION ALL SELECT doc_key, 'ACCOUNT', unnest({_ALL(T.ACCOUNT)}) FROM files) GROUP BY 1, 2""",
-    "known_people": _FILES + f"""SELECT DISTINCT doc_key, person_id FROM (SELECT doc_key, unnest({_ALL(T.PHONE)}) AS value FROM files UNION SELECT doc_key, unnest({_ALL(T.ACCOUNT)}) FROM files)
+    "mentions": _FILES + f"""SELECT type, value, count(*) AS n_mentions, count(DISTINCT doc_key) AS n_docs FROM (SELECT doc_key, 'PHONE' AS type, unnest({_PHONES}) AS value FROM files
+      UNION ALL SELECT doc_key, 'ACCOUNT', unnest({_ACCOUNTS}) FROM files) GROUP BY 1, 2""",
+    "known_people": _FILES + f"""SELECT DISTINCT doc_key, person_id FROM (SELECT doc_key, unnest({_PHONES}) AS value FROM files UNION SELECT doc_key, unnest({_ACCOUNTS}) FROM files)
       JOIN (SELECT person_id, phone AS value FROM subscribers UNION SELECT person_id, account FROM subscribers) USING (value)""",
     "lang_marker": _FILES + f"SELECT doc_key, regexp_matches(coalesce(text, ''), '[ऀ-ॿ]') OR {_N_MARK} >= 2 AS mixed, {_N_MARK} AS n_markers FROM files",
     "case_numbers": _FILES + f"SELECT doc_key, regexp_extract(coalesce(text, ''), '{T.CASE_NO}', 1) AS case_no FROM files",
@@ -159,7 +173,7 @@ ORACLE = {
       FROM v q JOIN v r ON q.vec_id <> r.vec_id WHERE q.vec_id % 100 = 0) WHERE place <= 5""",
     "centroid_terms": """WITH parts AS (SELECT label, pos, avg(x) AS mean FROM (SELECT label, unnest(range(len(embedding))) AS pos, CAST(unnest(embedding) AS DOUBLE) AS x FROM embeddings) GROUP BY 1, 2),
       sizes AS (SELECT label, sqrt(sum(mean * mean)) AS size FROM parts GROUP BY 1) SELECT label, pos, round(mean / size, 5) AS value FROM parts JOIN sizes USING (label)""",
-    "fusion_rank": f"""SELECT result_id, round(CASE WHEN plate THEN greatest(least(total, 1.0), 0.85) ELSE least(total, 1.0) END, 3) AS score FROM (SELECT result_id, regexp_matches(text, '{T.PLATE}') AS plate,
-      0.35 * coalesce(least(greatest((risk - 10.0) / 65.0, 0.0), 1.0), 0.0) + 0.35 * coalesce(1.0 / place, 0.0) + 0.20 * CASE WHEN contains(lower(text), 'account') THEN 1.0 ELSE 0.0 END + 0.10 * CASE WHEN regexp_matches(text, '{T.PLATE}') THEN 1.0 ELSE 0.0 END AS total
+    "fusion_rank": f"""SELECT result_id, round(CASE WHEN plate THEN greatest(least(total, 1.0), 0.85) ELSE least(total, 1.0) END, 3) AS score FROM (SELECT result_id, len({_PLATES}) > 0 AS plate,
+      0.35 * coalesce(least(greatest((risk - 10.0) / 65.0, 0.0), 1.0), 0.0) + 0.35 * coalesce(1.0 / place, 0.0) + 0.20 * CASE WHEN contains(lower(text), 'account') THEN 1.0 ELSE 0.0 END + 0.10 * CASE WHEN len({_PLATES}) > 0 THEN 1.0 ELSE 0.0 END AS total
       FROM (SELECT result_id, min(rank_no) AS place, min(risk_score) AS risk, coalesce(min(text_snippet), '') AS text FROM top3_results GROUP BY 1))""",
 }

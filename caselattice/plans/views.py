@@ -17,6 +17,12 @@ from .patterns import _FREQ, _LARGE
 from .texts import _FILES, _INDEX, _files, tf_index
 
 
+# Words a summary must not use.
+BANNED = [
+    "guilty", "convicted", "criminal", "confirmed criminal", "proven", "definitely", "certainly committed", "is the perpetrator", "is guilty", "is responsible for the crime",
+]
+
+
 def clean_texts(spark: SparkSession, folder: str) -> DataFrame:
     """Raw texts composed and cleaned: their length and words."""
     rows = table(spark, folder, "case_files", "doc_key", "raw_text").groupBy("doc_key").agg(F.min("raw_text").alias("t"))
@@ -25,8 +31,9 @@ def clean_texts(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def entity_mentions(spark: SparkSession, folder: str) -> DataFrame:
-    """Case files that name an organisation or a place of the entities, word for word."""
-    names = vertices(spark, folder).filter("type IN ('ORGANIZATION', 'LOCATION')").select("entity_id", "name")
+    """Case files that name an entity word for word, by a name or alias of any length."""
+    v = vertices(spark, folder)
+    names = v.select("entity_id", F.explode(F.array_distinct(F.array_compact(F.concat(F.array("name"), F.coalesce("aliases", F.array().cast("array<string>")))))).alias("name"))
     return V.name_mentions(_files(spark, folder), "doc_key", "text", names, "entity_id", "name")
 
 
@@ -91,7 +98,7 @@ def snippet_confidence(spark: SparkSession, folder: str) -> DataFrame:
     rows = table(spark, folder, "top3_results", "result_id", "rank_no", "risk_score", "text_snippet").groupBy("result_id").agg(
         F.min("rank_no").alias("rank_no"), F.min("risk_score").alias("risk"), F.min("text_snippet").alias("text")
     ).withColumns({"relevance": 1 / F.col("rank_no").cast("double"), "flag": F.least(F.col("risk") / 100, F.lit(1.0))})
-    return V.summary_confidence(rows, "text", "relevance", "flag", ["accused", "guilty", "aaropi"]).select("result_id", "confidence")
+    return V.summary_confidence(rows, "text", "relevance", "flag", BANNED).select("result_id", "confidence")
 
 
 def remark_vote(spark: SparkSession, folder: str) -> DataFrame:
@@ -115,9 +122,9 @@ QUERIES = {
 _FLOWS = "flows AS (SELECT src, dst, count(*) AS n, CAST(sum(CAST(amount AS DECIMAL(18,2))) AS DOUBLE) AS total, max(amount) AS largest FROM transfers WHERE src IS NOT NULL AND dst IS NOT NULL GROUP BY 1, 2)"
 _WORDS = r"array_to_string(list_filter(string_split_regex(lower(coalesce({0}, '')), '[^\p{{L}}\p{{M}}\p{{N}}]+'), lambda w: w <> ''), ' ')"
 ORACLE = {
-    "entity_mentions": _FILES.rstrip() + f""", vertices AS (SELECT entity_id, min(type) AS type, min(name) AS name FROM entities GROUP BY 1), names AS (SELECT entity_id, {_WORDS.format('name')} AS phrase FROM vertices WHERE type IN ('ORGANIZATION', 'LOCATION')),
-      texts AS (SELECT doc_key, {_WORDS.format('text')} AS t FROM files) SELECT doc_key, entity_id FROM texts JOIN names ON phrase <> '' AND len(string_split(phrase, ' ')) <= 5 AND contains(' ' || t || ' ', ' ' || phrase || ' ')""",
-    "listed_names": _FILES + f"SELECT doc_key, name, count(*) AS n FROM (SELECT doc_key, unnest(regexp_extract_all(coalesce(text, ''), '{T.LISTED_NAME}', 1)) AS name FROM files) GROUP BY 1, 2",
+    "entity_mentions": _FILES.rstrip() + f""", vertices AS (SELECT entity_id, min(type) AS type, min(name) AS name, min(aliases) AS aliases FROM entities GROUP BY 1), forms AS (SELECT entity_id, name FROM vertices UNION SELECT entity_id, unnest(aliases) FROM vertices), names AS (SELECT DISTINCT entity_id, {_WORDS.format('name')} AS phrase FROM forms),
+      texts AS (SELECT doc_key, {_WORDS.format('text')} AS t FROM files) SELECT DISTINCT doc_key, entity_id FROM texts JOIN names ON phrase <> '' AND contains(' ' || t || ' ', ' ' || phrase || ' ')""",
+    "listed_names": _FILES + f"SELECT doc_key, name, count(*) AS n FROM (SELECT doc_key, unnest(regexp_extract_all(coalesce(text, ''), '(?m)^\\s*[0-9]+\\.\\s+([A-Z][A-Za-z\\-]+(?:\\s+[A-Z][A-Za-z\\-]+)*)', 1)) AS name FROM files) GROUP BY 1, 2",
     "flow_totals": with_tables("transfers", more=_FLOWS) + "SELECT * FROM flows",
     "adjacency_stats": with_tables("transfers", more=_FLOWS) + "SELECT count(DISTINCT src) AS n_nodes, count(*) AS n_edges FROM flows",
     "relation_confidence": with_tables("edge_rows") + "SELECT relationship, count(*) AS n, round(avg(confidence), 6) AS mean_confidence, min(weight) AS least_weight FROM edge_rows GROUP BY 1",
@@ -145,7 +152,7 @@ ORACLE = {
       best AS (SELECT node, string_agg(other, ',' ORDER BY k) AS neighbours FROM (SELECT *, row_number() OVER (PARTITION BY node ORDER BY total DESC NULLS LAST, other) AS k FROM ways) WHERE k <= 5 GROUP BY 1)""")
     + "SELECT key, string_agg(DISTINCT flag, ',' ORDER BY flag) AS flags, coalesce(any_value(neighbours), '') AS neighbours FROM marks LEFT JOIN best ON node = key WHERE key IS NOT NULL GROUP BY key",
     "snippet_confidence": """SELECT result_id, round(least(greatest(0.4 * coalesce(1.0 / r, 0.0) + 0.4 * coalesce(least(risk / 100, 1.0), 0.0)
-      - least(0.2 * (CAST(contains(t, 'accused') AS INTEGER) + CAST(contains(t, 'guilty') AS INTEGER) + CAST(contains(t, 'aaropi') AS INTEGER)), 0.4), 0.0), 1.0), 4) AS confidence
+      - least(0.2 * len(list_filter(['guilty', 'convicted', 'criminal', 'confirmed criminal', 'proven', 'definitely', 'certainly committed', 'is the perpetrator', 'is guilty', 'is responsible for the crime'], lambda w: contains(t, w))), 0.4), 0.0), 1.0), 4) AS confidence
       FROM (SELECT result_id, CAST(min(rank_no) AS DOUBLE) AS r, min(risk_score) AS risk, lower(coalesce(min(text_snippet), '')) AS t FROM top3_results GROUP BY 1)""",
     "remark_vote": with_tables("transfers", more=r"""lists AS (SELECT strftime(ts, '%Y-%m') AS month, list_filter(string_split_regex(lower(coalesce(remarks, '')), '[^\p{L}\p{M}\p{N}]+'), lambda w: w <> '') AS ws FROM transfers),
       votes AS (SELECT month, label, CAST(sum(size - pos) AS BIGINT) AS votes FROM (SELECT month, len(ws) AS size, unnest(range(len(ws))) AS pos, unnest(ws) AS label FROM lists) GROUP BY 1, 2)""")

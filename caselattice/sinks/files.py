@@ -39,6 +39,7 @@ def upsert(new: DataFrame, path: str, key: str, how: str = "replace") -> None:
     Repeated keys among the new rows count once (the greatest row).
     """
     spark = new.sparkSession
+    restore(spark, path)
     one = new.groupBy(key).agg(F.max(F.struct(*[c for c in new.columns if c != key])).alias("n")).select(key, "n.*")
     try:
         old = spark.read.parquet(path)
@@ -57,14 +58,35 @@ def upsert(new: DataFrame, path: str, key: str, how: str = "replace") -> None:
 
 
 def _swap(df: DataFrame, path: str) -> None:
-    """Write beside the table and rename, since the table is being read."""
+    """Write beside the table, move the old one aside, the new one in and then delete the old one.
+
+    The table is whole under ``path`` or, after a crash between the two renames, under ``path__old``, from where ``restore`` brings it back.
+    """
     spark = df.sparkSession
     df.write.mode("overwrite").parquet(f"{path}__new")
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
-    old, fresh = hadoop.Path(path), hadoop.Path(f"{path}__new")
-    files = old.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    files.delete(old, True)
-    files.rename(fresh, old)
+    here, fresh, aside = hadoop.Path(path), hadoop.Path(f"{path}__new"), hadoop.Path(f"{path}__old")
+    files = here.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    files.delete(aside, True)
+    files.rename(here, aside)
+    files.rename(fresh, here)
+    files.delete(aside, True)
+
+
+def restore(spark: SparkSession, path: str) -> None:
+    """Bring back a table that a crash left moved aside."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    here, aside = hadoop.Path(path), hadoop.Path(f"{path}__old")
+    files = here.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not files.exists(here) and files.exists(aside):
+        files.rename(aside, here)
+
+
+def export_case(sections: dict[str, DataFrame], path: str) -> None:
+    """One folder of CSV and one of JSON per section of a case."""
+    for name, df in sections.items():
+        write_csv(df, f"{path}/{name}/csv")
+        write_json(df, f"{path}/{name}/json")
 
 
 def append_new(df: DataFrame, path: str, key: str) -> None:

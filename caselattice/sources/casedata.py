@@ -67,7 +67,7 @@ def edges(spark: SparkSession, folder: str) -> DataFrame:
 #: The same tables in SQL, to start the SQL of a query with.
 SQL = {
     "calls": """calls AS (
-  SELECT * FROM (SELECT cdr_id AS call_id, min(CASE WHEN length(pc) = 10 THEN pc END) AS caller, min(CASE WHEN length(pe) = 10 THEN pe END) AS callee,
+  SELECT * FROM (SELECT cdr_id AS call_id, min(CASE WHEN regexp_matches(pc, '^[6-9][0-9]{9}$') THEN pc END) AS caller, min(CASE WHEN regexp_matches(pe, '^[6-9][0-9]{9}$') THEN pe END) AS callee,
     min("timestamp") AS ts, min(duration_seconds) AS duration_s, min(tower_location) AS place
   FROM (SELECT *, regexp_replace(regexp_replace(caller, '[^0-9]', '', 'g'), '^(?:0*91|0+)([0-9]{10})$', '\\1') AS pc,
                regexp_replace(regexp_replace(callee, '[^0-9]', '', 'g'), '^(?:0*91|0+)([0-9]{10})$', '\\1') AS pe FROM cdr)

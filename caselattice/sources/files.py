@@ -29,15 +29,44 @@ SEGMENT = (
 )
 
 
-def texts(spark: SparkSession, path: str, pattern: str = "*.txt", largest: int = 1 << 20, recursive: bool = False) -> DataFrame:
-    """``path, name, text`` of whole files up to ``largest`` bytes."""
+def texts(spark: SparkSession, path: str, pattern: str = "*.txt", largest: int | None = None, recursive: bool = False) -> DataFrame:
+    """``path, name, text`` of whole files of any size, or of those up to ``largest`` bytes when given."""
     found = (
         spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", str(recursive).lower()).load(path)
-        .filter(F.col("length") <= largest)  # reaches the file listing
     )
+    if largest is not None:
+        found = found.filter(F.col("length") <= largest)  # reaches the file listing
     return found.select("path", F.regexp_extract("path", r"([^/]+)\.[^./]+$", 1).alias("name"), F.decode("content", "UTF-8").alias("text"))
 
 
+def corpus(spark: SparkSession, path: str, largest: int = 1 << 20) -> DataFrame:
+    """``path, name, text`` of the txt, csv and json files under a folder up to ``largest`` bytes, for the search index (which has that limit)."""
+    return texts(spark, path, "*.{txt,csv,json}", largest, recursive=True)
+
+
+def raw_rows(spark: SparkSession, path: str) -> DataFrame:
+    """The rows of a CSV file with a header, every column as text."""
+    return spark.read.csv(path, header=True, inferSchema=False)
+
+
+def pattern_flags(spark: SparkSession, path: str) -> DataFrame:
+    """``entity_id, flags, priority_score, evidence`` of a JSON array of flagged entities, one row per entity (the highest priority)."""
+    rows = spark.read.json(path, schema="entity_id string, flags array<string>, priority_score double, evidence array<string>", multiLine=True)
+    best = F.max_by(F.struct("flags", "priority_score", "evidence"), F.coalesce("priority_score", F.lit(-1.0))).alias("b")
+    return rows.filter("entity_id IS NOT NULL").groupBy("entity_id").agg(best).select("entity_id", "b.*")
+
+
+def case_folder(spark: SparkSession, path: str) -> DataFrame:
+    """``doc_id, doc_type, clean_text``: texts, calls and transfers of a case folder as documents; what is missing there is left out."""
+    schema = "doc_id string, doc_type string, clean_text string"
+    parts = [
+        optional(spark, lambda s, p: texts(s, p).select(F.col("name").alias("doc_id"), F.lit("FIR").alias("doc_type"), F.col("text").alias("clean_text")), f"{path}/firs", schema),
+        optional(spark, lambda s, p: rows_as_documents(calls(s, p)[0].withColumn("key", F.concat_ws("|", "src_file", "caller", "callee", "ts")), "CDR", "key", "Call from %s to %s at %s, %s seconds, at %s.", "caller", "callee", "ts", "duration_s", "place"), f"{path}/cdrs", schema),
+        optional(spark, lambda s, p: rows_as_documents(transfers(s, p)[0].withColumn("key", F.concat_ws("|", "src_file", "src", "dst", "ts", "amount")), "TXN", "key", "Transfer from %s to %s of %s at %s: %s.", "src", "dst", "amount", "ts", "remarks"), f"{path}/transactions", schema),
+    ]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
 def _csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
     read = spark.read.csv(path, schema=f"{schema}, _broken string", header=True, mode="PERMISSIVE", columnNameOfCorruptRecord="_broken", enforceSchema=True)
     return read.withColumn("src_file", F.regexp_extract(F.input_file_name(), r"([^/]+)$", 1))

@@ -37,6 +37,10 @@ def test_vectors(spark):
 def test_extraction(spark):
     text = "Call +91-9876543210 or 09876500000, ACC12345 paid Rs. 1,200 on 02-03-2024; car QX12AB1234."
     assert one(spark, lambda c: T.found(c, T.PHONE), text) == ["9876543210", "9876500000"]
+    assert one(spark, lambda c: T.found(c, T.PHONE), "98765432101 and 9876543210,9876543211") == ["9876543210", "9876543211"]  # no phone inside a longer number
+    assert one(spark, lambda c: T.found(c, T.PLATE), "QX12AB12345 xQX12AB1234 (QX12AB1234)") == ["QX12AB1234"]
+    assert one(spark, T.accounts, "acc12345, ACC123456, ACC_dac31588, a/c no. 123456789012") == ["acc12345", "ACC_dac31588", "123456789012"]
+    assert one(spark, lambda c: T.found(c, T.LISTED_NAME), "1. Rakesh\n 2. Anna-Maria Das") == ["Rakesh", "Anna-Maria Das"]
     assert one(spark, T.amounts, text) == [1200] and one(spark, lambda c: T.found(c, T.DATE), None) == []
     assert one(spark, T.mixed, "woh ghar par tha aur gaya") is True and one(spark, T.mixed, "plain words") is False
     assert one(spark, T.sentences, "One. Two!\nthree") == ["One.", "Two!", "three"]
@@ -89,6 +93,29 @@ def test_incremental_merge(spark, rows):
     assert rows(E.merge_incrementally(known, new, "id", ["docs"], ["name", "kind"])) == [("a", ["x", "y"], "old", "k"), ("b", [], "b", "t"), ("c", ["z"], "c", "t")]
 
 
+def test_across_types_and_confidence(spark, rows):
+    given = [("c", "PERSON", "p", "Ravi Kumar"), ("c", "ORGANIZATION", "o", "Kumar Ravii"), ("c", "LOCATION", "l", "Zed"), ("d", "LOCATION", "m", "Ravi Kumar"), (None, "LOCATION", "n", "Ravi Kumar")]
+    assert rows(E.across_types(spark.createDataFrame(given, "k string, type string, entity_id string, name string"), "k"), "kept", "dropped") == [("p", "o")]
+    rated = spark.createDataFrame([("a", ["spacy", "x"], 0.8, 3, 2), ("b", [], 0.5, 1, 0)], "id string, methods array<string>, base double, n_docs int, n_aliases int")
+    assert rows(E.confidence(rated), "id", "confidence", "needs_review") == [("a", 0.73, False), ("b", 0.375, True)]
+
+
+def test_blocks_are_read_in_their_own_way(spark, rows):
+    from caselattice.operators.blocks import routed_mentions
+
+    text = "Case No.: 1\nSr|Name|Age\n1|Ravi Das|30\n2|Anna|41\n\nHe rang 9876543210.\n1. Meera Rao\n--- END OF DOCUMENT ---\n1. Nobody Here\n"
+    found = routed_mentions(spark.createDataFrame([("d", text), ("n", None)], "k string, t string"), "k", "t")
+    assert rows(found, "type", "value", "method") == [("PERSON", "Anna", "table"), ("PERSON", "Meera Rao", "list"), ("PERSON", "Ravi Das", "table"), ("PHONE", "9876543210", "regex")]
+
+
+def test_names_of_any_length_are_found(spark, rows):
+    from caselattice.operators.views import name_mentions
+
+    texts = spark.createDataFrame([("t", "At Oakmere Marine Carriers Co-operative Society today; Oakmere Marine"), ("u", "Oakmere Marine Carriers Co-operative Bank"), ("n", None)], "k string, t string")
+    names = spark.createDataFrame([("long", "Oakmere Marine Carriers Co-operative Society"), ("short", "Marine"), ("none", None)], "i string, n string")
+    assert rows(name_mentions(texts, "k", "t", names, "i", "n")) == [("t", "long"), ("t", "short"), ("u", "short")]
+
+
 def test_validation_keeps_every_row(spark, rows):
     df = spark.createDataFrame([("1", "PERSON", "n", 0.5, "c"), ("2", "X", " ", 7.0, None), ("3", None, None, None, "c")], "entity_id string, type string, name string, confidence double, circle string")
     good, bad = checked(df, ENTITY_CHECKS)
@@ -103,6 +130,10 @@ def test_measures(spark):
     found, truth = spark.createDataFrame([("x", 1), ("x", 2)], "t string, k int"), spark.createDataFrame([("x", 2), ("y", 3)], "t string, k int")
     got = {r["t"]: (r["precision"], r["recall"], r["f1"]) for r in M.prf(found, truth, ["k"], "t").collect()}
     assert got == {"x": (0.5, 1.0, round(2 / 3, 6)), "y": (0.0, 0.0, 0.0)}
+    values = spark.createDataFrame([("a", float(v)) for v in (5, 1, 3, 3, 9)] + [("b", 2.0), ("b", None), (None, 1.0)], "g string, v double")
+    assert {tuple(r) for r in M.percentiles(values, "g", "v").collect()} == {("a", 5, 3.0, 8.2, 1.0, 9.0), ("b", 1, 2.0, 2.0, 2.0, 2.0)}
+    ranked, wanted = spark.createDataFrame([("c", "x", 1), ("c", "y", 4), ("d", "z", 1)], "c string, e string, k int"), spark.createDataFrame([("c", "y"), ("d", "z"), ("d", "q")], "c string, e string")
+    assert tuple(M.hit_rate(ranked, wanted, "c", "e", "k", 3).first()) == (2, 1, 0.5)
     a = spark.createDataFrame([(1, "a"), (2, None)], "i int, s string")
     assert M.same_outputs(a, a.orderBy(F.desc("i"))).first()["same"] is True
     assert M.same_outputs(a, a.filter("i = 1")).first()["same"] is False
@@ -148,5 +179,11 @@ def test_mentions(spark, rows):
     assert rows(N.places(kept.filter("text = 'Ravi Nagar'")), "type", "confidence") == [("LOCATION", 0.72)]
     reasons = {r["text"]: r["r"] for r in found.select("text", N.junk_reason(F.col("type"), F.col("text")).alias("r")).collect()}
     assert reasons[None] == "empty" and reasons["98765 43210"] is None
+    named = [("PERSON", "Kapur"), ("PERSON", "Kanpur Sharma"), ("PERSON", "Andheri East"), ("ORGANIZATION", "Lake Road Private Ltd"), ("PERSON", "Block Sector 22")]
+    moved = N.places(spark.createDataFrame([(t, x, 0.5) for t, x in named], "type string, text string, confidence double"))
+    assert {r["text"]: r["type"] for r in moved.collect()} == {"Kapur": "PERSON", "Kanpur Sharma": "PERSON", "Andheri East": "LOCATION", "Lake Road Private Ltd": "ORGANIZATION", "Block Sector 22": "LOCATION"}
+    odd = [("PHONE", "12345", "phone"), ("VEHICLE", "QX1", "plate"), ("DATE", "1021", "number"), ("PERSON", "Search Engine", "technical"), ("ORGANIZATION", "Search Group", None), ("PERSON", "milkar ek", "fragment"), ("LOCATION", "on 01/02/2024", "date")]
+    judged = spark.createDataFrame(odd, "type string, text string, reason string").withColumn("r", N.junk_reason(F.col("type"), F.col("text")))
+    assert all(r["r"] == r["reason"] for r in judged.collect())
     assert one(spark, N.is_fragment, "aur Ravi") is True and one(spark, N.is_fragment, "Ravi Das") is False
     assert N.patterns_first(found.limit(0)).count() == 0
