@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..session import cut
 from ..tables import table
-from .packing import pack
+from .packing import pack_specs
 from .tokens import VOCABULARIES, token_counts
 
 #: File ending of each tokenizer that may be named in ``pack_spec``.
@@ -24,13 +24,11 @@ def p7_containers(spark: SparkSession, folder: str) -> DataFrame:
         name: cut(token_counts(documents, "doc_id", "text", f"{VOCABULARIES}/{name}.{KINDS[name]}"))
         for name in sorted({s["tokenizer"] for s in specs})
     }
-    return reduce(
-        DataFrame.unionByName,
-        [
-            pack(counted[s["tokenizer"]], "doc_id", "n_tokens", s["capacity"]).select(F.lit(s["spec_id"]).alias("spec_id"), "*")
-            for s in sorted(specs, key=lambda s: s["spec_id"])
-        ],
-    )
+    asked = [
+        counted[s["tokenizer"]].select(F.lit(s["spec_id"]).alias("spec_id"), F.lit(s["capacity"]).alias("capacity"), "doc_id", "n_tokens")
+        for s in sorted(specs, key=lambda s: s["spec_id"])
+    ]
+    return pack_specs(reduce(DataFrame.unionByName, asked), "doc_id", "n_tokens", {s["spec_id"]: s["capacity"] for s in specs})
 
 
 def p7_fill(spark: SparkSession, folder: str) -> DataFrame:

@@ -25,6 +25,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..session import BROADCAST_ROWS
+
 #: Items of one length that are numbered in one piece, about, and the least number of pieces.
 PIECE_ROWS, LEAST_PIECES = 500_000, 16
 PLAN = "length long, rank_from long, rank_to long, per long, container long, position long"
@@ -70,63 +72,74 @@ def best_fit_plan(histogram: dict[int, int], capacity: int, first: int = 0) -> l
 
 
 def pack(items: DataFrame, key: str, size: str, capacity: int) -> DataFrame:
-    """``(key, part_no, start, n, container, position)`` of every item: the part's place in the item and in its container.
+    """``(key, part_no, start, n, container, position)`` of every item: the part's place in the item and in its container."""
+    asked = items.select(F.lit(0).alias("spec_id"), F.lit(capacity).alias("capacity"), F.col(key).alias(key), F.col(size).alias("size"))
+    return pack_specs(asked, key, "size", {0: capacity}).drop("spec_id")
+
+
+def pack_specs(items: DataFrame, key: str, size: str, capacities: dict[int, int]) -> DataFrame:
+    """``(spec_id, key, part_no, start, n, container, position)``: the items of every spec packed, all specs in one pass.
 
-    ``items`` is read several times, so pass a stored table when its sizes are expensive to compute.
+    ``items`` has a row per spec and item, with ``spec_id, capacity``; it is read several times, so pass a stored table when its
+    sizes are expensive to compute.
     """
     spark = items.sparkSession
-    cut = items.select(F.col(key).alias(key), F.coalesce(F.col(size), F.lit(0)).cast("long").alias("size"))
-    longer = cut.filter(F.col("size") > capacity).withColumn("parts", F.floor(F.col("size") / capacity).cast("long"))
-    rest = cut.withColumn("rest", F.when(F.col("size") > capacity, F.col("size") % capacity).otherwise(F.col("size"))).filter(
-        (F.col("rest") > 0) | (F.col("size") == 0)
-    )
-    # at most ``capacity`` lengths come to the driver
-    counts = {r["rest"]: r["n"] for r in rest.filter("rest > 0").groupBy("rest").agg(F.count(F.lit(1)).alias("n")).collect()}
-    plan = best_fit_plan(counts, capacity)
-    opened = max((c + -(-(b - a) // per) for _, a, b, per, c, _ in plan), default=0)
-    lines = F.broadcast(spark.createDataFrame(plan, PLAN))
-
-    pieces = max(LEAST_PIECES, max(counts.values(), default=0) // PIECE_ROWS)
+    cut = items.select(F.col("spec_id").cast("int").alias("spec_id"), F.col("capacity").cast("long").alias("capacity"), F.col(key).alias(key), F.coalesce(F.col(size), F.lit(0)).cast("long").alias("size"))
+    longer = cut.filter("size > capacity").withColumn("parts", F.floor(F.col("size") / F.col("capacity")).cast("long"))
+    rest = cut.withColumn("rest", F.when(F.col("size") > F.col("capacity"), F.col("size") % F.col("capacity")).otherwise(F.col("size"))).filter("rest > 0 OR size = 0")
+    # at most ``capacity`` lengths of a spec come to the driver
+    counts: dict[int, dict[int, int]] = {spec: {} for spec in capacities}
+    for r in rest.filter("rest > 0").groupBy("spec_id", "rest").agg(F.count(F.lit(1)).alias("n")).collect():
+        counts[r["spec_id"]][r["rest"]] = r["n"]
+    plan, opened = [], {}
+    for spec, capacity in capacities.items():
+        lines = best_fit_plan(counts[spec], capacity)
+        opened[spec] = max((c + -(-(b - a) // per) for _, a, b, per, c, _ in lines), default=0)
+        plan += [(spec, *line) for line in lines]
+    lines = spark.createDataFrame(plan, f"spec_id int, {PLAN}")
+    if len(plan) <= BROADCAST_ROWS:  # bounded by the capacities; very large ones are joined by length
+        lines = F.broadcast(lines)
+
+    pieces = max(LEAST_PIECES, max((n for c in counts.values() for n in c.values()), default=0) // PIECE_ROWS)
     dealt = rest.filter("rest > 0").withColumn("piece", F.pmod(F.xxhash64(key), F.lit(pieces)))
-    before = dealt.groupBy("rest", "piece").agg(F.count(F.lit(1)).alias("n")).select(
-        "rest", "piece", (F.sum("n").over(W.partitionBy("rest").orderBy("piece")) - F.col("n")).alias("before")
+    before = dealt.groupBy("spec_id", "rest", "piece").agg(F.count(F.lit(1)).alias("n")).select(
+        "spec_id", "rest", "piece", (F.sum("n").over(W.partitionBy("spec_id", "rest").orderBy("piece")) - F.col("n")).alias("before")
     )  # at most ``pieces`` rows of a length
     ranked = (
-        dealt.withColumn("place", F.row_number().over(W.partitionBy("rest", "piece").orderBy(key)))
-        .join(before, ["rest", "piece"])
+        dealt.withColumn("place", F.row_number().over(W.partitionBy("spec_id", "rest", "piece").orderBy(key)))
+        .join(before, ["spec_id", "rest", "piece"])
         .withColumn("rank", F.col("before") + F.col("place") - 1)
     )
     placed = ranked.join(
-        lines, (F.col("rest") == F.col("length")) & (F.col("rank") >= F.col("rank_from")) & (F.col("rank") < F.col("rank_to"))
+        lines.withColumnRenamed("spec_id", "_spec"), (F.col("spec_id") == F.col("_spec")) & (F.col("rest") == F.col("length")) & (F.col("rank") >= F.col("rank_from")) & (F.col("rank") < F.col("rank_to"))
     ).select(
-        key,
-        F.when(F.col("size") > capacity, F.floor(F.col("size") / capacity)).otherwise(0).cast("long").alias("part_no"),
+        "spec_id", key,
+        F.when(F.col("size") > F.col("capacity"), F.floor(F.col("size") / F.col("capacity"))).otherwise(0).cast("long").alias("part_no"),
         (F.col("size") - F.col("rest")).alias("start"),
         F.col("rest").alias("n"),
         (F.col("container") + F.floor((F.col("rank") - F.col("rank_from")) / F.col("per"))).cast("long").alias("container"),
         (F.col("position") + (F.col("rank") - F.col("rank_from")) % F.col("per") * F.col("rest")).cast("long").alias("position"),
     )
-    empty = rest.filter("size = 0").select(
-        key, F.lit(0).cast("long").alias("part_no"), F.lit(0).cast("long").alias("start"), F.lit(0).cast("long").alias("n"),
-        F.lit(None).cast("long").alias("container"), F.lit(None).cast("long").alias("position"),
-    )
-    return placed.unionByName(empty).unionByName(_full_parts(longer, key, capacity, opened, pieces))
+    zero, none = F.lit(0).cast("long"), F.lit(None).cast("long")
+    empty = rest.filter("size = 0").select("spec_id", key, zero.alias("part_no"), zero.alias("start"), zero.alias("n"), none.alias("container"), none.alias("position"))
+    return placed.unionByName(empty).unionByName(_full_parts(longer, key, opened, pieces))
 
 
-def _full_parts(longer: DataFrame, key: str, capacity: int, opened: int, pieces: int) -> DataFrame:
-    """The full containers of items longer than the capacity, numbered from ``opened`` on."""
+def _full_parts(longer: DataFrame, key: str, opened: dict[int, int], pieces: int) -> DataFrame:
+    """The full containers of items longer than the capacity, numbered on from those the plan has opened."""
+    start = F.element_at(F.create_map(*(F.lit(x).cast("long") for pair in opened.items() for x in pair)), F.col("spec_id").cast("long"))
     dealt = longer.withColumn("piece", F.pmod(F.xxhash64(key), F.lit(pieces)))
-    before = dealt.groupBy("piece").agg(F.sum("parts").alias("n")).select(
-        "piece", (F.sum("n").over(W.orderBy("piece")) - F.col("n")).alias("before")
-    )  # at most ``pieces`` rows
-    order = W.partitionBy("piece").orderBy(key).rowsBetween(W.unboundedPreceding, W.currentRow)
+    before = dealt.groupBy("spec_id", "piece").agg(F.sum("parts").alias("n")).select(
+        "spec_id", "piece", (F.sum("n").over(W.partitionBy("spec_id").orderBy("piece")) - F.col("n")).alias("before")
+    )  # at most ``pieces`` rows of a spec
+    order = W.partitionBy("spec_id", "piece").orderBy(key).rowsBetween(W.unboundedPreceding, W.currentRow)
     return (
         dealt.withColumn("through", F.sum("parts").over(order))
-        .join(before, "piece")
+        .join(before, ["spec_id", "piece"])
         .withColumn("part_no", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
         .select(
-            key, "part_no", (F.col("part_no") * capacity).alias("start"), F.lit(capacity).cast("long").alias("n"),
-            (F.lit(opened) + F.col("before") + F.col("through") - F.col("parts") + F.col("part_no")).cast("long").alias("container"),
+            "spec_id", key, "part_no", (F.col("part_no") * F.col("capacity")).alias("start"), F.col("capacity").alias("n"),
+            (start + F.col("before") + F.col("through") - F.col("parts") + F.col("part_no")).cast("long").alias("container"),
             F.lit(0).cast("long").alias("position"),
         )
     )

@@ -6,7 +6,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from caselattice.llm.packing import best_fit_plan, pack
+from caselattice.llm.packing import best_fit_plan, pack, pack_specs
 from caselattice.llm.tokens import VOCABULARIES, PieceEncoder, byte_alphabet, character_spans, decode, decode_rows, encode, load_tokenizer, token_counts
 
 PATH = f"{VOCABULARIES}/byte_bpe_50k.json"
@@ -101,3 +101,21 @@ def test_pack_whole_items(spark):
         spans.sort()
         assert spans[-1][1] <= 64 and all(a[1] <= b[0] for a, b in zip(spans, spans[1:], strict=False))
     assert pack(df.limit(0), "k", "size", 64).count() == 0
+
+
+def test_the_plan_does_not_grow_with_the_items():
+    """Ten thousand times the items give about as many plan lines: they are bounded by the capacity."""
+    rng = random.Random(2)
+    small = {length: rng.randrange(1, 40) for length in rng.sample(range(1, 2001), 600)}
+    large = {length: n * 10_000 + rng.randrange(10_000) for length, n in small.items()}
+    lines = len(best_fit_plan(large, 2_000))
+    assert lines <= 4 * 2_000 and lines <= 4 * len(best_fit_plan(small, 2_000))
+
+
+def test_specs_in_one_pass_equal_one_by_one(spark, rows):
+    items = [(f"k{i}", (i * 37) % 23) for i in range(60)] + [("long", 55), ("none", None)]
+    df = spark.createDataFrame(items, "k string, size long")
+    both = df.selectExpr("1 AS spec_id", "10 AS capacity", "*").unionByName(df.selectExpr("2 AS spec_id", "25 AS capacity", "*"))
+    found = pack_specs(both, "k", "size", {1: 10, 2: 25})
+    for spec, capacity in ((1, 10), (2, 25)):
+        assert rows(found.filter(f"spec_id = {spec}").drop("spec_id")) == rows(pack(df, "k", "size", capacity))
