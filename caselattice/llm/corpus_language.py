@@ -6,11 +6,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..tables import table
-from .language import document_languages, fit, line_languages, segments, sentence_rows
+from .language import document_languages, fit, learn_words, line_languages, segments, sentence_rows
 
 
 def _fit(spark: SparkSession, folder: str):
-    return fit(table(spark, folder, "lang_samples", "lang", "text"))  # 400 rows at every scale
+    filter_ = fit(table(spark, folder, "lang_samples", "lang", "text"))  # 400 rows at every scale
+    codes = table(spark, folder, "lang_codes", "label_form", "lang")  # 42 rows at every scale
+    files = table(spark, folder, "case_files", "doc_key", "lang_label", "clean_text")
+    return learn_words(filter_, files.join(F.broadcast(codes), F.col("lang_label") == F.col("label_form")), "doc_key", "clean_text", "lang")
 
 
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:

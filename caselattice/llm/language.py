@@ -6,10 +6,9 @@ those slots is the set of languages that contain the n-gram.
 Per sentence the bits are counted per language, an n-gram known to few languages counting more, and each count is reduced
 by what the language's fill rate makes expected by chance. The largest count decides; its lead over the next is the
 confidence. The filter is fitted once on a bounded table of labelled sentences and shipped with the tasks; hashes and
-look-ups of a whole text are vectorised.
+look-ups of many texts together are vectorised.
 
-Whole function words count besides. Codes, numbers, e-mail addresses and punctuation are blanked first, so that names and codes of another language inside a
-sentence weigh little; a sentence without evidence takes the language of the sentence before it, else the main one.
+Whole function words count besides. Codes, numbers, e-mail addresses and punctuation are blanked first, so that names and codes of another language inside a sentence weigh little; a sentence without evidence takes the language of the sentence before it, else the main one.
 
 Defined results: null, empty and blank texts have no language and no segments; headings, label lines and list items are
 not running text, but decide when a text has nothing else; a text whose evidence is nil has a null language and
@@ -33,30 +32,30 @@ from . import sentences
 
 #: n-gram sizes, slots of the filter (a power of two) and hash functions.
 SIZES, SLOTS, HASHES = (1, 2, 3, 4, 5), 1 << 18, 3
-#: Weights of an n-gram of several samples and of a whole function word, beside 1 for any n-gram.
-STRONG, WORD = 1.0, 15.0
+#: Weights of an n-gram of several samples and of a whole function word beside 1 for any n-gram, and characters counted at once.
+STRONG, WORD, GROUP_CHARS = 1.0, 15.0, 200_000
 #: Words of a run of one script that can be a sentence of its own.
 WORDS = 4
 #: Lead under which a sentence is given to the main language when that comes second.
 DOUBT = 0.08
-#: Labelled sentences read for fitting, at most.
-FIT_ROWS = 20_000
+#: Labelled sentences and labelled texts read for fitting, at most.
+FIT_ROWS, FIT_TEXTS = 20_000, 4_000
+#: Texts a word must be seen in, and its share of one language, to be a word of it.
+WORD_TEXTS, WORD_SHARE = 4, 0.85
 
-# Function words, each list a further sample of its language.
+# Closed classes of words (pronouns, postpositions, auxiliaries, conjunctions, particles) of the languages that share
+# a script with another, as grammars list them.
 FUNCTION_WORDS = {
-    "en": "the a an of and to in on at for from with by was were is are be been has have had not no he she it they we his her"
-    " their this that which who what when where why how all any some one two before after then left said denied ran refused"
-    " gone came went asked told found seen taken never nothing further enquiry report trace during within about near into up down out off only each other",
-    "hi-Latn": "ka ke ki ko se mein par aur ne bhi hi toh jo tha thi the hai hain ho hua hui gaya gayi gaye kya kaun kisne kab kahan"
-    " kyun woh yeh usne uske usko uska mera meri mere hum humne maine mujhe aap nahi kuch koi sab phir lekin jab tab wahan yahan"
-    " usi din baad paas log bina wapas likha number mutabik kiya kar karta rehta bola kaha diya liya mila raha rahi rahe baat kal abhi bilkul",
-    "hi": "का के की को से में पर और ने भी ही तो जो था थी थे है हैं हो हुआ हुई गया गई गए क्या कौन किसने कब कहाँ क्यों वह यह उसने उसके उसका मेरा"
-    " मैं हम आप नहीं कुछ कोई सब फिर लेकिन जब तब वहाँ यहाँ किया कर करता रहता रहती दिया लिया मिला रहा रही पहचान पत्र बताया क्रमांक नंबर नोटिस थाना दुकान गाड़ी ताला सामान शिकायत सूचना पुलिस पड़ोसी"
-    " गवाह धारा भेजा संदेश फ़ोन बरामद तलाशी वापस बिना लिखा अनुसार बाद दिन दर्ज द्वारा साथ लोग पास अब बहुत अपना अपने उन्होंने होने लिए तक चाहिए आई बनाया",
-    "mr": "चा ची चे च्या ला ना नी ने आणि पण तो ती ते हा ही हे होता होती होते आहे आहेत नाही झाला झाली केला केली गेला गेली काय कोण कोणी कुठे"
-    " मी आम्ही तुम्ही माझा माझे त्याने त्याच्या त्यांनी यांनी यांच्या येथे जवळ वरून मधून राहतो रोजी असून म्हणाला सांगितले ओळखपत्र सतत कोणीही पोलीस क्रमांक दुकान"
-    " गाडी कुलूप माल तक्रार शेजारी साक्षीदार दिवशी त्यानंतर झडतीमध्ये सापडला सापडली फोन केली आढळले रिकामा नंतर पर्यंत सांगतो असे म्हणजे त्या त्यांची माझ्या आपल्या"
-    " झाले करण्यात आले आला होऊन दोघे एकत्र वेगवेगळे किमतीचा परत निघाली ठाण्यात",
+    "en": "the a an of and or but to in on at for from with by about into over under between was were is are be been being has have had do does did not no"
+    " he she it they we you i his her its their our my this that these those which who whom whose what when where why how if then than as so there here",
+    "hi-Latn": "ka ke ki ko se mein par aur ya ne bhi hi toh jo tha thi the hai hain ho hua hui hue gaya gayi gaye raha rahi rahe kya kaun kisne kab kahan kyun kaise"
+    " woh yeh usne uske usko uska uski unke unka mera meri mere hum humne main maine mujhe aap tum nahi koi kuch sab jab tab phir lekin magar kar liye saath",
+    "hi": "का के की को से में पर और या ने भी ही तो जो था थी थे है हैं हूँ हो हुआ हुई हुए गया गई गए रहा रही रहे क्या कौन किसने कब कहाँ क्यों कैसे वह यह वे ये उस इस उन इन उसने इसने"
+    " उसके उसका उसकी उनके उनका उनकी इसके मेरा मेरी मेरे मैं मैंने मुझे हम हमने आप तुम अपना अपनी अपने उन्होंने नहीं कोई कुछ सब जब तब फिर लेकिन मगर अगर कि क्योंकि इसलिए वाला वाली वाले"
+    " कर करके किया की लिया दिया लिए तक साथ बाद द्वारा यहाँ वहाँ अब सकता सकते चाहिए होता होती होते",
+    "mr": "चा ची चे च्या ला ना नी ने शी त आणि व किंवा पण परंतु तो ती ते तें हा ही हे या जो जी जे होता होती होते होतो आहे आहेत आहेस नाही नाहीत झाला झाली झाले केला केली केले गेला गेली गेले"
+    " काय कोण कोणी कोणीही कुठे कधी का कसे मी आम्ही तू तुम्ही आपण माझा माझी माझे माझ्या आमचा आपला आपली आपले आपल्या त्याने तिने त्याचा त्याची त्याचे त्याच्या तिच्या त्यांनी त्यांचा त्यांची त्यांच्या"
+    " यांनी यांच्या येथे तेथे जवळ वरून मधून पासून पर्यंत साठी मुळे नंतर असून असे अशी असा म्हणून म्हणजे की जर तर जेव्हा तेव्हा आला आली आले",
 }
 _CODES = re.compile(
     r"[A-Za-z0-9.+_-]+\s?(?:@|[\[(]at[\])])\s?[A-Za-z0-9-]+(?:\s?(?:\.|[\[(]dot[\])])\s?[A-Za-z0-9-]+)*"
@@ -79,19 +78,26 @@ def plain(text: str, starts: Iterable[int] = (0,)) -> str:
     return _MARKS.sub(blank, bare).translate(_LOWER)
 
 
-def _hashes(codes: np.ndarray, n: int) -> list[np.ndarray]:
-    """For every n-gram its slot under each hash function."""
-    if len(codes) < n:
-        return [np.zeros(0, np.int64)] * HASHES
-    h = np.full(len(codes) - n + 1, n, np.uint64)
+def _slots(codes: np.ndarray) -> list[tuple[int, np.ndarray]]:
+    """For every n-gram size the slots of all n-grams, one row per hash function; longer n-grams are hashed from shorter ones."""
+    found = []
+    h = np.zeros(len(codes), np.uint64)
     with np.errstate(over="ignore"):
-        for j in range(n):
-            h = h * _BASE + codes[j : len(codes) - n + 1 + j]
-        slots = []
-        for mix in _MIX[:HASHES]:
-            x = (h ^ (h >> np.uint64(29))) * mix
-            slots.append(((x ^ (x >> np.uint64(32))) & np.uint64(SLOTS - 1)).astype(np.int64))
-    return slots
+        power = np.uint64(1)
+        for n in range(1, max(SIZES) + 1):
+            if len(codes) < n:
+                break
+            h = h[: len(codes) - n + 1] * _BASE + codes[n - 1 :]
+            power = power * _BASE
+            if n in SIZES:
+                x = h + np.uint64(n) * power
+                x ^= x >> np.uint64(29)
+                rows = []
+                for mix in _MIX[:HASHES]:
+                    y = x * mix
+                    rows.append(((y ^ (y >> np.uint64(32))) & np.uint64(SLOTS - 1)).astype(np.int64))
+                found.append((n, np.stack(rows)))
+    return found
 
 
 class LanguageFilter:
@@ -111,16 +117,16 @@ class LanguageFilter:
         for bit, lang in enumerate(self.languages):
             seen = np.zeros(SLOTS, np.uint16)
             for text in texts[lang]:
-                for n in SIZES:
-                    once = np.unique(np.stack(_hashes(self._codes(plain(text)), n)), axis=1)
+                for n, slots in _slots(self._codes(plain(text))):
+                    once = np.unique(slots, axis=1)
                     self._set(once, bit)
                     if n > 1:
                         self._set(once[:, seen[once].min(axis=0) > 0], bit + len(self.languages))
                         seen[np.unique(once)] += 1
-            for word in FUNCTION_WORDS.get(lang, "").split():
+            for word in dict.fromkeys(FUNCTION_WORDS.get(lang, "").split()):
                 self.words.setdefault(word, []).append(bit)
-                for n in SIZES:
-                    self._set(np.stack(_hashes(self._codes(word), n)), bit)
+                for _, slots in _slots(self._codes(word)):
+                    self._set(slots, bit)
         bits = (self.slots[:, None] >> np.arange(2 * len(self.languages), dtype=np.uint64)) & np.uint64(1)
         self.p = bits.mean(axis=0) ** HASHES
 
@@ -133,38 +139,39 @@ class LanguageFilter:
         return np.frombuffer(squeezed.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
 
     def counts(self, text: str, spans: list[tuple[int, int]]) -> np.ndarray:
-        """Corrected weighted counts per span and language."""
-        total = np.zeros((len(spans), len(self.languages)))
+        """Corrected weighted counts per span and language; spans are in order and do not overlap. Work and memory are linear in the text."""
+        count = len(self.languages)
+        total = np.zeros((len(spans), count))
         if not spans:
             return total
         codes = self._codes(text)
-        space = codes == 32
         lows = np.array([a for a, _ in spans])
         highs = np.array([b for _, b in spans]) + 2  # the blank before and after belong to the span
-        count = len(self.languages)
+        owner = np.searchsorted(lows, np.arange(len(codes)), side="right") - 1
+        blanks = np.concatenate([[0], np.cumsum(codes == 32)])
         shift = np.arange(2 * count, dtype=np.uint64)
-        blanks = np.concatenate([[0], np.cumsum(space)])
-        for n in SIZES:
-            if len(codes) < n:
-                continue
-            first, *rest = _hashes(codes, n)
-            mask = self.slots[first]
-            for at in rest:
-                mask &= self.slots[at]
-            places = np.arange(len(mask))
-            row = np.searchsorted(lows, places, side="right") - 1
+        masks, rows = [], []
+        for at, (n, slots) in enumerate(_slots(codes)):
+            mask = self.slots[slots[0]]
+            for more in slots[1:]:
+                mask &= self.slots[more]
+            row = owner[: len(mask)]
             blank = blanks[n:] - blanks[:-n] > (0 if n == 1 else min(n - 1, 2))  # no n-grams of blanks
-            kept = (row >= 0) & (places < highs[row] - n + 1) & ~blank
-            # texts have few different masks, so languages are counted per mask and span
-            masks, which = np.unique(mask[kept], return_inverse=True)
-            per = np.bincount(row[kept] * max(1, len(masks)) + which, minlength=len(spans) * max(1, len(masks))).reshape(len(spans), -1)
-            bits = ((masks[:, None] >> shift) & np.uint64(1)).astype(np.float64)
-            for half in (bits[:, :count], bits[:, count:]):
-                known = half.sum(axis=1, keepdims=True)
-                np.divide(half, known, out=half, where=known > 0)
-            chance = per.sum(axis=1, keepdims=True) * self.p
-            found = np.maximum(0, (per @ bits if len(masks) else np.zeros_like(chance)) - chance) / (1 - self.p)
-            total += found[:, :count] + STRONG * found[:, count:]
+            kept = (row >= 0) & (np.arange(len(mask)) < highs[row] - n + 1) & ~blank
+            masks.append(mask[kept])
+            rows.append(row[kept] * len(SIZES) + at)
+        row = np.concatenate(rows)
+        known, which = np.unique(np.concatenate(masks), return_inverse=True)
+        bits = ((known[:, None] >> shift) & np.uint64(1)).astype(np.float64)
+        for half in (bits[:, :count], bits[:, count:]):
+            sharing = half.sum(axis=1, keepdims=True)
+            np.divide(half, sharing, out=half, where=sharing > 0)
+        cells = len(spans) * len(SIZES)
+        grams = np.bincount(row, minlength=cells)
+        for lang in range(2 * count):
+            found = np.bincount(row, weights=bits[which, lang], minlength=cells)
+            clear = np.maximum(0, found - grams * self.p[lang]) / (1 - self.p[lang])
+            total[:, lang % count] += clear.reshape(len(spans), -1).sum(axis=1) * (1.0 if lang < count else STRONG)
         for row, (low, high) in enumerate(spans):
             for word in text[low:high].split():
                 for bit in self.words.get(word, ()):
@@ -181,11 +188,14 @@ def judge(counts: np.ndarray) -> tuple[int, float]:
     return best, float(1 - rest.max() / counts[best]) if len(rest) else 1.0
 
 
-def sentence_languages(text: str, filter_: LanguageFilter) -> list[tuple[int, int, int, float]]:
-    """``(start, end, language index, confidence)`` of each sentence of the running text."""
+def _running(text: str) -> tuple[list[tuple[int, int]], str]:
+    """The sentences of the running text and the text they are counted in."""
     units = sentences.split(text)
     running = [v for u in units if not is_structure(text, *u) for v in by_script(text, *u)] or units
-    counts = filter_.counts(plain(text, [a for a, _ in running]), running)
+    return running, plain(text, [a for a, _ in running])
+
+
+def _decide(running: list[tuple[int, int]], counts: np.ndarray) -> list[tuple[int, int, int, float]]:
     found = [(*u, *judge(c)) for u, c in zip(running, counts, strict=True)]
     main = main_language(found)[0]
     known = []
@@ -200,6 +210,31 @@ def sentence_languages(text: str, filter_: LanguageFilter) -> list[tuple[int, in
     return known
 
 
+def texts_languages(texts: list[str], filter_: LanguageFilter) -> Iterator[list[tuple[int, int, int, float]]]:
+    """``(start, end, language index, confidence)`` of each sentence of the running text of each text, n-grams counted together."""
+    at = 0
+    while at < len(texts):
+        group, size = [], 0
+        while at < len(texts) and (not group or size < GROUP_CHARS):
+            group.append(_running(texts[at]))
+            size += len(texts[at])
+            at += 1
+        spans, offset = [], 0
+        for running, shown in group:
+            spans += [(a + offset, b + offset) for a, b in running]
+            offset += len(shown) + 2  # a blank of its own on both sides of every text
+        counts = filter_.counts("  ".join(shown for _, shown in group), spans)
+        done = 0
+        for running, _ in group:
+            yield _decide(running, counts[done : done + len(running)])
+            done += len(running)
+
+
+def sentence_languages(text: str, filter_: LanguageFilter) -> list[tuple[int, int, int, float]]:
+    """``texts_languages`` of one text."""
+    return next(texts_languages([text], filter_))
+
+
 def by_script(text: str, start: int, end: int) -> list[tuple[int, int]]:
     """A unit cut where one script's run of ``WORDS`` words or more follows another's: sentences without a mark between."""
     if not (_OTHER.search(text, start, end) and _LATIN.search(text, start, end)):
@@ -246,10 +281,8 @@ def _tagger(filter_: LanguageFilter, what: str):
         for batch in batches:
             rows: list[int] = []
             cells: list[tuple] = []
-            for i, text in enumerate(batch.column(batch.num_columns - 1).to_pylist()):
-                if not text or not text.strip(sentences.BLANK):
-                    continue
-                found = sentence_languages(text, filter_)
+            given = [(i, t) for i, t in enumerate(batch.column(batch.num_columns - 1).to_pylist()) if t and t.strip(sentences.BLANK)]
+            for (i, text), found in zip(given, texts_languages([t for _, t in given], filter_), strict=True):
                 lang, sure = main_language(found)
                 if what in ("main", "lines"):
                     rows.append(i)
@@ -293,6 +326,45 @@ def fit(samples: DataFrame, lang: str = "lang", text: str = "text") -> LanguageF
     return LanguageFilter((r[lang], r[text]) for r in samples.select(lang, text).dropna().limit(FIT_ROWS).collect())
 
 
+def learn_words(filter_: LanguageFilter, labelled: DataFrame, key: str, text: str, lang: str) -> LanguageFilter:
+    """The filter with the words that texts labelled right use in one language only.
+
+    Reads the ``FIT_TEXTS`` labelled texts of least key hash. A text whose main language by n-grams is its label teaches all its words (few texts are mixed, and
+    a word must lean to one language); only words seen
+    in ``WORD_TEXTS`` texts leave the executors. Without labelled texts the filter stays as it is.
+    """
+    sample = labelled.select(key, lang, text).dropna().orderBy(F.xxhash64(key), key).limit(FIT_TEXTS).select(lang, text)
+    names = filter_.languages
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [(l, t) for l, t in zip(*(c.to_pylist() for c in batch.columns), strict=True) if l in names and t.strip(sentences.BLANK)]
+            seen: Counter = Counter()
+            for (label, value), found in zip(rows, texts_languages([t for _, t in rows], filter_), strict=True):
+                bit = names.index(label)
+                if main_language(found)[0] != bit:
+                    continue
+                shown = plain(value, [f[0] for f in found])
+                seen.update((label, w) for w in {w for a, b, *_ in found for w in shown[a:b].split() if len(w) <= 20})
+                seen[label, ""] += 1
+            keys = list(seen)
+            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.string()), pa.array([seen[k] for k in keys], pa.int64())], names=["lang", "word", "n"])
+
+    counted = sample.repartition(sample.sparkSession.sparkContext.defaultParallelism).mapInArrow(run, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
+    texts: dict[str, int] = {}
+    rates: dict[str, dict[str, float]] = {}
+    rows = counted.filter((F.col("n") >= WORD_TEXTS) | (F.col("word") == "")).collect()
+    texts.update((r["lang"], r["n"]) for r in rows if not r["word"])
+    for r in rows:
+        if r["word"]:
+            rates.setdefault(r["word"], {})[r["lang"]] = r["n"] / texts[r["lang"]]
+    for word, by in rates.items():
+        best = max(by, key=lambda x: (by[x], x))
+        if by[best] >= WORD_SHARE * sum(by.values()):
+            filter_.words[word] = [names.index(best)]
+    return filter_
+
+
 def document_languages(df: DataFrame, keys: list[str], text: str, filter_: LanguageFilter) -> DataFrame:
     """``(*keys, line_no = 0, lang, confidence)``: the main language of every text that is not blank."""
     return _tag(df, keys, text, filter_, "main")

@@ -53,3 +53,16 @@ def test_rows(spark, rows):
     assert parts == [("m", 0, "en"), ("m", 1, "hi"), ("m", 2, "en"), ("p", 0, "mr")]
     assert all(0 <= r["confidence"] <= 1 for r in document_languages(df, ["k"], "body", filter_).collect())
     assert line_languages(df.limit(0), ["k"], "body", filter_).count() == 0
+
+
+def test_words_are_learned_from_labelled_texts(spark, languages):
+    from caselattice.llm.language import learn_words
+
+    texts = [(f"k{i}", "en", f"The gadget was seen near the river by the watchman number {i}.") for i in range(6)] + [("x", None, "gadget"), ("y", "en", None)]
+    taught = learn_words(languages, spark.createDataFrame(texts, "k string, lang string, text string"), "k", "text", "lang")
+    assert [taught.languages[b] for b in taught.words["gadget"]] == ["en"]
+
+
+def test_long_texts_are_counted_in_linear_memory(languages):
+    text = "The watchman saw the lorry leave the yard at night. " * 4_000
+    assert {languages.languages[f[2]] for f in sentence_languages(text, languages)} == {"en"}
