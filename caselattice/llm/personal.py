@@ -2,7 +2,9 @@
 
 Aho-Corasick finds the anchors of a text in one pass: at-signs and their written forms, schemes, the first elements of
 addresses, alias cues and the known parts of names in every script. A deterministic parser expands each anchor to its
-boundaries and validates it; numbers (phones and identity numbers) are found by shape, since they need no cue.
+boundaries and validates it; numbers (phones and identity numbers) are found by shape, since they need no cue. What stands in
+a link is no e-mail address of a person. An address runs over comma-separated elements (streets, blocks, sectors) to its last town,
+known by its ending, by the PIN code after it, or by its place at the end of the clause after a street.
 
 Parts of names are learned, not listed: a table of known persons gives first and last names, and the values of name
 labels and the items of witness lists of all texts give those of all scripts. They are counted in the executors; only the
@@ -21,7 +23,6 @@ import unicodedata
 from collections import Counter
 from collections.abc import Callable, Iterable, Iterator
 
-import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -40,6 +41,7 @@ ALIAS_CUES = ("alias", "urf", "known as", "aka", "उर्फ", "عرف", "ও
 HOUSE_CUES = (
     "door no", "house no", "h.no", "h. no", "flat", "plot", "village", "c/o", "qr. no", "quarter no", "मकान नं", "मकान क्रमांक", "घर क्रमांक", "घर नं", "फ्लैट", "प्लॉट", "गाँव", "ग्राम",
 )
+SCHEMES = ("http://", "https://", "ftp://", "www.")
 THAI_TITLES = ("นางสาว", "นาย", "นาง", "ด.ช.", "ด.ญ.", "คุณ")
 DIGIT_WORDS = "zero one two three four five six seven eight nine".split()
 
@@ -63,12 +65,16 @@ _AT_LEFT = re.compile(r"[A-Za-z0-9][A-Za-z0-9._%+\-]*[ \xa0]?$")
 _DOT = r"(?:\.|[ \xa0]?[\[(]dot[\])][ \xa0]?)"
 _AT_RIGHT = re.compile(rf"[ \xa0]?(?:[a-z0-9][a-z0-9-]*(?:{_DOT}[a-z0-9-]+)+|[A-Z0-9][A-Z0-9-]*(?:\.[A-Z0-9-]+)+)")
 _TOWN = r"[A-Z][a-z]{2,}(?:pur|pura|ganj|gaon|nagar|wadi|palem|garh|khera|abad|patti|puri|kot|halli|ur)"
+#: A town by its place alone: capitalised words right before a PIN code, or after a street where the clause ends.
+_PLACED = rf"[A-Z][a-z]{{2,}}(?:{_SP}[A-Z][a-z]{{2,}})?"
 _PIN = r"(?:[ \xa0]*[-–][ \xa0]*[0-9]{3}[ ]?[0-9]{3}|[ \xa0]+[0-9]{3}[ ]?[0-9]{3})(?![0-9])"
 _ELEMENT = re.compile(
     rf"(?:(?P<pin>PIN{GAP}[:\-]?{GAP}[0-9]{{3}}[ ]?[0-9]{{3}}(?![0-9]))|P\.?{GAP}O\.?{_SP}[A-Z][a-z]+|Block{_SP}[A-Z0-9]+\b|Sector{_SP}[0-9]+\b|Near{_SP}[A-Z][a-z]+(?:{_SP}[A-Z][a-z]+){{0,2}}"
     rf"|[0-9]+(?:st|nd|rd|th){_SP}Cross|(?:[A-Z][a-z]+{_SP}){{1,2}}(?:Street|Apartments|Layout|Lane|Colony|Road|Rd\.|Marg|Nagar|Society|Extn\.)"
-    rf"|(?P<town>{_TOWN})(?P<code>{_PIN})?)"
+    rf"|(?P<town>{_TOWN}\b|{_PLACED}(?={_PIN}))(?P<code>{_PIN})?)"
 )
+_ROAD = re.compile(rf"(?:[A-Z][A-Za-z.]*{_SP}){{1,3}}(?:Street|Apartments|Layout|Lane|Colony|Road|Rd\.?|Marg|Nagar|Society|Extn\.?|Avenue|Main|Enclave|Vihar)(?![A-Za-z])")
+_LAST_TOWN = re.compile(rf"{_PLACED}(?={GAP}(?:[.;)]|$|\n))")
 _HOUSE = re.compile(
     rf"(?:(?:Door|House){_SP}No\.?{GAP}[0-9]+[A-Z]?|H\.{GAP}No\.?{GAP}[0-9]+[A-Z]?|Flat{_SP}[0-9]+[A-Z]?|Plot{_SP}(?:[A-Z]-?)?[0-9]+[A-Z]?|Village{_SP}[A-Z][a-z]+"
     rf"|C/o{_SP}(?:Shop|House|Flat|Plot){_SP}[0-9]+[A-Z]?|Q(?:r|uarter)\.?{_SP}No\.?{GAP}(?:[A-Z]/)?[0-9]+|[0-9]{{1,4}}/[0-9]{{1,4}}(?={GAP},{GAP}[0-9]+(?:st|nd|rd|th){_SP}Cross))"
@@ -205,6 +211,8 @@ class Finder:
     """Finds the occurrences in a text, with a name book."""
 
     def __init__(self, book: NameBook):
+        import ahocorasick
+
         self.book = book
         self.roles: dict[str, str] = {}
         machine = ahocorasick.Automaton()
@@ -214,8 +222,13 @@ class Finder:
             machine.add_word(cue, ("house", len(cue)))
         for cue in ALIAS_CUES:
             machine.add_word(cue, ("alias", len(cue)))
+        for scheme in SCHEMES:
+            machine.add_word(scheme, ("scheme", len(scheme)))
         for name in book.dense:
             machine.add_word(name, ("dense", len(name)))
+        for part in book.first | book.last:
+            if not machine.exists(part):
+                machine.add_word(part, ("part", len(part)))
         machine.make_automaton()
         self.machine = machine
 
@@ -224,9 +237,18 @@ class Finder:
         plain = text.translate(_DIGITS)
         hits: list[tuple[int, int, int, str]] = []  # rank, start, end, kind
         dense: list[tuple[int, int]] = []
+        parts: list[tuple[int, int]] = []
+        linked = 0  # where the last link ends: its parts are no address of a person
         for end, (what, size) in self.machine.iter(plain.translate(_LOWER)):
             start, end = end - size + 1, end + 1
-            if what == "at":
+            if what == "part":
+                parts.append((start, end))
+            elif what == "scheme":
+                if start >= linked and not (start and plain[start - 1].isalnum()):
+                    linked = _LINK.match(plain, end).end()
+            elif what == "at":
+                if start < linked:
+                    continue
                 left = _AT_LEFT.search(plain, max(0, start - 80), start)
                 right = _AT_RIGHT.match(plain, end)
                 if left and right:
@@ -250,7 +272,7 @@ class Finder:
             hits.append((2, m.start(), m.end(), "PHONE"))
         for m in _ID.finditer(plain):
             hits.append((2, m.start(), m.end(), "ID"))
-        hits += [(3, a, b, "NAME") for a, b in self._names(plain)]
+        hits += [(3, a, b, "NAME") for a, b in self._names(plain, parts)]
         hits += [(3, a, b, "NAME") for a, b in dense if self._dense_name(plain, a, b)]
         hits.sort(key=lambda h: (h[0], h[1] - h[2], h[1]))
         taken: list[tuple[str, int, int]] = []
@@ -272,10 +294,17 @@ class Finder:
         if not house:
             return None
         end = last = house.end()
-        closed = False
+        closed = street = False
         while not closed:
             comma = _COMMA.match(text, end)
             part = element.match(text, comma.end()) if comma else None
+            if not part and comma and element is _ELEMENT:
+                if road := _ROAD.match(text, comma.end()):
+                    end, street = road.end(), True
+                    continue
+                if street and last == house.end() and (town := _LAST_TOWN.match(text, comma.end())):
+                    last = town.end()
+                break
             if not part:
                 break
             end = part.end()
@@ -286,6 +315,8 @@ class Finder:
                 last = end
                 if element is _ELEMENT_DEVA:
                     closed = True
+            else:
+                street = True
         return (start, last) if last > house.end() else None
 
     def _alias(self, text: str, m: re.Match) -> bool:
@@ -302,14 +333,20 @@ class Finder:
             return before.endswith(THAI_TITLES) or not before or not ("ก" <= before[-1] <= "๛")
         return True
 
-    def _names(self, text: str) -> Iterator[tuple[int, int]]:
-        """Names of spaced scripts: first names and initials, then a last name or its initial."""
+    def _names(self, text: str, parts: list[tuple[int, int]]) -> Iterator[tuple[int, int]]:
+        """Names of spaced scripts: first names and initials, then a last name or its initial.
+
+        ``parts`` are the anchors; those that are whole words count. Words of other scripts than Latin are also known by how a Latin part is spelt.
+        """
         tokens: list[tuple[int, int, str]] = []  # start, end, role: f, l, b(oth), i
-        for m in _NAME_TOKEN.finditer(text):
-            if m[1]:
-                tokens.append((m.start(), m.end(), "i"))
-                continue
-            tokens.append((m.start(), m.end(), self._role(m[0])))
+        taken = set()
+        for a, b in parts:
+            if not (a and _IN_WORD.match(text, a - 1)) and not _IN_WORD.match(text, b):
+                tokens.append((a, b, self._role(text[a:b])))
+                taken.add(a)
+        tokens += [(m.start(), m.end(), "i") for m in _INITIAL_TOKEN.finditer(text)]
+        tokens += [(m.start(), m.end(), self._role(m[0])) for m in _SPELT_TOKEN.finditer(text) if m.start() not in taken]
+        tokens.sort()
         i = 0
         while i < len(tokens):
             role = tokens[i][2]
@@ -352,7 +389,10 @@ class Finder:
 
 
 _DOTTED = re.compile(r"[^\W\d_]\.$")
-_NAME_TOKEN = re.compile(r"(?<![A-Za-z0-9])(?<![A-Za-z]\.)([A-Z]\.)|[^\W\d_](?:[^\W\d_]|[ऀ-෿‌‍̀-ͯ])+")
+_INITIAL_TOKEN = re.compile(r"(?<![A-Za-z0-9])(?<![A-Za-z]\.)[A-Z]\.")
+_IN_WORD = re.compile("[^\\W\\d_]|[ऀ-෿‌‍̀-ͯ]")
+_SPELT_TOKEN = re.compile("(?<![ऀ-෿‌‍\u0600-\u06ff])(?:(?![٠-٩۰-۹])[ऀ-෿\u0600-\u06ff])(?:[^\\W\\d_]|[ऀ-෿‌‍̀-ͯ])+")
+_LINK = re.compile(r"\S*")
 _JOINT = re.compile(rf"{GAP}")
 
 
