@@ -18,6 +18,7 @@ repeated units; an empty table gives no rows; extra columns do not pass through.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -76,8 +77,13 @@ FINAL_WORDS = frozenset(
 FINAL_ENDINGS = ("ார்", "ார்கள்", "னர்", "ன", "து", "வில்லை", "றது", "டது", "கிறேன்", "டேன்", "ஆகும்", "ளார்", "வான்", "யார்")
 #: Helping verbs that continue the sentence of the line before.
 HELPERS = frozenset("है हैं था थी थे हूँ हो गया गई गए दिया दी लिया रहा रही रहे हुआ हुई मिला मिली आहे आहेत होता होती होते केला केली गेला गेली नाही ہے ہیں تھا تھی تھے ہوں گیا گئی دیا رہا رہی ہوا ہوئی না হয় যায় দেয় ছিল".split())
-#: Particles and words that end a Japanese or Chinese sentence, and words that open one.
-CJK_FINALS = ("た", "る", "い", "だ", "です", "ます", "か", "ん", "せ", "了", "吗", "呢", "吧", "村", "地", "中", "来", "人", "话", "家")
+#: Chinese and Japanese function words for the lattice: those that end a sentence and those after which it goes on.
+CJK_FINALS = frozenset("です ます でした ました ません ない だ だった である た る か ね よ せん いる ある した する なる 了 吗 呢 吧 啊 过 着".split())
+CJK_NONFINALS = frozenset(
+    "は が を に で と も の へ や から まで より ので のに けど ながら および または という として について によって に対して て し ば"
+    " 的 和 与 及 或 在 把 被 对 从 向 于 为 将 并 而 但 因 由 以 跟 给 到 是 有 该 其 这 那".split()
+)
+CJK_WORDS = CJK_FINALS | CJK_NONFINALS
 #: Thai words: those that open a sentence, that go on with one, and that cannot end one; the rest fill the lattice.
 THAI_OPENERS = frozenset(
     "เจ้าหน้าที่ จากการตรวจค้น จากการสอบสวน จากการ รถ รถทะเบียน กุญแจ กุญแจร้าน ตำรวจ ไม่มี ไม่มีใคร พยาน คดี คดีนี้ ผู้ต้องหา ผู้เสียหาย ผู้แจ้งความ"
@@ -96,6 +102,7 @@ THAI_WORDS = THAI_OPENERS | THAI_CONTINUERS | THAI_NONFINAL | frozenset(
 )
 
 BLANK = " \t\r\n\x0b\x0c\x85\xa0     　﻿" + "".join(map(chr, range(0x2000, 0x200B))) + "\x1c\x1d\x1e\x1f"
+_INK = re.compile(f"[^{re.escape(BLANK)}]")
 _THAI = "ก-๛"
 _ITEM = re.compile(r"(?:[-•*–—▪]|\(?[0-9०-९০-৯]{1,3}[.)]|\([a-zA-Zivx]{1,4}\)|[a-z]\))[ \t\xa0]+\S")
 _BULLET = re.compile(r"(?:[-•*▪]|\([a-z]\))[ \t\xa0]")
@@ -129,14 +136,13 @@ def script(ch: str) -> str:
     return ""
 
 
-@lru_cache(maxsize=20_000)
-def thai_words(run: str) -> tuple[str, ...]:
-    """The cheapest path through the dictionary lattice of a run of Thai; unknown characters cost more than words."""
+def lattice_words(run: str, lexicon: frozenset[str], longest: int) -> tuple[str, ...]:
+    """The cheapest path through the lattice of a run's dictionary words; unknown characters cost more than words."""
     best: list[tuple[float, int]] = [(0.0, 0)]
     for end in range(1, len(run) + 1):
         cost, start = best[end - 1][0] + 1.2, end - 1
-        for size in range(2, min(end, 18) + 1):
-            if run[end - size : end] in THAI_WORDS and best[end - size][0] + 1 < cost:
+        for size in range(1, min(end, longest) + 1):
+            if best[end - size][0] + 1 < cost and run[end - size : end] in lexicon:
                 cost, start = best[end - size][0] + 1, end - size
         best.append((cost, start))
     words: list[str] = []
@@ -148,6 +154,17 @@ def thai_words(run: str) -> tuple[str, ...]:
     return tuple(reversed(words))
 
 
+@lru_cache(maxsize=20_000)
+def thai_words(run: str) -> tuple[str, ...]:
+    return lattice_words(run, THAI_WORDS, 18)
+
+
+@lru_cache(maxsize=20_000)
+def cjk_last(run: str) -> str:
+    """The last word of a run of Chinese or Japanese on its lattice."""
+    return lattice_words(run, CJK_WORDS, 4)[-1]
+
+
 def _thai_opens(text: str, at: int) -> str:
     """``open``, ``go`` or ``maybe`` for the Thai run that begins at ``at``."""
     run = _THAI_RUN.match(text, at)[0]
@@ -264,6 +281,8 @@ def _block(text: str, low: int, high: int, forced: set[int]) -> Iterator[int]:
     """Ends of sentences inside the running block ``text[low:high]``; ``forced`` holds line breaks that end one."""
     quote = -1  # where the open quotation began
     ends: list[int] = []
+    unclosed: set[str] = set()  # closing marks that do not come again
+    line_ends = sorted(forced)
     for m in _MARKS.finditer(text, low, high):
         kind, start, end = m.lastgroup, m.start(), m.end()
         if kind == "line":
@@ -277,9 +296,14 @@ def _block(text: str, low: int, high: int, forced: set[int]) -> Iterator[int]:
                     ends.append(end)
                 quote = -1
             elif quote < 0 and ch in "\"“「『":
-                close = text.find({"“": "”", "「": "」", "『": "』"}.get(ch, '"'), end, min(high, end + 2_000))
-                if close >= 0 and not any(start < f < close for f in forced):
+                mark = {"“": "”", "「": "」", "『": "』"}.get(ch, '"')
+                stop = bisect_left(line_ends, start)
+                # a line break that ends a sentence closes every quotation, so none is looked for beyond it
+                close = -1 if mark in unclosed else text.find(mark, end, line_ends[stop] if stop < len(line_ends) else high)
+                if close >= 0:
                     quote = start
+                elif stop == len(line_ends):
+                    unclosed.add(mark)
         elif quote >= 0 or end >= high:
             continue
         elif _STRONG.search(m[0]):
@@ -321,7 +345,10 @@ def _reads_on(text: str, a: tuple[int, int], b: tuple[int, int]) -> bool:
     if left and right and left != right and not codes:
         return False
     if right == "cjk":
-        return not text[a[0] : a[1]].endswith(CJK_FINALS)
+        if text.startswith(SCRIPT_OPENERS, b[0]):
+            return False
+        word = cjk_last(last[-40:])  # whole words of at most four characters decide, so the end of the run is enough
+        return word not in CJK_FINALS
     if left in ("indic", "arabic") or "ऀ" <= last[-1] <= "෿":
         if first.rstrip("।.۔!?") in HELPERS:
             return True
@@ -349,7 +376,7 @@ def structural(text: str, start: int, end: int) -> bool:
         return True
     line = text[start:end]
     words = line.split()
-    if _ENDED.search(line) or len(line) >= 60 or len(words) > 5 or text[:start].strip(BLANK):
+    if _ENDED.search(line) or len(line) >= 60 or len(words) > 5 or _INK.search(text).start() < start:
         return line.isupper() and line.isascii() and len(words) <= 5
     if "a" <= line[-1].lower() <= "z":
         return all(w[0].isupper() for w in words)

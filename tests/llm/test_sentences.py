@@ -66,3 +66,15 @@ def test_rows(spark, rows):
     got = rows(sentence_units(df, "doc_id", "text"))
     assert got == [(1, 0, 4), (1, 0, 4), (1, 5, 9), (1, 5, 9), (4, 0, 150_004)]
     assert sentence_units(df.limit(0), "doc_id", "text").count() == 0
+
+
+def test_a_quotation_of_any_length_is_one():
+    text = 'He said, "' + "I saw it. " * 600 + 'I did." Then he left.'
+    assert [text[a:b] for a, b in split(text)][-1] == "Then he left." and len(split(text)) == 2
+
+
+def test_lattice_takes_the_cheapest_path():
+    from caselattice.llm.sentences import cjk_last, lattice_words
+
+    assert lattice_words("abcab", frozenset(["ab", "abc"]), 3) == ("abc", "ab")
+    assert cjk_last("彼は帰りました") == "ました" and cjk_last("他说") == "说"
