@@ -23,7 +23,7 @@ def test_texts_entities_segments(spark, rows, tmp_path):
     (tmp_path / "FIR_1.txt").write_text("कुछ text")
     (tmp_path / "skip.csv").write_text("x")
     assert rows(S.texts(spark, str(tmp_path)), "name", "text") == [("FIR_1", "कुछ text")]
-    (tmp_path / "r.json").write_text(json.dumps([{"source": "a", "target": "b", "relationship": "R", "timestamp": "2025-01-01T00:00:00", "confidence": 0.5}, {"source": "", "target": "b"}]))
+    (tmp_path / "r.json").write_text(json.dumps([{"source": "a", "target": "b", "relationship": "CALLED", "timestamp": "2025-01-01T00:00:00", "confidence": 0.5}, {"source": "", "target": "b"}]))
     good, bad = S.relations(spark, str(tmp_path / "r.json"))
     assert good.count() == 1 and bad.first()["errors"] == "source,relationship,confidence"
     (tmp_path / "s.jsonl").write_text('{"video_id": "v", "segment_id": "s", "start_ts": 0, "end_ts": 1}\nbroken\n')
