@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..session import cut
+
 #: Length of a time block in frames.
 BLOCK = 8
 
@@ -53,3 +55,22 @@ def first_over(df: DataFrame, key: str, ts: str, value: str, least: float, tie_b
     """Per key the first row in time whose value reaches ``least``; found by an aggregate, without sorting a key's rows."""
     order = F.struct(F.col(ts).alias("ts"), F.col(tie_break).alias("id"), F.col(value).alias("value"))
     return df.filter(F.col(value) >= least).groupBy(key).agg(F.min(order).alias("f")).select(key, F.col("f.ts").alias("ts"), F.col("f.id").alias(tie_break), F.col("f.value").alias(value))
+
+
+def runs(df: DataFrame, key: str, at: str, tie: str, gap: int, name: str) -> DataFrame:
+    """``df`` with ``name``: the first ``at`` (a whole number) of the row's run, rows of a key not more than ``gap`` apart.
+
+    Starts are looked up inside (key, block) and carried over from earlier blocks, whose number follows from the time covered.
+    Rows with a null key or ``at`` are left out.
+    """
+    width = gap * BLOCK
+    of = lambda c: F.floor(c / F.lit(width)).cast("long")
+    known = df.filter(F.col(key).isNotNull() & F.col(at).isNotNull())
+    blocked = known.withColumn("_own", of(F.col(at))).withColumn("_block", F.explode(F.array_distinct(F.array(of(F.col(at)), of(F.col(at) + F.lit(gap))))))
+    order = W.partitionBy(key, "_block").orderBy(at, tie)
+    before = F.lag(at).over(order)
+    marked = blocked.withColumn("_start", F.when(before.isNull() | (F.col(at) - before > gap), F.col(at))).filter("_own = _block")
+    within = cut(marked.withColumn("_inside", F.last("_start", ignorenulls=True).over(order.rowsBetween(W.unboundedPreceding, 0))).drop("_start", "_own"))
+    last = within.groupBy(key, "_block").agg(F.max("_inside").alias("_last"))
+    carried = last.select(key, "_block", F.last("_last", ignorenulls=True).over(W.partitionBy(key).orderBy("_block").rowsBetween(W.unboundedPreceding, -1)).alias("_carried"))
+    return within.join(carried, [key, "_block"]).withColumn(name, F.coalesce("_inside", "_carried")).drop("_block", "_inside", "_carried")

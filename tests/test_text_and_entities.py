@@ -163,6 +163,24 @@ def test_folds(spark, rows):
     assert [r[2] for r in rows(G.throttled(ticks, "k", "a", "id", 2.0))] == [0.0, 2.0, 4.0]
 
 
+def test_folds_over_gaps_equal_one_pass(spark, rows):
+    import random
+
+    rng = random.Random(6)
+    rows_ = sorted({("k", float(rng.randrange(0, 400)), i) for i in range(60)}, key=lambda r: (r[1], r[2]))
+    data = [(k, a, a + rng.randrange(0, 5), i) for k, a, i in rows_]
+    expected, open_ = [], None
+    for _, a, b, _ in data:
+        if open_ and b - open_[0] <= 10:
+            open_ = (open_[0], max(open_[1], b), open_[2] + 1)
+        else:
+            expected += [open_] if open_ else []
+            open_ = (a, b, 1)
+    expected.append(open_)
+    got = rows(G.merge_turns(spark.createDataFrame(data, "k string, a double, b double, id int"), "k", "a", "b", "id", 10.0), "first", "last", "n_rows")
+    assert sorted(got) == sorted(expected)
+
+
 def test_mentions(spark, rows):
     from caselattice.operators import mentions as N
 
