@@ -6,23 +6,35 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scalar import account_form, phone_form
-from ..session import broadcast_if_small
+from ..operators.skew import join_one
+from ..session import BROADCAST_ROWS, broadcast_if_small
 from ..tables import table
 from .nearest import nearest_in_time
 
 TOLERANCE_S = 900
 
 
+def owned(rows: DataFrame, owners: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
+    """``rows`` with the ``subject`` of each owner of their ``key``; rows without one are left out.
+
+    Owners are broadcast when a count shows there are few (here a few thousand at every scale), else joined with hot keys apart.
+    """
+    small = broadcast_if_small(owners, most)
+    if small is not owners:
+        return rows.join(small, "key").select(*rows.columns, "subject")
+    lists = owners.groupBy("key").agg(F.collect_set("subject").alias("subjects"))
+    return join_one(rows.filter("key IS NOT NULL"), lists, "key").select(*rows.columns, F.explode("subjects").alias("subject"))
+
+
 def _pairs(spark: SparkSession, folder: str) -> DataFrame:
-    # at most a few thousand subscribers, the same at every scale; the count is checked before broadcasting
     owners = table(spark, folder, "subscribers", "person_id", "phone", "account")
-    of = lambda column, form: broadcast_if_small(owners.select(form(F.col(column)).alias("key"), F.col("person_id").alias("subject")).dropna().distinct())
+    of = lambda column, form: owners.select(form(F.col(column)).alias("key"), F.col("person_id").alias("subject")).dropna().distinct()
     calls = table(spark, folder, "cdr", "cdr_id", "caller", "timestamp").select("cdr_id", phone_form(F.col("caller")).alias("key"), F.col("timestamp").alias("at"))
     moves = table(spark, folder, "bank_transactions", "txn_id", "source_account", "timestamp").select("txn_id", account_form(F.col("source_account")).alias("key"), F.col("timestamp").alias("at"))
     # 1970-01-01 00:00:00 stands for an unknown time
     known = F.col("at") > F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
     return nearest_in_time(
-        moves.filter(known).join(of("account", account_form), "key"), calls.filter(known).join(of("phone", phone_form), "key"),
+        owned(moves.filter(known), of("account", account_form)), owned(calls.filter(known), of("phone", phone_form)),
         TOLERANCE_S, "txn_id", "cdr_id",
     )
 

@@ -42,5 +42,16 @@ def p7_fill(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-QUERIES = {"p7_containers": p7_containers, "p7_fill": p7_fill}
-ORACLE: dict[str, str] = {}
+def p7_invariants(spark: SparkSession, folder: str) -> DataFrame:
+    """Per spec: documents placed, containers over their capacity, parts that overlap another, documents split though they fit."""
+    capacity = table(spark, folder, "pack_spec", "spec_id", "capacity")
+    parts = cut(p7_containers(spark, folder))
+    docs = parts.groupBy("spec_id", "doc_id").agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("size"))
+    filled = parts.filter("container IS NOT NULL").groupBy("spec_id", "container").agg(F.sum("n").alias("held"), F.max(F.col("position") + F.col("n")).alias("end"))
+    one = docs.join(F.broadcast(capacity), "spec_id").groupBy("spec_id").agg(F.count(F.lit(1)).alias("n_docs"), F.count_if((F.col("k") > 1) & (F.col("size") <= F.col("capacity"))).alias("n_split"))
+    two = filled.join(F.broadcast(capacity), "spec_id").groupBy("spec_id").agg(F.count_if(F.col("held") > F.col("capacity")).alias("n_over"), F.count_if(F.col("end") != F.col("held")).alias("n_gaps"))
+    return one.join(two, "spec_id").select("spec_id", "n_docs", "n_split", "n_over", "n_gaps")
+
+
+QUERIES = {"p7_containers": p7_containers, "p7_fill": p7_fill, "p7_invariants": p7_invariants}
+ORACLE = {"p7_invariants": "SELECT spec_id, (SELECT count(DISTINCT doc_id) FROM documents) AS n_docs, 0 AS n_split, 0 AS n_over, 0 AS n_gaps FROM pack_spec"}

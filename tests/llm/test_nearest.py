@@ -41,3 +41,11 @@ def test_hot_subject_is_split_over_cells(spark):
     moves = spark.range(200).selectExpr("concat('t', id) AS txn", "'hot' AS subject", "timestamp_ntz'2025-01-01 00:00:20' + make_interval(0,0,0,0,0,id * 1200) AS at")
     got = {r["txn"]: r["call"] for r in nearest_in_time(moves, calls, 900, "txn", "call").collect()}
     assert got == {f"t{i}": f"c{i * 20}" for i in range(200)}
+
+
+def test_owners_too_many_to_broadcast(spark, rows):
+    from caselattice.llm.corpus_nearest import owned
+
+    calls = spark.createDataFrame([(f"c{i}", "hot" if i < 30 else f"k{i}") for i in range(40)] + [("n", None)], "id string, key string")
+    owners = spark.createDataFrame([("hot", "p"), ("hot", "q"), ("k31", "r")], "key string, subject string")
+    assert rows(owned(calls, owners, 1)) == rows(owned(calls, owners))
