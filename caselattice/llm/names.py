@@ -272,8 +272,8 @@ def _canonical(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _keys(kind: str, sort: str, tokens: list[str]) -> list[tuple[str, str, str, str]]:
     """``(slot, suffix, other, level)`` of a form: a slot is a pair of tokens, its keys are the suffixes of the first.
 
-    Level ``1`` refines a suffix by the initial of the other token, level ``2`` by its two first letters; level ``w`` is the whole
-    first token with the initial.
+    Level ``1`` refines a suffix by the initial of the other token, level ``2``, of the shortest suffix alone, by its two first letters;
+    level ``w`` is the whole first token with the initial.
     """
     parts = [tokens[0], tokens[2]] if kind == "PERSON" else [t for t in tokens if t[0] != "+"]
     if kind != "PERSON" and sort == "short":
@@ -287,7 +287,7 @@ def _keys(kind: str, sort: str, tokens: list[str]) -> list[tuple[str, str, str,
                 place = "" if kind != "PERSON" else "fl"[i]
                 for start in range(max(1, len(t) - SUFFIX + 1)):
                     found.append((f"{i}{j}", t[start:], place + other[0], "1" if start else "w"))
-                    if len(other) > 1 and start:
+                    if len(other) > 1 and 0 < start == len(t) - SUFFIX:
                         found.append((f"{i}{j}", t[start:], place + other[:2], "2"))
     if kind != "PERSON":
         found.append(("=", "".join(sorted(t[0] for t in parts)), "=", "w"))
