@@ -96,3 +96,17 @@ def test_calls_of_any_length_are_in_chains(spark, rows, tmp_path, monkeypatch):
     spark.createDataFrame([("S", "s", "A1")], "person_id string, phone string, account string").write.parquet(f"{tmp_path}/subscribers.parquet")
     assert rows(temporal.event_chain_sizes(spark, str(tmp_path))) == [("c1", 4)]
     assert rows(temporal.pivot_steps(spark, str(tmp_path)), "chain", "n_steps") == [("c1", 4)]
+
+
+def _long_calls(spark, monkeypatch):
+    """Two calls of 40 and 45 minutes at one tower, longer than microseconds in 32 bits."""
+    called = [("c1", "p", "q", datetime(2024, 1, 1, 10), 2400, "T"), ("c2", "q", "r", datetime(2024, 1, 1, 10, 1), 2700, "T")]
+    monkeypatch.setattr(temporal, "calls", lambda *_: spark.createDataFrame(called, "call_id string, caller string, callee string, ts timestamp_ntz, duration_s int, place string"))
+
+
+def test_transfer_late_in_a_call_above_2147_seconds(spark, rows, tmp_path, monkeypatch):
+    _long_calls(spark, monkeypatch)
+    paid = [("t1", "A1", "A2", datetime(2024, 1, 1, 10, 40), 1.0), ("t2", "A1", "A2", datetime(2024, 1, 1, 10, 41), 1.0)]
+    monkeypatch.setattr(temporal, "transfers", lambda *_: spark.createDataFrame(paid, "txn_id string, src string, dst string, ts timestamp_ntz, amount double"))
+    spark.createDataFrame([("S", "p", "A1")], "person_id string, phone string, account string").write.parquet(f"{tmp_path}/subscribers.parquet")
+    assert rows(temporal.point_in_interval(spark, str(tmp_path))) == [("c1", "t1", 1)]
