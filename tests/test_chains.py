@@ -104,6 +104,12 @@ def _long_calls(spark, monkeypatch):
     monkeypatch.setattr(temporal, "calls", lambda *_: spark.createDataFrame(called, "call_id string, caller string, callee string, ts timestamp_ntz, duration_s int, place string"))
 
 
+def test_overlap_of_calls_above_2147_seconds(spark, rows, monkeypatch):
+    _long_calls(spark, monkeypatch)
+    iou = round((2400 - 60) / (60 + 2700), 6)
+    assert rows(temporal.interval_overlap_best(spark, "")) == [("c1", "c2", iou), ("c2", "c1", iou)]
+
+
 def test_transfer_late_in_a_call_above_2147_seconds(spark, rows, tmp_path, monkeypatch):
     _long_calls(spark, monkeypatch)
     paid = [("t1", "A1", "A2", datetime(2024, 1, 1, 10, 40), 1.0), ("t2", "A1", "A2", datetime(2024, 1, 1, 10, 41), 1.0)]
