@@ -187,3 +187,16 @@ def test_held_out_by_stride(spark, rows):
 def test_strongest_neighbours(spark, rows):
     edges = spark.createDataFrame([(i, "x", f"n{i}", "R", None, None, i / 10, 1.0) for i in range(5)], EDGE)
     assert rows(G.strongest_neighbours(edges, 2).filter("node = 'x'"), "place", "other", "n_more") == [(1, "n4", 3), (2, "n3", 3)]
+
+
+def _tangle(spark, seed, n, m):
+    rng = random.Random(seed)
+    edges = {tuple(sorted((f"n{int(n * rng.random() ** 2):03}", f"n{rng.randrange(n):03}"))) for _ in range(m)}
+    return spark.createDataFrame(sorted((a, b) for a, b in edges if a != b) + [("x", "y"), ("y", "z"), ("y", "w")], "a string, b string")
+
+
+def test_communities_in_one_task_are_those_of_joins(spark, rows):
+    """The rounds that one task does are those of the joins; the task needs one job where the joins need some for every round."""
+    pairs = _tangle(spark, 1, 20, 40)
+    held = rows(G.communities(pairs))
+    assert held == rows(G.communities(pairs, held=0)) == rows(G.communities(pairs, held=12))  # the last: some rounds by joins, the rest in a task
