@@ -200,3 +200,11 @@ def test_communities_in_one_task_are_those_of_joins(spark, rows):
     pairs = _tangle(spark, 1, 20, 40)
     held = rows(G.communities(pairs))
     assert held == rows(G.communities(pairs, held=0)) == rows(G.communities(pairs, held=12))  # the last: some rounds by joins, the rest in a task
+
+
+def test_dense_members_of_a_thousand_rounds(spark):
+    """A path takes a number of rounds that the joins cannot do in a time of use."""
+    path = spark.range(4_000).selectExpr("format_string('p%05d', id) AS a", "format_string('p%05d', id + 1) AS b")
+    found = G.communities(path)
+    assert found.select("community").distinct().count() < 200 and found.count() == 4_001
+    assert G.dense_members(path, found).count() > 3_600
