@@ -208,3 +208,13 @@ def test_dense_members_of_a_thousand_rounds(spark):
     found = G.communities(path)
     assert found.select("community").distinct().count() < 200 and found.count() == 4_001
     assert G.dense_members(path, found).count() > 3_600
+
+
+def test_paths_in_tasks_are_those_of_joins(spark, rows):
+    pairs, alone = _tangle(spark, 3, 14, 26), spark.createDataFrame([("lonely",)], "node string")
+    for pivots in (None, 5):
+        tasks = {r["node"]: (r["betweenness"], r["closeness"]) for r in G.path_centrality(pairs, alone, pivots).collect()}
+        joins = {r["node"]: (r["betweenness"], r["closeness"]) for r in G.path_centrality(pairs, alone, pivots, held=0).collect()}
+        assert tasks.keys() == joins.keys() and "lonely" in tasks
+        for node, found in tasks.items():
+            assert found == pytest.approx(joins[node], abs=2e-6)
