@@ -2,7 +2,7 @@ import itertools
 import random
 from datetime import datetime, timedelta
 
-from caselattice.operators.chains import event_chains, rapid_paths
+from caselattice.operators.chains import event_chains, path_totals, rapid_paths
 from caselattice.operators.components import connected_components
 from caselattice.operators.intervals import overlap_join, points_in
 from caselattice.plans import temporal
@@ -116,3 +116,18 @@ def test_transfer_late_in_a_call_above_2147_seconds(spark, rows, tmp_path, monke
     monkeypatch.setattr(temporal, "transfers", lambda *_: spark.createDataFrame(paid, "txn_id string, src string, dst string, ts timestamp_ntz, amount double"))
     spark.createDataFrame([("S", "p", "A1")], "person_id string, phone string, account string").write.parquet(f"{tmp_path}/subscribers.parquet")
     assert rows(temporal.point_in_interval(spark, str(tmp_path))) == [("c1", "t1", 1)]
+
+
+def test_sets_of_paths_are_counted_without_a_list(spark, rows):
+    """As many sets an account as listed, loops, returns and a span used up before the last transfer included."""
+    for seed, n in ((1, 5), (2, 9)):
+        rng = random.Random(seed)
+        moves = [(rng.choice("ABCDEFGHI"[:n]), rng.choice("ABCDEFGHI"[:n]), START + timedelta(hours=rng.randrange(0, 150))) for _ in range(18)]
+        moves += [(moves[0][1], "Z", moves[0][2] + timedelta(hours=48)), ("Z", "Y", moves[0][2]), (None, "A", START), ("A", "B", None), moves[3]]
+        transfers = spark.createDataFrame(moves, "src string, dst string, ts timestamp_ntz")
+        listed = {}
+        for accounts in brute_paths([(a, b, (t - START).total_seconds()) for a, b, t in moves if a and t], 48 * 3600, 5):
+            for a in accounts:
+                listed[a] = listed.get(a, 0) + 1
+        assert dict(rows(path_totals(transfers, 48, 5))) == dict(rows(path_totals(transfers, 48, 5, held=0))) == listed
+    assert rows(path_totals(transfers.limit(0), 48, 5)) == []

@@ -2,6 +2,7 @@ import pytest
 
 import __spark_entry__ as contract
 from caselattice.config import RULES
+from caselattice.plans import patterns
 
 
 def test_priority_has_every_term(spark):
@@ -22,3 +23,18 @@ def test_priority_has_every_term(spark):
         else:
             assert r["priority"] >= others + RULES.weight_flags / RULES.flags_for_full - 2e-4
             assert all(f in r["evidence"] for f in r["flags"].split(","))
+
+
+def _unlisted(monkeypatch):
+    def listed(*_):
+        raise AssertionError("the fund paths are listed")
+
+    monkeypatch.setattr(patterns, "rapid_paths", listed)
+
+
+def test_flagged_entities_list_no_fund_paths(spark, rows, monkeypatch):
+    ranked = patterns.flag_ranking(spark, contract.DATA).join(patterns.carriers(spark, contract.DATA), "key")
+    expected = rows(ranked, "entity_id", "type", "key", "flags", "n_flags", "flag_score")
+    assert any("RAPID_FUND_MOVEMENT" in r[3] for r in expected)
+    _unlisted(monkeypatch)
+    assert rows(contract.queries()["flagged_entities"](spark, contract.DATA)) == expected
