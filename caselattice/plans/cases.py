@@ -10,13 +10,12 @@ from ..functions import text as T
 from ..functions.scalar import slug
 from ..operators import graph as G
 from ..operators import metrics as M
-from ..operators import patterns as P
 from ..operators import retrieval as R
 from ..operators.validation import RESULT_CHECKS, checked
 from ..session import broadcast_if_small, cut
 from ..sources.casedata import edges, vertices, with_tables
 from ..tables import table
-from .patterns import carriers, key_flags
+from .patterns import carriers, key_totals
 from .temporal import _TIMELINE, timeline_union
 from .texts import _ACCOUNTS, _FILES, _INDEX, _PHONES, _PLATES, _files
 
@@ -101,7 +100,7 @@ def flagged_bundles(spark: SparkSession, folder: str) -> DataFrame:
     near = G.strongest_neighbours(kept, 5).groupBy(F.col("node").alias("entity_id")).agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "other"))), lambda x: x["other"]), ",").alias("neighbours"), (F.max("n_more") + F.max("place")).alias("n_neighbours")
     )
-    marked = P.flag_ranking(key_flags(spark, folder)).join(carriers(spark, folder), "key").select("entity_id", "key", "flags", "n_flags")
+    marked = key_totals(spark, folder).join(carriers(spark, folder), "key").select("entity_id", "key", "flags", "n_flags")
     return marked.join(n_edges, "entity_id", "left").join(near, "entity_id", "left").select(
         "entity_id", "key", "flags", "n_flags", F.coalesce("n_edges", F.lit(0)).alias("n_edges"), F.array_join("first_edges", ",").alias("edges"), F.coalesce("neighbours", F.lit("")).alias("neighbours"), F.coalesce("n_neighbours", F.lit(0)).cast("long").alias("n_neighbours"),
     )

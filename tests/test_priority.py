@@ -38,3 +38,10 @@ def test_flagged_entities_list_no_fund_paths(spark, rows, monkeypatch):
     assert any("RAPID_FUND_MOVEMENT" in r[3] for r in expected)
     _unlisted(monkeypatch)
     assert rows(contract.queries()["flagged_entities"](spark, contract.DATA)) == expected
+
+
+def test_flagged_bundles_list_no_fund_paths(spark, rows, monkeypatch):
+    ranked = patterns.flag_ranking(spark, contract.DATA).join(patterns.carriers(spark, contract.DATA), "key")
+    expected = rows(ranked, "entity_id", "key", "flags", "n_flags")
+    _unlisted(monkeypatch)
+    assert rows(contract.queries()["flagged_bundles"](spark, contract.DATA), "entity_id", "key", "flags", "n_flags") == expected
