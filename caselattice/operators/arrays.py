@@ -11,7 +11,6 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 
-LEAST = np.iinfo(np.int64).min
 #: Cells of a (sources x nodes) table held at once.
 CELLS = 1_000_000
 
@@ -26,11 +25,12 @@ def mergers(x: np.ndarray, y: np.ndarray, w: np.ndarray, ends: np.ndarray, mix:
         k = np.diff(np.r_[first, len(x)])
         gain = 2 * m * w - ends[x] * ends[y]
         best = np.maximum.reduceat(gain, first)
-        on = gain == np.repeat(best, k)
-        tie = np.where(on, mix[x] ^ mix[y], LEAST)
-        on &= tie == np.repeat(np.maximum.reduceat(tie, first), k)
-        on &= y == np.repeat(np.maximum.reduceat(np.where(on, y, -1), first), k)
-        at, keep = np.flatnonzero(on), best > 0
+        # ties are looked at among the best links only, which are few
+        at = np.flatnonzero(gain == np.repeat(best, k))
+        tie = mix[x[at]] ^ mix[y[at]]
+        at = at[np.lexsort((y[at], tie, x[at]))]
+        at = at[np.r_[x[at[1:]] != x[at[:-1]], True]]
+        keep = best > 0
         if not keep.any():
             break
         px, py, pw, k = x[at][keep], y[at][keep], w[at][keep], k[keep]
@@ -51,8 +51,7 @@ def mergers(x: np.ndarray, y: np.ndarray, w: np.ndarray, ends: np.ndarray, mix:
         np.add.at(ends, to[gone], ends[gone])
         ends[gone] = 0
         home = to[home]
-        x, y = to[x], to[y]
-        x, y, w = _added(*(c[x != y] for c in (x, y, w)), n)
+        x, y, w = _renamed(x, y, w, to, n)
     return home
 
 
@@ -65,6 +64,22 @@ def _added(x: np.ndarray, y: np.ndarray, w: np.ndarray, n: int) -> tuple[np.ndar
     return key[first] // n, key[first] % n, np.add.reduceat(w, first) if len(first) else w
 
 
+def _renamed(x: np.ndarray, y: np.ndarray, w: np.ndarray, to: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Links in order after their communities moved to ``to``: only links of those that moved are sorted, into the others."""
+    moved = to != np.arange(n)
+    other = moved[x] | moved[y]
+    a, b = to[x[other]], to[y[other]]
+    a, b, c = _added(*(v[a != b] for v in (a, b, w[other])), n)
+    x, y, w = x[~other], y[~other], w[~other]
+    key, new = x * n + y, a * n + b
+    at = np.searchsorted(key, new)
+    known = at < len(key)
+    known[known] = key[at[known]] == new[known]
+    w[at[known]] += c[known]
+    at, own = at[~known], ~known
+    return np.insert(x, at, a[own]), np.insert(y, at, b[own]), np.insert(w, at, c[own])
+
+
 def merging(m: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Rows ``x, y, w, mix``: links, and nodes (``y`` null) with their ends as ``w``; gives ``x, to`` of nodes that move."""
 
