@@ -2,6 +2,10 @@ import itertools
 import random
 from datetime import datetime, timedelta
 
+import numpy as np
+import pytest
+
+from caselattice.operators import funds
 from caselattice.operators.chains import event_chains, path_totals, rapid_paths
 from caselattice.operators.components import connected_components
 from caselattice.operators.intervals import overlap_join, points_in
@@ -131,3 +135,48 @@ def test_sets_of_paths_are_counted_without_a_list(spark, rows):
                 listed[a] = listed.get(a, 0) + 1
         assert dict(rows(path_totals(transfers, 48, 5))) == dict(rows(path_totals(transfers, 48, 5, held=0))) == listed
     assert rows(path_totals(transfers.limit(0), 48, 5)) == []
+
+
+def _listed(moves, hops, n):
+    """The sets of ``funds.Walks`` over moves ``(src, dst, hour)`` of accounts by number; each is listed once and counted so often."""
+    columns = np.array(sorted(set(moves)), np.int64).reshape(-1, 3).T
+    walks = funds.Walks(*columns, 48, hops, n)
+    found, total = [], np.zeros(n, np.int64)
+    for least in range(9 if n > 9 else n):
+        for got in walks.sets(least):
+            found += zip(*(c.tolist() for c in got), strict=True)
+        if n == 9:
+            walks.count(least, total)
+    assert n != 9 or total.tolist() == [sum(a in x for x in found) for a in range(9)]
+    assert len({frozenset(x) for x in found}) == len(found) and all(len(set(x)) == len(x) for x in found)
+    return {tuple(sorted(x)) for x in found}
+
+
+@pytest.mark.parametrize(("few", "n"), [(20_000, 9), (0, 9), (0, 50_000), (0, 1_000_000)])
+def test_sets_of_paths_are_listed_over_arrays(few, n, monkeypatch):
+    """The same sets with and without dropping wider walks, in one number or several, some at a time."""
+    for name, value in (("FEW", few), ("ROWS", 50), ("KEPT", 20), ("GIVEN", 3)):
+        monkeypatch.setattr(funds, name, value)
+    for seed in range(30 if n == 9 else 5):
+        rng = random.Random(seed)
+        moves = [(rng.randrange(9), rng.randrange(9), rng.choice((0, 12, 24, 48, 60, rng.randrange(0, 150)))) for _ in range(16)]
+        got = _listed(moves, 5, n)
+        assert got == {tuple(sorted(x)) for x in brute_paths(moves, 48, 5)}
+
+
+def test_many_transfers_of_few_accounts_are_not_walked_one_by_one():
+    """Some 10^11 walks, whose times enclose those of others."""
+    got = _listed([(a, b, t) for a in range(3) for b in range(3) if a != b for t in range(200)], 5, 3)
+    assert got == {(0, 1), (0, 2), (1, 2), (0, 1, 2)}
+
+
+def test_listed_paths_equal_joined_ones(spark, rows):
+    """Names of any length and script, loops and returns; more than one digit to a number of 64 bits."""
+    names = ["A", "B1", "C22", "D333", "\u00c9", "\u0928\u0926", "AA", "\U00010400"]
+    for used in (names, [f"N{i}" for i in range(8)]):
+        rng = random.Random(4)
+        moves = [(rng.choice(used), rng.choice(used), START + timedelta(hours=rng.randrange(0, 150))) for _ in range(30)] + [(None, used[0], START), (used[0], used[1], None)]
+        transfers = spark.createDataFrame(moves, "src string, dst string, ts timestamp_ntz")
+        listed = rows(rapid_paths(transfers, 48, 5))
+        assert len(listed) == len(set(listed)) and sorted(listed) == sorted(rows(rapid_paths(transfers, 48, 5, held=0)))
+    assert rows(rapid_paths(transfers.limit(0), 48, 5)) == []
