@@ -413,13 +413,16 @@ def held_out(pairs: DataFrame, share: float = 0.4) -> DataFrame:
     return with_rank(pairs, [F.asc("a"), F.asc("b")], "place").withColumn("held", F.col("place") % stride == 0).drop("place")
 
 
-def strongest_neighbours(edges: DataFrame, k: int) -> DataFrame:
-    """Per node its ``k`` neighbours of highest confidence and how many more there are."""
+def strongest_neighbours(edges: DataFrame, k: int | None = None) -> DataFrame:
+    """Per node its ``k`` neighbours of highest confidence (None: all) and how many more there are."""
     real = edges.filter("src IS NOT NULL AND dst IS NOT NULL AND src <> dst")
     ways = real.select(F.col("src").alias("node"), F.col("dst").alias("other"), "confidence").unionByName(real.select(F.col("dst").alias("node"), F.col("src").alias("other"), "confidence"))
     best = ways.groupBy("node", "other").agg(F.max("confidence").alias("confidence"))
     order = W.partitionBy("node").orderBy(F.desc("confidence"), "other")
+    top = best.withColumn("place", F.row_number().over(order))
+    if k is None:
+        return top.select("node", "place", "other", "confidence", F.lit(0).cast("long").alias("n_more"))
     # the filter on row_number becomes a group limit before the shuffle, so a hub sends only k rows a task
-    top = best.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= k)
+    top = top.filter(F.col("place") <= k)
     more = best.groupBy("node").agg(F.count(F.lit(1)).alias("n_all"))
     return top.join(more, "node").select("node", "place", "other", "confidence", (F.col("n_all") - F.least(F.col("n_all"), F.lit(k))).alias("n_more"))

@@ -93,16 +93,16 @@ def case_evidence(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def flagged_bundles(spark: SparkSession, folder: str) -> DataFrame:
-    """Per flagged carrier its flags, its edges, its five strongest neighbours and how many it has."""
+    """Per flagged carrier its flags, all its edges and all its neighbours, the strongest first, and how many it has."""
     kept = cut(G.build(edges(spark, folder), vertices(spark, folder))[0])
     ends = kept.select(F.explode(F.array_distinct(F.array("src", "dst"))).alias("entity_id"), "edge_id")
-    n_edges = ends.groupBy("entity_id").agg(F.count(F.lit(1)).alias("n_edges"), F.slice(F.array_sort(F.collect_set("edge_id")), 1, 20).alias("first_edges"))
-    near = G.strongest_neighbours(kept, 5).groupBy(F.col("node").alias("entity_id")).agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "other"))), lambda x: x["other"]), ",").alias("neighbours"), (F.max("n_more") + F.max("place")).alias("n_neighbours")
+    n_edges = ends.groupBy("entity_id").agg(F.count(F.lit(1)).alias("n_edges"), F.array_join(F.array_sort(F.collect_set("edge_id")), ",").alias("edges"))
+    near = G.strongest_neighbours(kept).groupBy(F.col("node").alias("entity_id")).agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "other"))), lambda x: x["other"]), ",").alias("neighbours"), F.count(F.lit(1)).alias("n_neighbours")
     )
     marked = key_totals(spark, folder).join(carriers(spark, folder), "key").select("entity_id", "key", "flags", "n_flags")
     return marked.join(n_edges, "entity_id", "left").join(near, "entity_id", "left").select(
-        "entity_id", "key", "flags", "n_flags", F.coalesce("n_edges", F.lit(0)).alias("n_edges"), F.array_join("first_edges", ",").alias("edges"), F.coalesce("neighbours", F.lit("")).alias("neighbours"), F.coalesce("n_neighbours", F.lit(0)).cast("long").alias("n_neighbours"),
+        "entity_id", "key", "flags", "n_flags", F.coalesce("n_edges", F.lit(0)).alias("n_edges"), "edges", F.coalesce("neighbours", F.lit("")).alias("neighbours"), F.coalesce("n_neighbours", F.lit(0)).cast("long").alias("n_neighbours"),
     )
 
 

@@ -1,4 +1,5 @@
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as contract
 from caselattice.config import RULES
@@ -45,3 +46,21 @@ def test_flagged_bundles_list_no_fund_paths(spark, rows, monkeypatch):
     expected = rows(ranked, "entity_id", "key", "flags", "n_flags")
     _unlisted(monkeypatch)
     assert rows(contract.queries()["flagged_bundles"](spark, contract.DATA), "entity_id", "key", "flags", "n_flags") == expected
+
+
+def test_flagged_bundles_hold_all_edges_and_neighbours(spark, rows, tmp_path):
+    """A flagged phone with more edges than a short list would hold, one of them a loop and one a repeated pair."""
+    for name in ("cdr", "bank_transactions", "subscribers", "documents"):
+        (tmp_path / f"{name}.parquet").symlink_to(f"{contract.DATA}/{name}.parquet")
+    key = patterns.key_totals(spark, str(tmp_path)).filter("flags LIKE '%COMMUNICATION_SPIKE%'").agg(F.min("key")).first()[0]
+    entities, edges = (spark.read.parquet(f"{contract.DATA}/{name}.parquet") for name in ("entities", "edges"))
+    known = [("hub", "PHONE", key)] + [(f"n{i:02}", "PERSON", f"N {i}") for i in range(40)]
+    spark.createDataFrame(known, "entity_id string, type string, name string").join(entities.limit(0).drop("type", "name"), "entity_id", "left").write.parquet(f"{tmp_path}/entities.parquet")
+    others = [f"n{i:02}" for i in range(40)] + ["hub", "n07"]
+    ends = [(900 - i, *(("hub", x) if i % 2 else (x, "hub")), (i % 7) / 10 if i % 5 else None, "CALLED" if i < 41 else "OWNS") for i, x in enumerate(others)]
+    made = spark.createDataFrame(ends, "edge_id long, source string, target string, confidence double, relationship string")
+    made.join(edges.limit(0).drop("source", "target", "confidence", "relationship"), "edge_id", "left").write.parquet(f"{tmp_path}/edges.parquet")
+    near = {x: max([c for _, a, b, c, _ in ends if x in (a, b) and c is not None], default=-1.0) for x in others if x != "hub"}
+    expected = (len(ends), ",".join(str(e[0]) for e in reversed(ends)), ",".join(sorted(near, key=lambda x: (-near[x], x))), 40)
+    got = contract.queries()["flagged_bundles"](spark, str(tmp_path)).filter("entity_id = 'hub'")
+    assert rows(got, "n_edges", "edges", "neighbours", "n_neighbours") == [expected]
