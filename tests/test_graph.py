@@ -5,6 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__ as contract
 from caselattice.operators import graph as G
 
 EDGE = "edge_id long, src string, dst string, relationship string, ts timestamp_ntz, source_record string, confidence double, weight double"
@@ -218,3 +219,19 @@ def test_paths_in_tasks_are_those_of_joins(spark, rows):
         assert tasks.keys() == joins.keys() and "lonely" in tasks
         for node, found in tasks.items():
             assert found == pytest.approx(joins[node], abs=2e-6)
+
+
+def test_measures_of_a_graph_of_many_nodes_are_exact(spark, tmp_path):
+    """Priorities and the table of centralities rest on paths from all nodes, as ``betweenness`` does."""
+    rng = random.Random(11)
+    names = [f"v{i:03}" for i in range(400)]
+    ends = [(i, rng.choice(names), rng.choice(names)) for i in range(600)]
+    entities, edges = (spark.read.parquet(f"{contract.DATA}/{name}.parquet").limit(0) for name in ("entities", "edges"))
+    spark.createDataFrame([(v,) for v in names], "entity_id string").join(entities, "entity_id", "left").write.parquet(f"{tmp_path}/entities.parquet")
+    made = spark.createDataFrame(ends, "edge_id long, source string, target string")
+    made.join(edges.drop("source", "target"), "edge_id", "left").write.parquet(f"{tmp_path}/edges.parquet")
+    queries = contract.queries()
+    exact, table = ({r["node"]: (r["betweenness"], r["closeness"]) for r in queries[name](spark, str(tmp_path)).collect()} for name in ("betweenness", "centrality_table"))
+    assert len(exact) == len(names) and len({b for b, _ in exact.values()}) > 100
+    for node, values in exact.items():
+        assert table[node] == pytest.approx(values, abs=2e-6)
